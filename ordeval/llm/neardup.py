@@ -358,7 +358,9 @@ def near_duplicates(
     )
     sizes = members.groupBy("class").agg(F.sum("n").alias("in_class"))
     given = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
-    texts = given.join(members.join(sizes, "class"), F.col("__id").eqNullSafe(F.col("first")))
+    # the members grow with the corpus: the plan is the same at every size, one shuffle of the texts
+    wanted = members.join(sizes, "class").hint("merge")
+    texts = given.join(wanted, F.col("__id").eqNullSafe(F.col("first")))
     links = confirmed_in_small(texts.where(F.col("in_class") <= class_shingles), k, threshold)
     if not sizes.where(F.col("in_class") > class_shingles).isEmpty():
         links = links.unionByName(
