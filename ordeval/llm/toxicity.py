@@ -26,11 +26,11 @@ from ordeval.llm.language import hashed_ngrams, thinned
 BUCKETS = 1 << 19
 LENGTHS = (4, 5, 6, 7)
 #: Labelled documents of each class that the model learns from, about.
-SAMPLE = 6_000
-FEATURES = 2048
+SAMPLE = 4_000
+FEATURES = 4096
 #: An n-gram is in at least so many training documents.
 MIN_DOCS = 3
-RIDGE = 0.02
+RIDGE = 0.001
 STEPS = 300
 
 _GAPS = re.compile(r"[\W_]+")
@@ -95,7 +95,7 @@ def sample_matrix(train: DataFrame, lookup: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient steps; classes weigh the same, the prior is put back after."""
+    """Ridge logistic regression by accelerated gradient steps; both classes weigh the same."""
     share = float(y.mean())
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32) / len(y)
     v = np.ones(x.shape[1], np.float32)
@@ -136,7 +136,8 @@ class ToxicityModel:
         lookup[best["bucket"].to_numpy()] = np.arange(len(best))
         x, y = sample_matrix(spread, lookup)
         ratios = best["ratio"].to_numpy(np.float32)
-        w, intercept = logistic(x * ratios, y)
+        x *= ratios
+        w, intercept = logistic(x, y)
         weights = nothing
         weights[best["bucket"].to_numpy()] = w * ratios
         return cls(weights, intercept)
