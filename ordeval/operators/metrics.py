@@ -163,3 +163,19 @@ def contrasts(values: DataFrame, weights: DataFrame, keys: Sequence[str], by: st
     """Sums of weight * value for each named contrast; ``weights`` (contrast, by, weight) is a small table."""
     joined = values.join(F.broadcast(weights), by)
     return joined.groupBy("contrast", *keys).agg(F.sum(F.col("weight") * F.col(value)).alias(value))
+
+
+def gap_evidence(gaps: DataFrame, keys: Sequence[str], point: str = "point", low: str = "low", high: str = "high") -> DataFrame:
+    """Optimism if all points and lower bounds of a group are positive, pessimism if all points and upper ones are negative."""
+    up = F.bool_and((F.col(point) > 0) & (F.col(low) > 0))
+    down = F.bool_and((F.col(point) < 0) & (F.col(high) < 0))
+    label = F.when(up, "consistent_optimism").when(down, "consistent_pessimism").otherwise("mixed_or_uncertain")
+    return gaps.groupBy(*keys).agg(label.alias("evidence"))
+
+
+def gain_gate(deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """P20: (keys, passes): macro-F1 gains 0.01 with a positive lower bound, and qwk, severest recall and cost aren't clearly worse."""
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    gained = (of("macro_f1", "point") >= 0.01) & (of("macro_f1", "low") > 0)
+    kept = (of("qwk", "high") >= 0) & (of("recall_2", "high") >= 0) & (of("mean_asymmetric_cost", "low") <= 0)
+    return deltas.groupBy(*keys).agg((gained & kept).alias("passes"))

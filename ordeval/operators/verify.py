@@ -77,3 +77,26 @@ def data_contract(df: DataFrame, id_col: str, role: str, period: str, latest: in
         (F.count_if(F.col(id_col).isNull()) == 0).alias("ids_complete"),
         (F.count_if((F.col(period) == latest) != (F.col(role) == "test")) == 0).alias("latest_locked"),
     )
+
+
+def matches_include(df: DataFrame, include: dict[str, Sequence]) -> DataFrame:
+    """rows whose columns have one of the values that a contract includes."""
+    kept = F.lit(True)
+    for column, values in include.items():
+        kept = kept & F.col(column).isin(*values)
+    return df.where(kept)
+
+
+def catalog_view(df: DataFrame, keys: Sequence[str], include: dict[str, Sequence] | None = None, volatile: str = "seconds") -> DataFrame:
+    """The rows that a catalog includes, without columns whose name ends in ``volatile``, ordered by key."""
+    kept = matches_include(df, include or {})
+    return kept.select(*[c for c in df.columns if not c.endswith(volatile)]).orderBy(*keys)
+
+
+def draw_differences(a: DataFrame, b: DataFrame, axes: Sequence[str], value: str = "value", atol: float = 1e-12) -> DataFrame:
+    """Cells of two long tensors that differ or that one of them lacks."""
+    left, right = a.select(*axes, F.col(value).alias("__a")), b.select(*axes, F.col(value).alias("__b"))
+    joined = left.join(right, list(axes), "full_outer")
+    return joined.where(F.col("__a").isNull() | F.col("__b").isNull() | (F.abs(F.col("__a") - F.col("__b")) > atol)).select(
+        *axes, F.col("__a").alias("expected"), F.col("__b").alias("observed")
+    )

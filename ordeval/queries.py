@@ -888,10 +888,13 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from ordeval import more_queries  # noqa: F401  registers its queries
     from ordeval.models import queries as model_queries
 
     return {**_QUERIES, **model_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from ordeval import more_queries  # noqa: F401
+
     return dict(_SQL)
