@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ordeval.llm.common import n_words
 
 CAPACITY = 4096
-PER_SOURCE = 4
+PER_SOURCE = 6
 SHARD_DOCS = 4096
 
 PACKED = "doc_id long, part int, start_word long, n_words long, shard int, bin int, bin_start int, bin_id long"

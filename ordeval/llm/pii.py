@@ -102,7 +102,7 @@ def near_terms(text: str, spans: list[Span], words: int = CONTEXT_WORDS) -> list
     for s, e, kind in spans:
         before = [m for m in terms if m.end() <= s][-words:]
         around = before + [m for m in terms if m.start() >= e][:words]
-        entity = f"{kind}:{text[s:e] if kind == 'email' else _digits(text[s:e])}"
+        entity = f"{kind}:{_digits(text[s:e]) if kind in ('card', 'phone') else text[s:e]}"
         context = xxhash.xxh3_64_intdigest(" ".join(m[0].lower() for m in around).encode()) >> 1
         out += [(entity, context, m[0].lower(), *m.span()) for m in around]
     return out
