@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,18 +30,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="ordeval-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for this application's staged tables, under ``spark.checkpoint.dir``; a local one only if that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the cluster's shared checkpoint folder and read it back.
 
     This cuts the lineage: an executor that is lost later costs a reread, not a recomputation.
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made only if that is unset.
+    The tables stay until the folder is cleared, as checkpoints do.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="ordeval-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,8 +79,3 @@ def map_arrow(
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
-
-
-def whole_columns(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of ``docs`` only, so that extra columns never clash with what an operator adds."""
-    return docs.select(*columns)

@@ -303,7 +303,7 @@ def confirmed_in_large(rows: DataFrame, k: int, threshold: int, limit: int, hubs
         "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "node",
         F.col("node").alias("label"), "text",
     )
-    blocked = rows.join(F.broadcast(sized), "class").select(
+    blocked = rows.join(sized, "class").select(
         "class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "node",
         F.col("node").alias("label"), "text",
     )
@@ -314,13 +314,13 @@ def confirmed_in_large(rows: DataFrame, k: int, threshold: int, limit: int, hubs
         labelled.groupBy("class", "label").agg(F.count("*").alias("size"))
         .groupBy("class").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
     )
-    labelled = staged(labelled.join(F.broadcast(largest), "class").withColumn("away", F.col("label") != F.col("main")))
+    labelled = staged(labelled.join(largest, "class").withColumn("away", F.col("label") != F.col("main")))
     # what the main component doesn't reach asks all nodes of its class, block against block
     parts = labelled.groupBy("class").agg(
         F.greatest(F.lit(1), F.ceil(2 * F.sum(F.when(F.col("away"), F.col("n")).otherwise(0)) / F.lit(limit))).cast("int").alias("asking"),
         F.ceil(2 * F.sum("n") / F.lit(limit)).cast("int").alias("asked"),
     )
-    all_rows = labelled.join(F.broadcast(parts), "class")
+    all_rows = labelled.join(parts, "class")
     asking = all_rows.where("away").select(
         "class", F.pmod(F.xxhash64("node"), F.col("asking")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("other"), F.lit(True).alias("asks"), "node", "label", "text",

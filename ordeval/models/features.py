@@ -28,7 +28,7 @@ def vocabularies(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fold_to_vocabulary(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
     """Levels outside the vocabulary become ``__UNSEEN__``."""
-    known = F.broadcast(levels.select(F.col(column), F.lit(True).alias("__known")))
+    known = levels.select(F.col(column), F.lit(True).alias("__known"))
     return df.join(known, column, "left").withColumn(column, F.when(F.col("__known"), F.col(column)).otherwise(UNSEEN)).drop("__known")
 
 

@@ -89,7 +89,7 @@ def code_audit(df: DataFrame, keys: Sequence[str], fields: Sequence[str], dictio
     """Every (keys, field, code) with its label, and whether the dictionary lists it."""
     found = counts(long_fields(df, keys, fields), *keys, "field", "value")
     listed = dictionary.select("field", F.col("code").alias("value"), "label")
-    return found.join(F.broadcast(listed), ["field", "value"], "left").withColumn("is_listed", F.col("label").isNotNull())
+    return found.join(listed, ["field", "value"], "left").withColumn("is_listed", F.col("label").isNotNull())
 
 
 def schema_audit(audited: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def drift(df: DataFrame, category: str, period: str) -> DataFrame:
 
 def coverage(df: DataFrame, train: DataFrame, field: str, by: str) -> DataFrame:
     """Rows and values of each group that training rows lack."""
-    seen = F.broadcast(train.select(field).distinct().withColumn("__seen", F.lit(True)))
+    seen = train.select(field).distinct().withColumn("__seen", F.lit(True))
     marked = df.join(seen, field, "left").withColumn("__new", F.col("__seen").isNull() & F.col(field).isNotNull())
     return marked.groupBy(by).agg(
         F.count("*").alias("n"),
