@@ -730,12 +730,12 @@ def _(s, d):
 
 
 @query("j05_alignment", """SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'only_right' WHEN b.id IS NULL THEN 'only_left' ELSE 'different' END AS problem
-FROM (SELECT id, target FROM cohort WHERE id % 10 <> 0) a FULL OUTER JOIN (SELECT id, CASE WHEN id % 50 = 1 THEN 2 - target ELSE target END AS target FROM cohort WHERE id % 10 <> 5) b ON a.id = b.id
+FROM (SELECT id, target FROM cohort WHERE month <> 3) a FULL OUTER JOIN (SELECT id, CASE WHEN month = 1 THEN 2 - target ELSE target END AS target FROM cohort WHERE month <> 4) b ON a.id = b.id
 WHERE a.id IS NULL OR b.id IS NULL OR a.target <> b.target""")
 def _(s, d):
-    df = plan.cohort(s, d).select("id", "target")
-    right = df.where("id % 10 <> 5").withColumn("target", F.when(F.col("id") % 50 == 1, 2 - F.col("target")).otherwise(F.col("target")))
-    return guards.misaligned(df.where("id % 10 <> 0"), right, "id", "target")
+    df = plan.cohort(s, d).select("id", "target", "month")  # each side lacks a month, one month differs
+    right = df.where("month <> 4").withColumn("target", F.when(F.col("month") == 1, 2 - F.col("target")).otherwise(F.col("target")))
+    return guards.misaligned(df.where("month <> 3").drop("month"), right.drop("month"), "id", "target")
 
 
 @query("j06_stack", "SELECT id, max(CASE WHEN model = 'A' THEN predicted_code END) AS pred_A, max(CASE WHEN model = 'B' THEN predicted_code END) AS pred_B FROM modelled GROUP BY id")
@@ -836,14 +836,14 @@ def _(s, d):
 # --- verification ------------------------------------------------------------------------------------------------
 
 
-@query("v02_table_diff", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS x, c_mktsegment AS t FROM customer WHERE c_custkey % 20 <> 3),
-b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS x, CASE WHEN c_custkey % 13 = 0 THEN 'OTHER' ELSE c_mktsegment END AS t FROM customer WHERE c_custkey % 20 <> 4)
+@query("v02_table_diff", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS x, c_mktsegment AS t FROM customer WHERE c_nationkey <> 3),
+b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS x, CASE WHEN c_custkey % 13 = 0 THEN 'OTHER' ELSE c_mktsegment END AS t FROM customer WHERE c_nationkey <> 4)
 SELECT coalesce(a.k, b.k) AS k, NULL AS column, CASE WHEN b.k IS NULL THEN 'missing_key' ELSE 'extra_key' END AS problem FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
 UNION ALL SELECT a.k, 'x', 'different' FROM a JOIN b ON a.k = b.k WHERE a.x <> b.x UNION ALL SELECT a.k, 't', 'different' FROM a JOIN b ON a.k = b.k WHERE a.t <> b.t""", False)
 def _(s, d):
-    c = plan.read(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("t"))
-    other = c.where("k % 20 <> 4").select("k", F.when(F.col("k") % 17 == 0, F.col("x") + 1).otherwise(F.col("x")).alias("x"), F.when(F.col("k") % 13 == 0, F.lit("OTHER")).otherwise(F.col("t")).alias("t"))
-    return verify.table_differences(c.where("k % 20 <> 3"), other, ["k"], exact=("t",)).select("k", "column", "problem")
+    c = plan.read(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("t"), "c_nationkey")
+    other = c.where("c_nationkey <> 4").select("k", F.when(F.col("k") % 17 == 0, F.col("x") + 1).otherwise(F.col("x")).alias("x"), F.when(F.col("k") % 13 == 0, F.lit("OTHER")).otherwise(F.col("t")).alias("t"))
+    return verify.table_differences(c.where("c_nationkey <> 3").drop("c_nationkey"), other, ["k"], exact=("t",)).select("k", "column", "problem")
 
 
 @query("v06_pred_deviation", """SELECT count(*) AS n, count(*) FILTER (pred_a <> pred_b) AS labels_changed, round(max(abs(q0 - q1) / (q0 + q1 + q2)), 9) AS max_p FROM predicted WHERE role = 'test'""")
