@@ -15,8 +15,8 @@ Nulls: a null text is an empty one and null ids pass through. Rows that repeat a
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     """(start, end, kind) in order of start, then kind as in ``BASE``; a failed match is dropped without retries."""
     spans = list(_emails(text))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             spans.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         if 14 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
@@ -93,15 +93,35 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
+def _merged(spans: list[Span]) -> list[list[int]]:
+    """[start, end] of the stretches that spans cover, disjoint and in order."""
+    out: list[list[int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def near_terms(text: str, spans: list[Span], words: int = CONTEXT_WORDS) -> list[tuple[str, int, str, int, int]]:
-    """(entity, context, term, start, end) for the words around each base span, none of them part of a span."""
+    """(entity, context, term, start, end) for the words around each base span, none of them part of a span.
+
+    Spans and terms are walked in order, so a very long text with many spans takes n log n steps.
+    """
     if not spans:
         return []
-    terms = [m for m in _TERM.finditer(text) if not any(m.start() < e and m.end() > s for s, e, _ in spans)]
+    terms, bounds, i = [], _merged(spans), 0
+    for m in _TERM.finditer(text):
+        while i < len(bounds) and bounds[i][1] <= m.start():
+            i += 1
+        if i == len(bounds) or bounds[i][0] >= m.end():
+            terms.append(m)
+    starts, ends = [m.start() for m in terms], [m.end() for m in terms]
     out = []
     for s, e, kind in spans:
-        before = [m for m in terms if m.end() <= s][-words:]
-        around = before + [m for m in terms if m.start() >= e][:words]
+        last, following = bisect_right(ends, s), bisect_left(starts, e)
+        around = terms[max(0, last - words) : last] + terms[following : following + words]
         entity = f"{kind}:{_digits(text[s:e]) if kind in ('card', 'phone') else text[s:e]}"
         context = xxhash.xxh3_64_intdigest(" ".join(m[0].lower() for m in around).encode()) >> 1
         out += [(entity, context, m[0].lower(), *m.span()) for m in around]
