@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import map_arrow, small_batches
+from ordeval.llm.common import map_arrow, small_batches, staged
 
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -27,6 +27,8 @@ SMOOTHING = 0.5
 #: Training documents of each language, about: more are thinned by a hash of the id.
 SAMPLE = 5_000
 SEED = 5
+#: Values of the key of a sample whose shares are broadcast; with more of them, Spark chooses the join.
+MAX_KEYS = 10_000
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -72,8 +74,14 @@ def learned_counts(train: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def thinned(train: DataFrame, sample: int, key: str) -> DataFrame:
-    """About ``sample`` rows of each value of ``key``, chosen by a hash of ``doc_id``; few values are expected."""
-    share = train.groupBy(key).agg((F.lit(float(sample)) / F.count("*")).alias("__share"))
+    """About ``sample`` rows of each value of ``key``, chosen by a hash of ``doc_id``.
+
+    The shares, one row for each value, are broadcast behind a check of their number, so texts that aren't chosen stay
+    where they are read.
+    """
+    share = staged(train.groupBy(key).agg((F.lit(float(sample)) / F.count("*")).alias("__share")))
+    if share.limit(MAX_KEYS + 1).count() <= MAX_KEYS:
+        share = F.broadcast(share)
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return train.join(share, key).where(chosen < F.col("__share")).drop("__share")
 
