@@ -3,17 +3,18 @@
 1. One pass over whole texts makes each document's shingle set, a 128-bit hash of the set and a signature.
    Documents with equal sets are one node from here on, however many there are.
 2. The forest: TREES orders of the signature (rotations of it). Nodes that share a prefix of DEPTHS[0] values in
-   an order form a region. A region of more than REGION nodes goes deeper, to longer common prefixes; what is
-   still larger at the last depth is tied to its least node as a whole. Within a region, nodes whose codes agree
-   often enough are grouped around a hub (a bound of 5 standard deviations below the threshold), so a group of n
-   copies yields n - 1 candidates, not n * n.
+   an order form a region. Within a region, nodes whose codes agree often enough are grouped around a hub (a bound
+   of 5 standard deviations below the threshold), so a group of n copies yields n - 1 candidates, not n * n.
+   A region of more than REGION nodes is dealt into blocks: longer common prefixes and a few hubs link most of its
+   nodes, and the codes of those outside its main group are compared with all nodes of the region.
 3. The candidates' connected components are classes of nodes that may be linked. Links are confirmed on full
    sets inside each class: a search from node to node that compares only with nodes not yet reached. A class
    with more than CLASS_SHINGLES shingles is not held by one task: its nodes are compared with a few hubs, and
    those that no hub reaches are compared with all nodes of the class, block by block.
 
 Two nodes at the threshold miss each other in all regions with probability (1 - t ** 3) ** TREES, below 1e-7 for
-0.8. Only regions of over REGION nodes trade this for depth.
+0.8, whatever the size of the regions. The price of a large region is up to the square of its nodes in code
+comparisons, where no group of it is large.
 
 Nulls: null and empty texts have no shingles, are linked with nothing and are kept. A null id is an id like
 others in the result; the least non-null id names a component. Rows that repeat an id are nodes by their text.
@@ -151,12 +152,75 @@ def _pairs(pairs: Iterator[tuple[bytes, bytes]], size: int = 20_000) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=PAIR)
 
 
+def _code_links(rows: DataFrame, need: int, by: list[str]) -> DataFrame:
+    """Links (a, b) between the rows with ``asks`` and those of the same block (``by``) with ``need`` equal codes
+    or more, one for each of the other's present labels; rows (by..., asks, node, label, codes)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[bytes, bytes]]:
+            for _, members in _grouped(batches, len(by)):
+                if not (members[0][0] and len(members) > 1):
+                    continue
+                codes = np.frombuffer(b"".join(c for *_, c in members), np.uint8).reshape(len(members), VALUES)
+                codes = np.ascontiguousarray(codes.T)  # sums along the rows: one byte holds VALUES
+                for i, (asks, node, label, _) in enumerate(members):
+                    if not asks:
+                        break
+                    same = (codes == codes[:, i : i + 1]).sum(axis=0, dtype=np.uint8)
+                    done = {label}
+                    for j in np.flatnonzero(same >= need).tolist():
+                        if members[j][2] not in done:
+                            done.add(members[j][2])
+                            yield node, members[j][1]
+
+        yield from _pairs(pairs())
+
+    dealt = rows.select(*by, "asks", "node", "label", "codes").repartition(*by)
+    return dealt.sortWithinPartitions(*by, F.desc("asks"), "node").mapInArrow(compare, "a binary, b binary")
+
+
+def large_regions(large: DataFrame, known: DataFrame, need: int, region: int, hubs: int = HUBS) -> DataFrame:
+    """Candidate pairs (a, b) that complete the candidates ``known`` in regions that no task may hold; ``large`` has
+    (tree, key, size, node, codes).
+
+    Hubs are compared with all nodes of their region. What is then outside the main group of its region asks all
+    nodes of the region, block against block, so every two nodes of different groups are compared.
+    """
+    at = ["tree", "key"]
+    blocks = F.ceil(2 * F.col("size") / F.lit(region)).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    rows = large.withColumn("blocks", blocks)
+    picked = rows.groupBy(*at).agg(*[F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"h{j}") for j in range(hubs)])
+    picked = picked.select(*at, F.explode(F.array_distinct(F.array(*[f"h{j}" for j in range(hubs)]))).alias("node"))
+    own = F.col("node").alias("label")
+    copies = rows.join(picked, [*at, "node"]).select(*at, every, F.lit(True).alias("asks"), "node", own, "codes")
+    dealt = rows.select(*at, block, F.lit(False).alias("asks"), "node", own, "codes")
+    stars = staged(_code_links(copies.unionByName(dealt), need, [*at, "block"]))
+    roots = connected_components(known.unionByName(stars))
+    labelled = staged(rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    groups = labelled.groupBy(*at, "label").agg(F.count("*").alias("members"))
+    main = staged(
+        groups.groupBy(*at)
+        .agg(F.max_by("label", F.struct("members", "label")).alias("main"), (F.sum("members") - F.max("members")).alias("others"))
+        .where("others > 0")
+    )
+    parts = labelled.join(main, at).withColumn("parts", F.ceil(2 * F.col("others") / F.lit(region)).cast("int"))
+    asking = parts.where("label <> main").select(
+        *at, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), every, F.lit(True).alias("asks"), "node", "label", "codes"
+    )
+    asked = parts.select(
+        *at, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block, F.lit(False).alias("asks"), "node", "label", "codes"
+    )
+    return stars.unionByName(_code_links(asking.unionByName(asked), need, [*at, "part", "block"]))
+
+
 def candidates(nodes: DataFrame, threshold: int, region: int = REGION, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """Candidate pairs (a, b) from the regions of the forest; ``nodes`` has (node, sketch, codes)."""
     t = threshold / 100
     need = int(VALUES * (t - 5 * (t * (1 - t) / VALUES) ** 0.5))
     trees = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    regions, tied = None, None
+    regions, tied, whole = None, None, None
     for depth in depths:
         keyed = trees.select("node", "tree", prefix(F.col("tree"), depth).alias("key"))
         sized = keyed.groupBy("tree", "key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
@@ -166,6 +230,7 @@ def candidates(nodes: DataFrame, threshold: int, region: int = REGION, depths: t
         large = found.where(F.col("size") > region)
         if large.isEmpty():
             break
+        whole = large if whole is None else whole
         if depth == depths[-1]:
             tied = large.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
         else:
@@ -187,7 +252,11 @@ def candidates(nodes: DataFrame, threshold: int, region: int = REGION, depths: t
     coded = regions.join(nodes.select("node", "codes"), "node").select("tree", "key", "node", "codes")
     dealt = coded.repartition("tree", "key").sortWithinPartitions("tree", "key", "node")
     out = dealt.mapInArrow(tie, "a binary, b binary")
-    return out if tied is None else out.unionByName(tied)
+    if whole is None:
+        return out
+    known = staged(out if tied is None else out.unionByName(tied))
+    rows = staged(whole.select("tree", "key", "size", "node").join(nodes.select("node", "codes"), "node"))
+    return known.unionByName(large_regions(rows, known, need, region))
 
 
 class ClassSets:

@@ -234,6 +234,17 @@ def test_near_duplicates_deep_regions(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_near_duplicates_complete_large_regions(spark):
+    # pairs at exactly the threshold: where all regions are large, prefixes of 24 values lose nine of ten
+    rows = []
+    for pair in range(12):
+        for side in range(2):
+            words = [*(f"p{pair}x{i}" for i in range(80)), *(f"o{pair}x{side}x{i}" for i in range(10))]
+            rows.append((2 * pair + side, " ".join(words), "en", "a"))
+    got = neardup.near_duplicates(table(spark, rows), 1, 80, region=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(24)}
+
+
 def test_near_duplicates_edges(spark):
     rows = [*EDGES, (6, "A b", "en", "a"), (7, "a  B", "en", "a"), (8, "a b c", "en", "a"), (8, "q r s", "en", "a")]
     got = neardup.near_duplicates(table(spark, rows), 3, 85).collect()
