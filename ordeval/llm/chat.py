@@ -6,9 +6,9 @@ what follows is the turn's span; a template that changes what it has already put
 marked. The turn's text inside the span is located by rendering the same prefix once more with a probe
 character in place of the text. Nothing is assumed about how the template works inside.
 
-Rows are dealt by conversation and sorted by turn; a task streams through them and renders segments of at
-most ``SEGMENT`` turns, so memory and work a turn are bounded however long a conversation is. A history that
-is rewritten is seen within a segment.
+Rows are dealt by conversation and sorted by turn; a task streams through them, holds the turns of one conversation
+and renders every prefix whole, since a template may reach back any number of turns. The work of a conversation grows
+with the square of its length, its memory with its length.
 
 Nulls: a null text or role is empty; a null turn sorts first; rows with a null conversation id form one
 conversation. Ties in turn are put in order of role, then text; repeated rows are turns of their own.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn], bool], str]
 
-SEGMENT = 16
 #: Strings that have a meaning in the output (fixed values).
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _BACK = re.compile(r"\\(\\?)")
@@ -56,22 +55,22 @@ def instruction_template(turns: list[Turn], opens: bool = True) -> str:
     return "".join(out)
 
 
-def _probe(turns: list[Turn]) -> str:
-    """A private-use character that none of the turns has."""
-    used = set().union(*(set(r) | set(t) for r, t in turns))
+def _probe(used: set[str]) -> str:
+    """A private-use character that is not in ``used``."""
     return next(chr(c) for c in range(0xE000, 0x110000) if chr(c) not in used)
 
 
 def rendered_turns(turns: list[Turn], template: Template, opens: bool = True) -> Iterator[dict]:
     """The span of each turn: its piece of the output, where its text begins and ends in the piece, and
     whether the template rewrote what came before (then the piece is the whole output up to the turn)."""
-    before = ""
+    before, used = "", set()
     for k in range(1, len(turns) + 1):
         prefix = turns[:k]
         now = template(prefix, opens)
         rewrites = not now.startswith(before)
         start = 0 if rewrites else len(before)
-        probe = _probe(prefix)
+        used.update(*prefix[-1])
+        probe = _probe(used)
         probed = template([*prefix[:-1], (prefix[-1][0], probe)], opens)
         at = probed.find(probe)
         tail = len(probed) - at - 1
@@ -115,10 +114,12 @@ def format_conversations(
         conv, position, held = None, 0, []
         rows: list[tuple] = []
 
-        def flush() -> None:
-            spans = rendered_turns([(r, t) for _, r, t in held], template, held[0][0] == 0)
+        def flush() -> Iterator[pa.RecordBatch]:
+            spans = rendered_turns([(r, t) for _, r, t in held], template)
             for (n, role, _), span in zip(held, spans, strict=True):
                 rows.append((conv, n, role, *span.values()))
+                if len(rows) >= 1000:
+                    yield batch()
             held.clear()
 
         def batch() -> pa.RecordBatch:
@@ -135,16 +136,14 @@ def format_conversations(
         for b in batches:
             ids, roles, texts = (b.column(i).to_pylist() for i in range(3))
             for i, role, text in zip(ids, roles, texts, strict=True):
-                if held and (i != conv or len(held) == SEGMENT):
-                    flush()
+                if held and i != conv:
+                    yield from flush()
                 if not begun or i != conv:
                     conv, position, begun = i, 0, True
                 held.append((position, role, text))
                 position += 1
-            if len(rows) >= 1000:
-                yield batch()
         if held:
-            flush()
+            yield from flush()
         yield batch()
 
     turns = conversations.select(

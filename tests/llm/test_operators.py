@@ -402,6 +402,23 @@ def test_history_rewriting_is_found():
     assert all(s["piece"][s["text_start"] : s["text_end"]] == t for s, t in zip(spans, "ab", strict=True))
 
 
+def test_long_reach_is_rendered_whole(spark):
+    def window(turns, opens=True):
+        return "".join(f"{r}:{t};" for r, t in turns[-20:])
+
+    def titled(turns, opens=True):
+        return "".join(f"{n}/{turns[0][1]}:{t};" for n, (_, t) in enumerate(turns))
+
+    turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(40)]
+    df = spark.createDataFrame([(7, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    cut = sorted(chat.format_conversations(df, window).collect(), key=lambda r: r["position"])
+    assert [r["rewrites"] for r in cut] == [i >= 20 for i in range(40)]
+    assert all(r["piece"] == window(turns[: i + 1]) for i, r in enumerate(cut) if i >= 20)
+    whole = sorted(chat.format_conversations(df, titled).collect(), key=lambda r: r["position"])
+    assert "".join(r["piece"] for r in whole) == titled(turns) and not any(r["rewrites"] for r in whole)
+    assert all(r["piece"][r["text_start"] : r["text_end"]] == t for r, (_, t) in zip(whole, turns, strict=True) if r["position"])
+
+
 # --- 8: personal data ----------------------------------------------------------------------------------------------
 
 PATTERNS = {
