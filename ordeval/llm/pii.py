@@ -1,14 +1,16 @@
 """Personal data: base patterns and information-theoretic sanitisation (operator 8).
 
 Emails, IP addresses, card and phone numbers are found by fixed patterns. Each found value is a protected
-entity. From the whole corpus it is then estimated how strongly the words near an entity reveal it: with N
-documents, n(t) documents that have term t, n(e) different contexts of entity e and n(t, e) of them that have t,
-the disclosure is PMI(t; e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)), 1 for a term that occurs
-nowhere else. Terms from GENERALISE on are replaced by a general mark, from REMOVE on they are taken out. A pair
-counts from SUPPORT different contexts on, so copies of one passage reveal nothing.
+entity. From the whole corpus it is then estimated how strongly the terms of the documents that hold an entity
+reveal it: with N documents, n(t) that have term t, n(e) that hold entity e and n(t, e) that have both, the
+disclosure is PMI(t; e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)), 1 for a term that occurs nowhere
+else. Terms from GENERALISE on are replaced by a general mark, from REMOVE on they are taken out, wherever they
+occur in a document that holds the entity. A pair counts from SUPPORT different contexts of the entity or of the
+term on, so copies of one passage reveal nothing; nor does what shares fewer contexts, so rare entities stay out.
 
-The first pass reads whole texts and leaves narrow rows; a second one counts the candidate terms in all
-documents. Candidate terms are broadcast up to MAX_TERMS, a bound that is checked; beyond it they are joined.
+The first pass reads whole texts and leaves narrow rows, and the texts that hold entities; those are read again for
+the pairs and for the marks. One more pass counts the candidate terms in all documents. Candidate terms are
+broadcast up to MAX_TERMS, a bound that is checked; beyond it they are joined.
 
 Nulls: a null text is an empty one and null ids pass through. Rows that repeat an id are told apart by text.
 """
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordeval.llm.common import map_arrow, small_batches, staged
@@ -104,27 +106,33 @@ def _merged(spans: list[Span]) -> list[list[int]]:
     return out
 
 
-def near_terms(text: str, spans: list[Span], words: int = CONTEXT_WORDS) -> list[tuple[str, int, str, int, int]]:
-    """(entity, context, term, start, end) for the words around each base span, none of them part of a span.
-
-    Spans and terms are walked in order, so a very long text with many spans takes n log n steps.
-    """
-    if not spans:
-        return []
+def free_terms(text: str, spans: list[Span]) -> list[re.Match]:
+    """The terms of a text that are no part of a span, in order."""
     terms, bounds, i = [], _merged(spans), 0
     for m in _TERM.finditer(text):
         while i < len(bounds) and bounds[i][1] <= m.start():
             i += 1
         if i == len(bounds) or bounds[i][0] >= m.end():
             terms.append(m)
+    return terms
+
+
+def _context(terms: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(terms).encode("utf-8", "surrogatepass")) >> 1
+
+
+def mentions(text: str, spans: list[Span], terms: list[re.Match], words: int = CONTEXT_WORDS) -> list[tuple[str, int, list[str]]]:
+    """(entity, context, terms of the context) for each base span; ``terms`` as :func:`free_terms` gives them.
+
+    Spans are looked up in order, so a very long text with many spans takes n log n steps.
+    """
     starts, ends = [m.start() for m in terms], [m.end() for m in terms]
     out = []
     for s, e, kind in spans:
         last, following = bisect_right(ends, s), bisect_left(starts, e)
-        around = terms[max(0, last - words) : last] + terms[following : following + words]
+        around = [m[0].lower() for m in terms[max(0, last - words) : last] + terms[following : following + words]]
         entity = f"{kind}:{_digits(text[s:e]) if kind in ('card', 'phone') else text[s:e]}"
-        context = xxhash.xxh3_64_intdigest(" ".join(m[0].lower() for m in around).encode()) >> 1
-        out += [(entity, context, m[0].lower(), *m.span()) for m in around]
+        out.append((entity, _context(around), around))
     return out
 
 
@@ -134,21 +142,14 @@ FOUND = pa.schema(
         ("text_hash", pa.int64()),
         *[(f"n_{k}", pa.int64()) for k in BASE],
         ("base", pa.string()),
-        (
-            "near",
-            pa.list_(
-                pa.struct(
-                    [("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
-                )
-            ),
-        ),
+        ("mentions", pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64())]))),
+        ("text", pa.string()),
     ]
 )
-NEAR = ("entity", "context", "term", "start", "end")
 
 
 def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Base spans of every document and the terms near them."""
+    """Base spans of every document and the entities it holds; the text of those that hold any."""
 
     def find(columns: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in FOUND}
@@ -160,15 +161,88 @@ def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for k in BASE:
                 out[f"n_{k}"].append(kinds[k])
             out["base"].append(listed(spans))
-            out["near"].append([dict(zip(NEAR, t, strict=True)) for t in near_terms(text or "", spans)])
+            held = mentions(text, spans, free_terms(text, spans)) if spans else []
+            out["mentions"].append([{"entity": e, "context": c} for e, c, _ in held])
+            out["text"].append(text if spans else None)
         return out
 
     given = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
     )
     counts = ", ".join(f"n_{k} long" for k in BASE)
-    near = "array<struct<entity: string, context: bigint, term: string, start: bigint, end: bigint>>"
-    return map_arrow(given, find, f"doc_id long, text_hash long, {counts}, base string, near {near}", FOUND)
+    held = "array<struct<entity: string, context: bigint>>"
+    return map_arrow(given, find, f"doc_id long, text_hash long, {counts}, base string, mentions {held}, text string", FOUND)
+
+
+def held_entities(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, text_hash, entity) of the entities that can have ``support`` contexts with a term."""
+    each = found.select("doc_id", "text_hash", F.explode("mentions").alias("x")).select("doc_id", "text_hash", "x.entity", "x.context")
+    count = lambda c: each.select("entity", c).distinct().groupBy("entity").count().where(F.col("count") >= support)
+    enough = count("context").select("entity").unionByName(count("text_hash").select("entity")).distinct()
+    return staged(each.select("doc_id", "text_hash", "entity").distinct().join(enough, "entity"))
+
+
+PART = pa.schema(
+    [("entity", pa.string()), ("term", pa.string()), ("docs", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("own", "far", "near")]]
+)
+
+
+def shared_documents(found: DataFrame, held: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, docs, contexts): documents with both. Rows with the term '' count an entity's documents, rows
+    with the entity '' those of a term among the documents that hold any. Up to ``support`` contexts are told apart.
+
+    Each task sums up its own documents first, so a frequent entity is a few rows a task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: dict[tuple[str, str], list] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, n, *map(list, sets)) for k, (n, *sets) in part.items()]
+            columns = list(zip(*rows)) if rows else [[] for _ in PART]
+            part.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PART, strict=True)], schema=PART)
+
+        def add(entity: str, term: str, docs: int, *contexts: int | None) -> None:
+            row = part.setdefault((entity, term), [0, set(), set(), set()])
+            row[0] += docs
+            for known, context in zip(row[1:], contexts):
+                if context is not None and len(known) < support:
+                    known.add(context)
+
+        for b in batches:
+            for text, entities in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                spans = base_spans(text)
+                terms = free_terms(text, spans)
+                lower = [m[0].lower() for m in terms]
+                places: dict[str, int] = {}
+                for i, term in enumerate(lower):
+                    if term not in places:
+                        places[term] = _context(lower[max(0, i - CONTEXT_WORDS) : i + CONTEXT_WORDS + 1])
+                        add("", term, 1)
+                kept, by = set(entities), {}
+                for entity, context, around in mentions(text, spans, terms):
+                    if entity in kept:
+                        by.setdefault(entity, []).append((context, around))
+                for entity, seen in by.items():
+                    add(entity, "", 1)
+                    for term, place in places.items():
+                        add(entity, term, 1, seen[0][0], place)
+                    for context, around in seen:
+                        for term in around:
+                            add(entity, term, 0, None, None, context)
+                    if len(part) >= 100_000:
+                        yield flush()
+        yield flush()
+
+    small_batches(found.sparkSession)
+    texts = found.where("text IS NOT NULL").select("doc_id", "text_hash", "text")
+    by_doc = held.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.collect_set("entity").alias("entities"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h"))
+    lists = "own array<bigint>, far array<bigint>, near array<bigint>"
+    parts = texts.join(by_doc, same).select("text", "entities").mapInArrow(count, f"entity string, term string, docs long, {lists}")
+    different = [F.size(F.array_distinct(F.flatten(F.collect_list(c)))) for c in ("own", "far", "near")]
+    return parts.groupBy("entity", "term").agg(F.sum("docs").alias("docs"), F.greatest(*different).alias("contexts"))
 
 
 def documents_with(docs: DataFrame, terms: DataFrame, text_col: str, most: int = MAX_TERMS) -> DataFrame:
@@ -194,23 +268,24 @@ def documents_with(docs: DataFrame, terms: DataFrame, text_col: str, most: int =
     return counted.groupBy("term").agg(F.sum("n").alias("in_docs"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """(entity, term, disclosure) of the pairs that reach GENERALISE; all counts are over the whole corpus."""
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term").distinct()
-    pairs = staged(near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support))
-    contexts = (
-        found.select(F.explode("near").alias("x")).select("x.entity", "x.context").distinct()
-        .groupBy("entity").agg(F.count("*").alias("contexts"))
-    )
-    in_docs = documents_with(docs, pairs.select("term").distinct(), text_col)
     n = F.lit(float(max(2, found.count())))
-    seen = F.greatest("in_docs", "together").cast("double")
-    pmi = F.log(n * F.col("together") / (seen * F.col("contexts")))
-    known = F.log(n / F.least(F.col("contexts").cast("double"), n - 1))
+
+    def disclosure(*in_docs: str) -> Column:
+        pmi = F.log(n * F.col("together") / (F.greatest(*in_docs, "together").cast("double") * F.col("holding")))
+        return pmi / F.log(n / F.least(F.col("holding").cast("double"), n - 1))
+
+    counts = staged(shared_documents(found, held, support).where((F.col("contexts") >= support) | (F.col("entity") == "") | (F.col("term") == "")))
+    holding = counts.where("term = ''").select("entity", F.col("docs").alias("holding"))
+    among = counts.where("entity = ''").select("term", F.col("docs").alias("among"))
+    both = counts.where("entity <> '' AND term <> ''").select("entity", "term", F.col("docs").alias("together"))
+    # a term is in all documents at least as often as among those that hold entities: what can't reach the limit goes
+    pairs = staged(both.join(holding, "entity").join(among, "term").where(disclosure("among") >= GENERALISE))
+    in_docs = documents_with(docs, pairs.select("term").distinct(), text_col)
     return (
-        pairs.join(contexts, "entity")
-        .join(in_docs, "term")
-        .select("entity", "term", (pmi / known).alias("disclosure"))
+        pairs.join(in_docs, "term", "left")
+        .select("entity", "term", disclosure("in_docs", "among").alias("disclosure"))
         .where(F.col("disclosure") >= GENERALISE)
     )
 
@@ -218,19 +293,32 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", suppor
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_*, base, added) of each document; ``added`` are the spans of disclosing terms."""
     found = staged(found_in(docs, id_col, text_col))
-    pairs = staged(disclosing(docs, found, text_col))
+    held = held_entities(found)
+    pairs = staged(disclosing(docs, found, held, text_col))
     kind = F.when(F.col("disclosure") >= REMOVE, F.lit("drop")).otherwise(F.lit("term"))
-    added = (
-        found.select("doc_id", "text_hash", F.explode("near").alias("x"))
-        .select("doc_id", "text_hash", "x.entity", "x.term", "x.start", "x.end")
-        .join(pairs, ["entity", "term"])
-        .groupBy("doc_id", "text_hash", "start", "end")
+    wanted = (
+        held.join(pairs, "entity")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "term")
         .agg(F.min(kind).alias("kind"))  # "drop" is before "term"
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
+        .groupBy("__id", "__h")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("wanted"))
     )
+
+    @F.pandas_udf("array<struct<start: bigint, end: bigint, kind: string>>")
+    def places(texts, wanted):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        def one(text: str, kinds: dict) -> list[dict]:
+            kinds, terms = dict(kinds), free_terms(text, base_spans(text))
+            return [{"start": m.start(), "end": m.end(), "kind": kinds[t]} for m in terms if (t := m[0].lower()) in kinds]
+
+        return pd.Series([one(t, w) for t, w in zip(texts, wanted, strict=True)], dtype=object)
+
+    small_batches(docs.sparkSession)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h"))
-    return found.drop("near").join(added, same, "left").drop("__id", "__h")
+    texts = found.where("text IS NOT NULL").select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"])
+    added = texts.join(wanted, same).select("__id", "__h", places("text", "wanted").alias("added"))
+    return found.drop("mentions", "text").join(added, same, "left").drop("__id", "__h")
 
 
 def span_digest(found: DataFrame) -> DataFrame:

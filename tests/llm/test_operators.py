@@ -469,6 +469,16 @@ def test_disclosing_terms(spark):
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, listed.collect())) == [("item", 66), ("zorblax", 6)]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    far = [f"Zorblax asked {'abcdef'[i] * 4} what to do with all these many letters, so write to bob@x.org or to zorblax" for i in range(6)]
+    only = [f"quimby said {'ghijkl'[i] * 4} that one should for this and other things write to the address ann@z.org" for i in range(6)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(far + only)]
+    rows += [(100 + i, "what to do with all these many letters, so that one should for this and other things write to the address said asked", "en", "s") for i in range(60)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(table(spark, rows)).collect()}
+    assert not any("zorblax" in clean[i].lower() or "quimby" in clean[i + 6] for i in range(6))
+    assert all("letters" in clean[i] and "things" in clean[i + 6] for i in range(6))
+
+
 def test_personal_data_edges(spark):
     got = {r["doc_id"]: r for r in pii.span_digest(pii.personal_data(table(spark, EDGES))).collect()}
     assert len(got) == 5 and got[1]["spans"] == "" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
