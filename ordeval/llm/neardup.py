@@ -3,10 +3,13 @@
 1. One pass over whole texts makes each document's shingle set, a 128-bit hash of the set and a signature.
    Documents with equal sets are one node from here on, however many there are.
 2. The forest: TREES orders of the signature (rotations of it). Nodes that share a prefix of DEPTHS[0] values in
-   an order form a region. Within a region, nodes whose codes agree often enough are grouped around a hub (a bound
-   of 5 standard deviations below the threshold), so a group of n copies yields n - 1 candidates, not n * n.
-   A region of more than REGION nodes is dealt into blocks: longer common prefixes and a few hubs link most of its
-   nodes, and the codes of those outside its main group are compared with all nodes of the region.
+   an order form a region; a task reads its regions sorted by the whole order. A node's neighbours with the longest
+   common prefix are then those beside it, and are candidates if their codes agree often enough (a bound of 5 standard
+   deviations below the threshold). What they leave apart is compared from group to group, so a region loses no pair
+   and a group of n copies yields n - 1 candidates, not n * n.
+   The depth adapts to the region: where more than REGION nodes share a prefix, longer ones split them further; these
+   and a few hubs link most of such a region, and the codes of the nodes outside its main group are compared with all
+   nodes of the region, block by block.
 3. The candidates' connected components are classes of nodes that may be linked. Links are confirmed on full
    sets inside each class: a search from node to node that compares only with nodes not yet reached. A class
    with more than CLASS_SHINGLES shingles is not held by one task: its nodes are compared with a few hubs, and
@@ -17,7 +20,10 @@ Two nodes at the threshold miss each other in all regions with probability (1 -
 comparisons, where no group of it is large.
 
 Nulls: null and empty texts have no shingles, are linked with nothing and are kept. A null id is an id like
-others in the result; the least non-null id names a component. Rows that repeat an id are nodes by their text.
+others in the result; the least non-null id names a component, and one without any is named null. Rows that repeat an
+id are told apart by their texts. Equal texts are one node: ties of any number cost one comparison, and the least id
+is kept. Very long texts are sets of hashes like others; a class of them goes to blocks by its shingles. An empty
+table gives no rows. Other columns, whatever their names, are not read and pass through :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import map_arrow, small_batches, staged
+from ordeval.llm.common import free_name, map_arrow, small_batches, staged
 from ordeval.llm.components import connected_components
 
 SHINGLE = 5
@@ -79,12 +85,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("codes", pa.binary())]
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64())]
+    + [(c, pa.binary()) for c in ("node", "sketch", "codes")]
 )
 
 
 def signed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, sketch, codes): set size, set hash, signature, and one byte of each value."""
+    """(doc_id, h, n, node, sketch, codes): text hash, set size, set hash, signature, and one byte of each value."""
 
     def sign(columns: dict[str, list]) -> dict[str, list]:
         n, node, sketch, codes = [], [], [], []
@@ -95,10 +102,10 @@ def signed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             node.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None)
             sketch.append(v.astype(">u2").tobytes() if len(s) else None)
             codes.append((v >> 8 ^ v & 255).astype(np.uint8).tobytes() if len(s) else None)
-        return {"doc_id": columns["doc_id"], "n": n, "node": node, "sketch": sketch, "codes": codes}
+        return {"doc_id": columns["doc_id"], "h": columns["h"], "n": n, "node": node, "sketch": sketch, "codes": codes}
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(given, sign, "doc_id long, n long, node binary, sketch binary, codes binary", SIGNED)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return map_arrow(given, sign, "doc_id long, h long, n long, node binary, sketch binary, codes binary", SIGNED)
 
 
 def prefix(tree: Column, depth: int) -> Column:
@@ -107,6 +114,12 @@ def prefix(tree: Column, depth: int) -> Column:
     return F.substring(around, tree * (2 * VALUES // TREES) + 1, F.lit(2 * depth))
 
 
+def order(tree: Column) -> Column:
+    """The codes of all values in a tree's order."""
+    start = tree * (VALUES // TREES)
+    return F.concat(F.substring("codes", start + 1, F.lit(VALUES)), F.substring("codes", F.lit(1), start))
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with equal first ``keys`` columns; the input is sorted by them."""
     key, rows = None, []
@@ -121,21 +134,34 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield key, rows
 
 
+def neighbours_of(codes: np.ndarray, need: int) -> np.ndarray:
+    """For rows in a tree's order: which agree with the row before them, their neighbour with the longest common
+    prefix on that side, in ``need`` codes or more."""
+    return np.append(False, (codes[1:] == codes[:-1]).sum(axis=1) >= need)
+
+
 def hubs_of(codes: np.ndarray, need: int) -> np.ndarray:
-    """Index of a hub for each row: rows reached from a hub over steps with ``need`` equal codes or more."""
-    hub = np.arange(len(codes))
-    rest = np.arange(1, len(codes))
-    start = 0
-    while True:
-        queue = [start]
+    """Index of a hub for each row: rows reached from a hub over steps with ``need`` equal codes or more.
+
+    Runs of neighbours in the order belong together from the start; then each row of a group is compared with all
+    rows that no group has yet.
+    """
+    run = np.cumsum(~neighbours_of(codes, need))
+    hub = np.full(len(codes), -1)
+    rest = np.arange(len(codes))
+    while len(rest):
+        start = int(rest[0])
+        mine = run[rest] == run[start]
+        queue, rest = rest[mine].tolist(), rest[~mine]
+        hub[queue] = start
         while queue and len(rest):
             near = (codes[rest] == codes[queue.pop()]).sum(axis=1) >= need
-            hub[rest[near]] = start
-            queue.extend(rest[near].tolist())
-            rest = rest[~near]
-        if not len(rest):
-            return hub
-        start, rest = int(rest[0]), rest[1:]
+            if near.any():
+                near = np.isin(run[rest], run[rest[near]])
+                hub[rest[near]] = start
+                queue.extend(rest[near].tolist())
+                rest = rest[~near]
+    return hub
 
 
 PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -249,8 +275,9 @@ def candidates(nodes: DataFrame, threshold: int, region: int = REGION, depths: t
 
         yield from _pairs(pairs())
 
-    coded = regions.join(nodes.select("node", "codes"), "node").select("tree", "key", "node", "codes")
-    dealt = coded.repartition("tree", "key").sortWithinPartitions("tree", "key", "node")
+    coded = regions.join(nodes.select("node", "codes"), "node")
+    coded = coded.select("tree", "key", "node", order(F.col("tree")).alias("codes"))
+    dealt = coded.repartition("tree", "key").sortWithinPartitions("tree", "key", "codes", "node")
     out = dealt.mapInArrow(tie, "a binary, b binary")
     if whole is None:
         return out
@@ -402,55 +429,84 @@ def confirmed_in_large(rows: DataFrame, k: int, threshold: int, limit: int, hubs
     return stars.unionByName(rest)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    k: int = SHINGLE,
-    threshold: int = THRESHOLD,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    region: int = REGION,
-    class_shingles: int = CLASS_SHINGLES,
+def _components(
+    docs: DataFrame, k: int, threshold: int, id_col: str, text_col: str, region: int, class_shingles: int
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
-
-    Documents are linked if 100 * |A n B| >= ``threshold`` * |A u B| for their sets of ``k``-word shingles.
-    """
+    """:func:`near_duplicates` with the hash ``h`` of each text, and ``chosen``: the text that stays for its group."""
     sig = staged(signed(docs, k, id_col, text_col))
+    # a node's text is that of one row, found again by its id and hash
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("least")
     nodes = staged(
         sig.where("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("codes").alias("codes")
-        )
+            least, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("codes").alias("codes")
+        ).select("node", F.col("least.doc_id").alias("first"), F.col("least.h").alias("h"), "n", "sketch", "codes")
     )
     classes = connected_components(candidates(nodes, threshold, region))
     members = staged(
-        classes.select("node", F.col("root").alias("class")).join(nodes.select("node", "first", "n"), "node")
+        classes.select("node", F.col("root").alias("class")).join(nodes.select("node", "first", "h", "n"), "node")
     )
     sizes = members.groupBy("class").agg(F.sum("n").alias("in_class"))
-    given = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     # the members grow with the corpus: the plan is the same at every size, one shuffle of the texts
     wanted = members.join(sizes, "class").hint("merge")
-    texts = given.join(wanted, F.col("__id").eqNullSafe(F.col("first")))
+    texts = given.dropDuplicates(["id", "th"]).join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("h")))
     links = confirmed_in_small(texts.where(F.col("in_class") <= class_shingles), k, threshold)
     if not sizes.where(F.col("in_class") > class_shingles).isEmpty():
         links = links.unionByName(
             confirmed_in_large(texts.where(F.col("in_class") > class_shingles), k, threshold, class_shingles)
         )
     roots = connected_components(links)
-    ends = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = ends.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = ends.join(names, "root").select("node", "component_id")
+    ends = nodes.select("node", "first", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.min(F.struct(F.col("first").isNull().alias("unnamed"), "first", "h", "node")).alias("least")
+    names = ends.groupBy("root").agg(least).select("root", F.col("least.first").alias("component_id"), F.col("least.h").alias("stays"))
+    named = ends.join(names, "root").select("node", "component_id", "stays")
     return (
-        sig.select("doc_id", F.col("n").alias("n_shingles"), "node")
+        sig.select("doc_id", "h", F.col("n").alias("n_shingles"), "node")
         .join(named, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select(
+            "doc_id", "h", "n_shingles",
+            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            (F.col("node").isNull() | (F.col("h") == F.col("stays"))).alias("chosen"),
+        )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    threshold: int = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    region: int = REGION,
+    class_shingles: int = CLASS_SHINGLES,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document.
 
+    Documents are linked if 100 * |A n B| >= ``threshold`` * |A u B| for their sets of ``k``-word shingles.
+    """
+    return _components(docs, k, threshold, id_col, text_col, region, class_shingles).drop("h", "chosen")
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+
+def keep_one(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    threshold: int = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    region: int = REGION,
+    class_shingles: int = CLASS_SHINGLES,
+) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of ``docs``.
 
-    Rows that repeat an id and are kept all stay, so run it on a table with one row for each id.
+    Of rows that repeat an id and a text one stays, and of an id's or null ids' texts in one group one text.
     """
-    kept = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    found = _components(docs, k, threshold, id_col, text_col, region, class_shingles).where("kept AND chosen")
+    id_, hash_, rows = (free_name(docs, c) for c in ("kept_id", "kept_hash", "kept_rows"))
+    kept = staged(found.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(hash_)).agg(F.count("*").alias(rows)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(hash_))
+    alone = docs.join(kept.where(F.col(rows) == 1), same, "left_semi")
+    if kept.where(F.col(rows) > 1).isEmpty():
+        return alone
+    repeated = docs.join(kept.where(F.col(rows) > 1), same).dropDuplicates([id_, hash_])
+    return alone.unionByName(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -245,6 +245,44 @@ def test_near_duplicates_complete_large_regions(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(24)}
 
 
+@pytest.mark.parametrize("options", [{}, {"region": 8}, {"region": 2}, {"region": 8, "class_shingles": 3000}])
+def test_near_duplicates_families_in_any_region(spark, options):
+    # variants that are linked to their base alone, at 0.85 to 0.9: most pairs of a region are no links
+    rng, rows = random.Random(17), []
+    for _ in range(12):
+        base = [f"b{rng.random()}" for _ in range(120)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(25):
+            words = list(base)
+            for at in rng.sample(range(0, 120, 4), 3):
+                words[at] = f"v{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    got = neardup.near_duplicates(table(spark, [(d, t, "en", "s") for d, t in rows]), 3, 85, **options).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85)
+
+
+@pytest.mark.parametrize("limit", [neardup.CLASS_SHINGLES, 100])
+def test_near_duplicates_of_repeated_and_null_ids(spark, limit):
+    rng, rows = random.Random(18), []
+    for d in [0, 1, 2, 3, 4, 5, None, None]:  # two texts for each id; every text is linked with the next id's
+        rows.append((d, " ".join(rng.choice(WORDS) for _ in range(60))))
+    rows += [(None if d is None else (d + 3) % 6, t + " tail") for d, t in rows]
+    rows += rows[:3] + [(None, "q w e r t y")] * 50
+    numbered = dict(enumerate(rows))
+    want = brute_components([(i, t) for i, (_, t) in numbered.items()], 3, 85)
+    names = {}
+    for i, (d, _) in numbered.items():
+        if d is not None:
+            names[want[i][1]] = min(d, names.get(want[i][1], d))
+    expected = sorted(((d, want[i][0], names.get(want[i][1])) for i, (d, _) in numbered.items()), key=str)
+    df = table(spark, [(d, t, "en", "s") for d, t in rows])
+    got = neardup.near_duplicates(df, 3, 85, class_shingles=limit).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == expected
+    clash = df.withColumnsRenamed({"size": "kept_id", "id": "__id"}).withColumnRenamed("n_chars", "KEPT_HASH")
+    kept = neardup.keep_one(clash, 3, 85, class_shingles=limit)
+    assert kept.columns == clash.columns and kept.count() == len({root for _, root in want.values()})
+
+
 def test_near_duplicates_edges(spark):
     rows = [*EDGES, (6, "A b", "en", "a"), (7, "a  B", "en", "a"), (8, "a b c", "en", "a"), (8, "q r s", "en", "a")]
     got = neardup.near_duplicates(table(spark, rows), 3, 85).collect()
