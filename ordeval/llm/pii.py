@@ -1,22 +1,32 @@
 """Personal data: base patterns and information-theoretic sanitisation (operator 8).
 
-Emails, IP addresses, card and phone numbers are found by fixed patterns. Each found value is a protected
-entity. From the whole corpus it is then estimated how strongly the terms of the documents that hold an entity
-reveal it: with N documents, n(t) that have term t, n(e) that hold entity e and n(t, e) that have both, the
-disclosure is PMI(t; e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)), 1 for a term that occurs nowhere
-else. Terms from GENERALISE on are replaced by a general mark, from REMOVE on they are taken out, wherever they
-occur in a document that holds the entity. A pair counts from SUPPORT different contexts of the entity or of the
-term on, so copies of one passage reveal nothing; nor does what shares fewer contexts, so rare entities stay out.
+Emails, IP addresses, card and phone numbers are found by fixed patterns. Protected entities are each found value and
+the group it belongs to (an email's domain, the first two parts of an IP address, the first digits of a card or phone
+number), so that values that are mentioned once are judged together. From the whole corpus it is then estimated how
+strongly the terms of the documents that hold an entity reveal it: with N documents, n(t) that have term t, n(e) that
+hold entity e and n(t, e) that have both, the disclosure is PMI(t; e) / IC(e) = log(N n(t, e) / (n(t) n(e))) /
+log(N / n(e)), 1 for a term that occurs nowhere else. All four are counts of documents over all their terms.
+
+Terms from GENERALISE on are replaced by the wider class of what they reveal (``[EMAIL TERM]``), from REMOVE on they
+are taken out, wherever they occur in a document that holds the entity. A pair must not be a coincidence: its
+witnesses are the different contexts of the entity or of the term in the texts that share them, and the chance
+that as many meet at random (Chernoff's bound on the binomial tail), times the number of pairs looked at, is at most
+CHANCE. So exact copies of one passage are one witness and disclose nothing, and one witness is never enough, however
+rare its terms are. Near copies that differ next to the entity or to the term count as witnesses of their own.
 
 The first pass reads whole texts and leaves narrow rows, and the texts that hold entities; those are read again for
 the pairs and for the marks. One more pass counts the candidate terms in all documents. Candidate terms are
-broadcast up to MAX_TERMS, a bound that is checked; beyond it they are joined.
+broadcast up to MAX_TERMS, a bound that is checked; beyond it the same counts are joined.
 
-Nulls: a null text is an empty one and null ids pass through. Rows that repeat an id are told apart by text.
+Nulls: a null text is an empty one and null ids pass through. Rows that repeat an id are told apart by text; repeated
+rows get the same spans. Ties: of equal disclosures the first kind of ``BASE`` names the class. Very long texts are
+read whole; spans are looked up in order, so many spans cost n log n steps. An empty table gives no rows. Other
+columns are not read, whatever their names, and pass through :func:`sanitised`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -24,18 +34,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import map_arrow, small_batches, staged
+from ordeval.llm.common import free_name, map_arrow, small_batches, staged
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "term", "drop")
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}
+KINDS = (*BASE, *(f"{k}_term" for k in BASE), "drop")
+MARKS = {k: "" if k == "drop" else f"[{k.upper().replace('_', ' ')}]" for k in KINDS}
 CONTEXT_WORDS = 5
-SUPPORT = 3
+CHANCE = 0.01
 GENERALISE, REMOVE = 0.85, 0.97
 MAX_TERMS = 200_000
+#: Contexts of a pair are counted exactly up to this number, from their least hashes beyond it.
+LEAST_HASHES = 16
 
 # A run of word characters before an @ is found from the @, so long runs cost no retries.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,21 +133,33 @@ def _context(terms: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(terms).encode("utf-8", "surrogatepass")) >> 1
 
 
-def mentions(text: str, spans: list[Span], terms: list[re.Match], words: int = CONTEXT_WORDS) -> list[tuple[str, int, list[str]]]:
-    """(entity, context, terms of the context) for each base span; ``terms`` as :func:`free_terms` gives them.
+def group_of(kind: str, value: str) -> str:
+    """What a value belongs to: the domain of an email, two parts of an IP address, the first digits of a number."""
+    if kind == "email":
+        return value.rpartition("@")[2].lower()
+    return ".".join(value.split(".")[:2]) if kind == "ip" else value[: 6 if kind == "card" else 4]
 
-    Spans are looked up in order, so a very long text with many spans takes n log n steps.
-    """
-    starts, ends = [m.start() for m in terms], [m.end() for m in terms]
-    out = []
+
+def mentions(text: str, spans: list[Span], terms: list[str], starts: list[int], ends: list[int]) -> dict[str, int]:
+    """The context of the first mention of each entity of a text (the terms around it); values and their groups."""
+    out: dict[str, int] = {}
     for s, e, kind in spans:
-        last, following = bisect_right(ends, s), bisect_left(starts, e)
-        around = [m[0].lower() for m in terms[max(0, last - words) : last] + terms[following : following + words]]
-        entity = f"{kind}:{_digits(text[s:e]) if kind in ('card', 'phone') else text[s:e]}"
-        out.append((entity, _context(around), around))
+        value = _digits(text[s:e]) if kind in ("card", "phone") else text[s:e]
+        names = [n for n in (f"{kind}:{value}", f"{kind}@{group_of(kind, value)}") if n not in out]
+        if names:
+            last, following = bisect_right(ends, s), bisect_left(starts, e)
+            around = terms[max(0, last - CONTEXT_WORDS) : last] + terms[following : following + CONTEXT_WORDS]
+            out.update(dict.fromkeys(names, _context(around)))
     return out
 
 
+def read_terms(text: str, spans: list[Span]) -> tuple[list[str], dict[str, int]]:
+    """The terms of a text outside its spans, in order, and the entities it holds with their contexts."""
+    found = free_terms(text, spans)
+    terms = [m[0].lower() for m in found]
+    return terms, mentions(text, spans, terms, [m.start() for m in found], [m.end() for m in found])
+
+
 FOUND = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -161,8 +185,8 @@ def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for k in BASE:
                 out[f"n_{k}"].append(kinds[k])
             out["base"].append(listed(spans))
-            held = mentions(text, spans, free_terms(text, spans)) if spans else []
-            out["mentions"].append([{"entity": e, "context": c} for e, c, _ in held])
+            held = read_terms(text, spans)[1] if spans else {}
+            out["mentions"].append([{"entity": e, "context": c} for e, c in held.items()])
             out["text"].append(text if spans else None)
         return out
 
@@ -174,22 +198,30 @@ def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(given, find, f"doc_id long, text_hash long, {counts}, base string, mentions {held}, text string", FOUND)
 
 
-def held_entities(found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, text_hash, entity) of the entities that can have ``support`` contexts with a term."""
-    each = found.select("doc_id", "text_hash", F.explode("mentions").alias("x")).select("doc_id", "text_hash", "x.entity", "x.context")
-    count = lambda c: each.select("entity", c).distinct().groupBy("entity").count().where(F.col("count") >= support)
-    enough = count("context").select("entity").unionByName(count("text_hash").select("entity")).distinct()
-    return staged(each.select("doc_id", "text_hash", "entity").distinct().join(enough, "entity"))
+def held_entities(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, entity) of the entities that more than one text holds: others can have no two witnesses."""
+    each = found.select("doc_id", "text_hash", F.explode("mentions.entity").alias("entity"))
+    often = each.groupBy("entity").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
+    return staged(each.distinct().join(often.select("entity"), "entity"))
 
 
-PART = pa.schema(
-    [("entity", pa.string()), ("term", pa.string()), ("docs", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("own", "far", "near")]]
-)
+PART = pa.schema([("entity", pa.string()), ("term", pa.string()), ("docs", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("own", "far")]])
+
 
+def _least(hashes: str) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(hashes)))), 1, LEAST_HASHES)
 
-def shared_documents(found: DataFrame, held: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, docs, contexts): documents with both. Rows with the term '' count an entity's documents, rows
-    with the entity '' those of a term among the documents that hold any. Up to ``support`` contexts are told apart.
+
+def different(hashes: str) -> Column:
+    """How many different ones of the lists ``hashes`` of a group there are, from its LEAST_HASHES least ones."""
+    least = _least(hashes)
+    share = F.element_at(least, -1) / F.lit(float(1 << 63))
+    return F.when(F.size(least) < LEAST_HASHES, F.size(least).cast("double")).otherwise((LEAST_HASHES - 1) / share)
+
+
+def shared_documents(found: DataFrame, held: DataFrame) -> DataFrame:
+    """(entity, term, docs, witnesses): documents with both, and in how many different contexts. Rows with the term ''
+    count an entity's documents, rows with the entity '' those of a term among the documents that hold any.
 
     Each task sums up its own documents first, so a frequent entity is a few rows a task.
     """
@@ -198,39 +230,31 @@ def shared_documents(found: DataFrame, held: DataFrame, support: int = SUPPORT)
         part: dict[tuple[str, str], list] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(*k, n, *map(list, sets)) for k, (n, *sets) in part.items()]
+            rows = [(*k, n, *(sorted(s)[:LEAST_HASHES] for s in sets)) for k, (n, *sets) in part.items()]
             columns = list(zip(*rows)) if rows else [[] for _ in PART]
             part.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PART, strict=True)], schema=PART)
 
-        def add(entity: str, term: str, docs: int, *contexts: int | None) -> None:
-            row = part.setdefault((entity, term), [0, set(), set(), set()])
-            row[0] += docs
+        def add(entity: str, term: str, *contexts: int) -> None:
+            row = part.setdefault((entity, term), [0, set(), set()])
+            row[0] += 1
             for known, context in zip(row[1:], contexts):
-                if context is not None and len(known) < support:
-                    known.add(context)
+                known.add(context)
+                if len(known) > 4 * LEAST_HASHES:
+                    known.difference_update(sorted(known)[LEAST_HASHES:])
 
         for b in batches:
             for text, entities in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                spans = base_spans(text)
-                terms = free_terms(text, spans)
-                lower = [m[0].lower() for m in terms]
+                terms, own = read_terms(text, base_spans(text))
                 places: dict[str, int] = {}
-                for i, term in enumerate(lower):
+                for i, term in enumerate(terms):
                     if term not in places:
-                        places[term] = _context(lower[max(0, i - CONTEXT_WORDS) : i + CONTEXT_WORDS + 1])
-                        add("", term, 1)
-                kept, by = set(entities), {}
-                for entity, context, around in mentions(text, spans, terms):
-                    if entity in kept:
-                        by.setdefault(entity, []).append((context, around))
-                for entity, seen in by.items():
-                    add(entity, "", 1)
+                        places[term] = _context(terms[max(0, i - CONTEXT_WORDS) : i + CONTEXT_WORDS + 1])
+                        add("", term)
+                for entity in entities:
+                    add(entity, "")
                     for term, place in places.items():
-                        add(entity, term, 1, seen[0][0], place)
-                    for context, around in seen:
-                        for term in around:
-                            add(entity, term, 0, None, None, context)
+                        add(entity, term, own[entity], place)
                     if len(part) >= 100_000:
                         yield flush()
         yield flush()
@@ -239,55 +263,76 @@ def shared_documents(found: DataFrame, held: DataFrame, support: int = SUPPORT)
     texts = found.where("text IS NOT NULL").select("doc_id", "text_hash", "text")
     by_doc = held.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.collect_set("entity").alias("entities"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h"))
-    lists = "own array<bigint>, far array<bigint>, near array<bigint>"
-    parts = texts.join(by_doc, same).select("text", "entities").mapInArrow(count, f"entity string, term string, docs long, {lists}")
-    different = [F.size(F.array_distinct(F.flatten(F.collect_list(c)))) for c in ("own", "far", "near")]
-    return parts.groupBy("entity", "term").agg(F.sum("docs").alias("docs"), F.greatest(*different).alias("contexts"))
+    parts = texts.join(by_doc, same).select("text", "entities").mapInArrow(count, "entity string, term string, docs long, own array<bigint>, far array<bigint>")
+    # a pair that many tasks met is merged in some groups first, so that no list grows with the number of tasks
+    some = F.pmod(F.spark_partition_id(), F.lit(64)).alias("some")
+    merged = parts.groupBy("entity", "term", some).agg(F.sum("docs").alias("docs"), *[_least(c).alias(c) for c in ("own", "far")])
+    return merged.groupBy("entity", "term").agg(F.sum("docs").alias("docs"), F.greatest(different("own"), different("far")).alias("witnesses"))
 
 
 def documents_with(docs: DataFrame, terms: DataFrame, text_col: str, most: int = MAX_TERMS) -> DataFrame:
-    """(term, in_docs): in how many of all documents each of ``terms`` (distinct) occurs."""
-    if terms.limit(most + 1).count() > most:
-        words = docs.select(
-            F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}]{3,})"), 1))).alias("term")
-        )
-        return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("in_docs"))
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
+    """(term, in_docs): in how many of all documents each of ``terms`` (distinct) occurs.
+
+    Terms are the same at every size: matched in the text as it is, then put in lower case. Each task sums up first.
+    """
+    few = terms.limit(most + 1).count() <= most
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect())) if few else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())]
+            total.clear()
+            return pa.RecordBatch.from_arrays(columns, ["term", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                total.update(wanted.value.intersection(_TERM.findall((text or "").lower())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"]
-        )
+                held = {t.lower() for t in set(_TERM.findall(text or ""))}
+                total.update(held if wanted is None else wanted.value & held)
+                if len(total) > most:
+                    yield flush()
+        yield flush()
 
     small_batches(docs.sparkSession)
     counted = docs.select(text_col).mapInArrow(count, "term string, n long")
+    if not few:
+        counted = counted.join(terms, "term", "left_semi")
     return counted.groupBy("term").agg(F.sum("n").alias("in_docs"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that reach GENERALISE; all counts are over the whole corpus."""
-    n = F.lit(float(max(2, found.count())))
+def surprise(together: Column, in_docs: Column, holding: Column, witnesses: Column, n: Column) -> Column:
+    """How unlikely it is, as -log of a bound, that a term that has nothing to do with the entity shares it as often:
+    the Chernoff bound of the binomial tail, for as many trials as the pair's witnesses stand for."""
+    q, p = together / in_docs, holding / n
+    apart = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(F.lit(0.0))
+    return F.when(q > p, F.least(witnesses, together) / q * (q * F.log(q / p) + apart)).otherwise(F.lit(0.0))
 
-    def disclosure(*in_docs: str) -> Column:
-        pmi = F.log(n * F.col("together") / (F.greatest(*in_docs, "together").cast("double") * F.col("holding")))
-        return pmi / F.log(n / F.least(F.col("holding").cast("double"), n - 1))
 
-    counts = staged(shared_documents(found, held, support).where((F.col("contexts") >= support) | (F.col("entity") == "") | (F.col("term") == "")))
-    holding = counts.where("term = ''").select("entity", F.col("docs").alias("holding"))
+def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, term, disclosure) of the pairs that reach GENERALISE and are no coincidence; all counts are over the
+    whole corpus."""
+    n = F.lit(float(max(2, found.count())))
+    looked = Observation()
+    is_pair = (F.col("entity") != "") & (F.col("term") != "")
+    counts = shared_documents(found, held).observe(looked, F.count_if(is_pair).alias("pairs"))
+    counts = staged(counts.where(~is_pair | (F.col("witnesses") >= 2)))
+    limit = math.log(max(1, looked.get["pairs"]) / CHANCE)
+    holding = counts.where("term = ''").select("entity", F.least(F.col("docs").cast("double"), n - 1).alias("holding"))
     among = counts.where("entity = ''").select("term", F.col("docs").alias("among"))
-    both = counts.where("entity <> '' AND term <> ''").select("entity", "term", F.col("docs").alias("together"))
-    # a term is in all documents at least as often as among those that hold entities: what can't reach the limit goes
-    pairs = staged(both.join(holding, "entity").join(among, "term").where(disclosure("among") >= GENERALISE))
+    both = counts.where(is_pair).select("entity", "term", F.col("docs").cast("double").alias("together"), "witnesses")
+
+    def enough(df: DataFrame, in_docs: Column) -> DataFrame:
+        pmi = F.log(n * F.col("together") / (in_docs * F.col("holding")))
+        unlikely = surprise(F.col("together"), in_docs, F.col("holding"), F.col("witnesses"), n)
+        named = df.withColumn("disclosure", pmi / F.log(n / F.col("holding")))
+        return named.where((F.col("disclosure") >= GENERALISE) & (unlikely >= limit))
+
+    # a term is in all documents at least as often as among those that hold entities: what can't reach the limits goes
+    pairs = staged(enough(both.join(holding, "entity").join(among, "term"), F.col("among").cast("double")))
     in_docs = documents_with(docs, pairs.select("term").distinct(), text_col)
-    return (
-        pairs.join(in_docs, "term", "left")
-        .select("entity", "term", disclosure("in_docs", "among").alias("disclosure"))
-        .where(F.col("disclosure") >= GENERALISE)
-    )
+    every = F.greatest(F.coalesce("in_docs", "among"), "among").cast("double")
+    return enough(pairs.drop("disclosure").join(in_docs, "term", "left"), every).select("entity", "term", "disclosure")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,11 +340,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = staged(found_in(docs, id_col, text_col))
     held = held_entities(found)
     pairs = staged(disclosing(docs, found, held, text_col))
-    kind = F.when(F.col("disclosure") >= REMOVE, F.lit("drop")).otherwise(F.lit("term"))
+    place = F.array_position(F.array(*[F.lit(k) for k in BASE]), F.regexp_extract("entity", "^[a-z]+", 0))
+    kind = F.when(F.col("most.disclosure") >= REMOVE, F.lit("drop"))
+    for i, k in enumerate(BASE):
+        kind = kind.when(F.col("most.place") == -i - 1, F.lit(f"{k}_term"))
     wanted = (
         held.join(pairs, "entity")
         .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "term")
-        .agg(F.min(kind).alias("kind"))  # "drop" is before "term"
+        .agg(F.max(F.struct("disclosure", (-place).alias("place"))).alias("most"))
+        .select("__id", "__h", "term", kind.alias("kind"))
         .groupBy("__id", "__h")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("wanted"))
     )
@@ -362,11 +411,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     broadcasts it while it is small.
     """
     found = personal_data(docs, id_col, text_col)
+    id_, hash_, more = (free_name(docs, c) for c in ("found_id", "found_hash", "found_spans"))
+    listed_spans = F.transform("added", lambda a: F.concat_ws(":", a["kind"], a["start"].cast("string"), a["end"].cast("string")))
+    marked = found.where("added IS NOT NULL")
     added = staged(
-        found.where("added IS NOT NULL").select(
-            F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.transform("added", lambda a: F.concat_ws(":", a["kind"], a["start"].cast("string"), a["end"].cast("string"))).alias("__added")
-        ).distinct()
-    )
+        marked.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), listed_spans.alias(more)).distinct()
+    )
 
     @F.pandas_udf("string")
     def clean(texts, added):  # noqa: ANN001, ANN202
@@ -384,8 +434,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return pd.Series([one(t, a) for t, a in zip(texts, added, strict=True)], dtype=object)
 
     small_batches(docs.sparkSession)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
-    out = docs.join(added, same, "left").withColumn(text_col, clean(F.col(text_col), F.col("__added")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(hash_))
+    out = docs.join(added, same, "left").withColumn(text_col, clean(F.col(text_col), F.col(more)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

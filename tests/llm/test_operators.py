@@ -517,6 +517,81 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert all("letters" in clean[i] and "things" in clean[i + 6] for i in range(6))
 
 
+def planted_terms(rng):
+    """Documents of common words; code names go with an address (6 documents each) or with a domain whose addresses
+    are each mentioned once."""
+    rows, planted = [], set()
+    for i in range(500):
+        words = some_text(rng, 40).replace("w", "word").translate({48 + d: "abcdefghij"[d] for d in range(10)}).split()
+        if i % 4 == 0:
+            g = i // 4 % 20
+            address = f"boss{'abcdefghij'[g]}@corp.org" if g < 10 else f"p{i}@firm{'abcdefghij'[g - 10]}.org"
+            name = f"Code{'abcdefghijklmnopqrst'[g]}x"
+            words.insert(rng.randrange(40), address)
+            words.insert(rng.randrange(41), name)
+            planted.add((i, name.lower()))
+        rows.append((i, " ".join(words), "en", "s"))
+    return rows, planted
+
+
+def brute_disclosing(rows):
+    n = len(rows)
+    docs = []
+    for _, text, *_ in rows:
+        spans = brute_spans(text)
+        free = [m for m in re.finditer(r"[^\W\d_]{3,}", text) if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+        terms, held = [m[0].lower() for m in free], {}
+        for s, e, kind in spans:
+            before, after = [m[0].lower() for m in free if m.end() <= s], [m[0].lower() for m in free if m.start() >= e]
+            for entity in (f"{kind}:{text[s:e]}", f"{kind}@{text[s:e].split('@')[-1]}"):
+                held.setdefault(entity, (*before[-5:], *after[:5]))
+        places = {t: tuple(terms[max(0, terms.index(t) - 5) : terms.index(t) + 6]) for t in set(terms)}
+        docs.append((text, held, places))
+    entities = {e for _, held, _ in docs for e in held}
+    often = {e for e in entities if len({t for t, held, _ in docs if e in held}) > 1}
+    shared = {}
+    for _, held, places in docs:
+        for e in often & set(held):
+            for t, place in places.items():
+                shared.setdefault((e, t), []).append((held[e], place))
+    out = {}
+    for (e, t), seen in shared.items():
+        both, witnesses = len(seen), max(len({c for c, _ in seen}), len({c for _, c in seen}))
+        with_t, with_e = sum(t in p for *_, p in docs), min(n - 1, sum(e in h for _, h, _ in docs))
+        q, p = both / with_t, with_e / n
+        disclosure = math.log(q / p) / math.log(1 / p)
+        if witnesses >= 2 and disclosure >= pii.GENERALISE:
+            apart = (1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0
+            if witnesses / q * (q * math.log(q / p) + apart) >= math.log(len(shared) / pii.CHANCE):
+                out[e, t] = disclosure
+    return out
+
+
+def test_disclosure_equals_brute_force_and_finds_planted_terms(spark):
+    rows, planted = planted_terms(random.Random(31))
+    docs = table(spark, rows)
+    found = pii.found_in(docs, "doc_id", "text")
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing(docs, found, pii.held_entities(found)).collect()}
+    want = brute_disclosing(rows)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    marked = set()
+    for r in pii.personal_data(docs).where("added IS NOT NULL").collect():
+        marked |= {(r["doc_id"], rows[r["doc_id"]][1][a["start"] : a["end"]].lower()) for a in r["added"]}
+    assert marked == planted  # every planted term, and nothing else
+
+
+def test_wider_class_names_what_a_term_reveals():
+    assert pii.replaced("ask Zorb now", [(4, 8, "ip_term")]) == "ask [IP TERM] now"
+    assert pii.group_of("email", "a@B.org") == "b.org" and pii.group_of("ip", "1.2.3.4") == "1.2"
+
+
+def test_counts_of_terms_are_alike_at_every_size(spark):
+    docs = table(spark, [(1, "Ⅷabc İstanbul aªb x²y", "en", "s"), (2, "istanbul ⅷABC AªB", "en", "s"), (3, None, "en", "s")])
+    terms = spark.createDataFrame([(t.lower(),) for t in {m for x in ("Ⅷabc İstanbul aªb x²y",) for m in pii._TERM.findall(x)}], "term string")
+    few, many = (sorted(map(tuple, pii.documents_with(docs, terms, "text", most=m).collect())) for m in (100, 1))
+    assert few == many and few
+
+
 def test_personal_data_edges(spark):
     got = {r["doc_id"]: r for r in pii.span_digest(pii.personal_data(table(spark, EDGES))).collect()}
     assert len(got) == 5 and got[1]["spans"] == "" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
