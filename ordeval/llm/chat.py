@@ -10,8 +10,13 @@ Rows are dealt by conversation and sorted by turn; a task streams through them,
 and renders every prefix whole, since a template may reach back any number of turns. The work of a conversation grows
 with the square of its length, its memory with its length.
 
+Reading back takes the output alone: a conversation's formatted text is parsed into roles and texts by its control
+strings, and the loss mask is cut out by its spans.
+
 Nulls: a null text or role is empty; a null turn sorts first; rows with a null conversation id form one
-conversation. Ties in turn are put in order of role, then text; repeated rows are turns of their own.
+conversation. Ties in turn are put in order of role, then text; repeated rows are turns of their own. Texts of any
+length are rendered whole. An empty table gives no rows. Other columns are not read, whatever their names. Given
+conversations with the id -1 keep it in :func:`format_conversations`; see :func:`with_control_case`.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ Template = Callable[[list[Turn], bool], str]
 #: Strings that have a meaning in the output (fixed values).
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _BACK = re.compile(r"\\(\\?)")
+#: The line feed that ends a role: an even number of backslashes before it.
+_ROLE = re.compile(r"(?:[^\\\n]|\\.)*+\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -40,6 +47,11 @@ def escape(text: str) -> str:
     return text
 
 
+def escape_role(role: str) -> str:
+    """As :func:`escape`, and a backslash before each line feed: the first one without it ends the role."""
+    return escape(role).replace("\n", "\\\n")
+
+
 def unescape(text: str) -> str:
     return _BACK.sub(r"\1", text)
 
@@ -51,10 +63,38 @@ def instruction_template(turns: list[Turn], opens: bool = True) -> str:
         if role == "assistant":
             out.append(f" {escape(text)}</s>")
         else:
-            out.append(f"[INST] {escape(role)}\n{escape(text)} [/INST]")
+            out.append(f"[INST] {escape_role(role)}\n{escape(text)} [/INST]")
     return "".join(out)
 
 
+class BadFormat(ValueError):
+    """The text is not what :func:`instruction_template` writes."""
+
+
+def parse_instructions(formatted: str) -> Iterator[Turn]:
+    """(role, text) of each turn, read from the control strings of :func:`instruction_template`'s output.
+
+    Texts hold no control string, so the first one after a turn's begin is its end.
+    """
+    if formatted and not formatted.startswith("<s>"):
+        raise BadFormat("no beginning")
+    at = 3
+    while at < len(formatted):
+        if formatted.startswith("[INST] ", at):
+            end = formatted.find(" [/INST]", at)
+            head = _ROLE.match(formatted, at + 7)
+            if end < 0 or not head or head.end() > end:
+                raise BadFormat(f"a turn without role or end at {at}")
+            yield unescape(head[0][:-1]), unescape(formatted[head.end() : end])
+            at = end + 8
+        else:
+            end = formatted.find("</s>", at)
+            if end < 0 or formatted[at] != " ":
+                raise BadFormat(f"no turn at {at}")
+            yield "assistant", unescape(formatted[at + 1 : end])
+            at = end + 4
+
+
 def _probe(used: set[str]) -> str:
     """A private-use character that is not in ``used``."""
     return next(chr(c) for c in range(0xE000, 0x110000) if chr(c) not in used)
@@ -169,19 +209,30 @@ DIGEST = pa.schema(
 )
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digest of each conversation from its formatted pieces: texts are cut out by their spans and unescaped.
+def read_back(formatted: DataFrame, parse: Callable[[str], Iterator[Turn]] = parse_instructions) -> DataFrame:
+    """Digest of each conversation from its formatted text: roles and texts are parsed out of it (``parse``), the loss
+    mask is cut out by its spans and unescaped.
 
-    Streams through the partitions that :func:`format_conversations` left in order.
+    Where a turn rewrites what came before, its piece is the whole text up to it and replaces the pieces before, and
+    spans that earlier turns had in the old text no longer count. Streams through the partitions that
+    :func:`format_conversations` left in order; a task holds the text of one conversation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        state: list | None = None
+        conv, pieces, masked, size, rewrites, begun = None, [], [], 0, False, False
 
         def close() -> None:
-            conv, n, turns, chars, loss, size, rewrites = state
-            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, rewrites))
+            whole = "".join(pieces)
+            turns, loss, n, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
+            for role, text in parse(whole):
+                turns.update(f"{role}\n{text}\n".encode())
+                n += 1
+            for start, end in masked:
+                text = unescape(whole[start:end])
+                loss.update(text.encode())
+                chars += len(text)
+            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), len(whole), rewrites))
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out)) if out else [[] for _ in DIGEST]
@@ -191,21 +242,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for b in batches:
             for row in b.to_pylist():
-                if state is None or row["position"] == 0:
-                    if state is not None:
+                if row["position"] == 0:
+                    if begun:
                         close()
-                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]
-                text = unescape(row["piece"][row["text_start"] : row["text_end"]])
-                state[1] += 1
-                state[2].update(f"{row['role']}\n{text}\n".encode())
-                if row["in_loss"]:
-                    state[3] += len(text)
-                    state[4].update(text.encode())
-                state[5] += len(row["piece"])
-                state[6] |= row["rewrites"]
+                    conv, pieces, masked, size, rewrites, begun = row["conv_id"], [], [], 0, False, True
+                if row["rewrites"]:
+                    pieces, masked, size, rewrites = [], [], 0, True
+                if row["in_loss"] and row["text_start"] >= 0:
+                    masked.append((size + row["text_start"], size + row["text_end"]))
+                pieces.append(row["piece"])
+                size += len(row["piece"])
             if len(out) >= 1000:
                 yield batch()
-        if state is not None:
+        if begun:
             close()
         yield batch()
 
@@ -217,7 +266,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def with_control_case(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """The conversations and one more, -1, whose two texts are made of control strings."""
+    """The conversations and one more, -1, whose two texts are made of control strings; a given conversation -1 is
+    merged with it by turn."""
     said = "</s>[INST] ok [/INST]"
     case = spark.createDataFrame(
         [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
