@@ -2,15 +2,20 @@
 
 Documents are dealt by a hash into shards of about ``SHARD_DOCS`` documents, and every shard is packed on its
 own in one task, so no task sees more than a shard. In a shard the pieces go from the longest to the shortest.
-Open bins are in order of their residual; each carries a bitmap of the sources in it (one plane per allowed
-document of a source) and a bitmap of the duplicate clusters in it. The search begins at the tightest residual
-that fits and goes on to the next bin until it finds one that is compatible; if none is, it opens a bin.
+Open bins are in order of their residual; each carries a bitmap of the sources that it has enough of and a bitmap of
+the duplicate clusters in it. The search begins at the tightest residual that fits and goes on to the next bin until
+it finds one that is compatible; if none is, it opens a bin.
 
 A document longer than the capacity fills bins of its own; its last piece is packed like a document.
-Two documents of one duplicate cluster never share a bin, nor do more than ``per_source`` of one source.
-
-Nulls: a null text is an empty text, a null source is a source, null ids hash like a value. Empty documents
-become pieces of no words. Rows that repeat an id and a text are copies of each other (one cluster).
+Two documents of one duplicate cluster never share a bin, nor do more of one source than its limit: twice what a bin
+would hold of it if the shard were mixed evenly, and at least ``PER_SOURCE``. So a corpus of few sources or of tiny
+documents fills its bins too. A fixed ``per_source`` limits every source alike, and bins stay as empty as it demands.
+
+Nulls: a null text is an empty text, a null source is a source, null ids are documents of their own. Empty documents
+become pieces of no words, which conflict with nothing but their source's limit. Rows that repeat an id and a text are
+copies of each other (one cluster); like null ids they are dealt by row, so no shard gets more of them than of others.
+Ties: of equal sizes the lower id, then the cluster comes first; of equal bins the first opened. Very long texts are
+cut at the capacity. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import n_words
+from ordeval.llm.common import n_words, staged
 
 CAPACITY = 4096
-PER_SOURCE = 6
+PER_SOURCE, EVEN = 6, 2
 SHARD_DOCS = 4096
 
 PACKED = "doc_id long, part int, start_word long, n_words long, shard int, bin int, bin_start int, bin_id long"
@@ -33,17 +38,19 @@ PACKED = "doc_id long, part int, start_word long, n_words long, shard int, bin i
 class Bins:
     """The open bins of a shard in order of residual."""
 
-    def __init__(self, capacity: int, per_source: int) -> None:
-        self.capacity, self.per_source = capacity, per_source
+    def __init__(self, capacity: int, limits: dict[int, int]) -> None:
+        self.capacity, self.limits = capacity, limits  # documents of each source in a bin, at most
         self.levels: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual
         self.filled = 0  # bit r: some bin has residual r
         self.residual: list[int] = []
-        self.planes: list[list[int]] = []  # plane k, bit s: at least k + 1 documents of source s
+        self.held: list[dict[int, int]] = []  # documents of each source
+        self.full: list[int] = []  # bit s: no more of source s
         self.clusters: list[int] = []
 
     def open(self) -> int:
         self.residual.append(self.capacity)
-        self.planes.append([0] * self.per_source)
+        self.held.append({})
+        self.full.append(0)
         self.clusters.append(0)
         self._enter(len(self.residual) - 1, self.capacity)
         return len(self.residual) - 1
@@ -54,7 +61,6 @@ class Bins:
 
     def successor(self, size: int, source: int, cluster: int) -> int:
         """The tightest compatible bin, the earliest opened among equals; -1 if there is none."""
-        full = self.per_source - 1
         ahead = self.filled >> size
         level = size
         while ahead:
@@ -62,7 +68,7 @@ class Bins:
             level += step
             best = -1
             for i in self.levels[level]:
-                if not self.clusters[i] & cluster and not self.planes[i][full] & source and (best < 0 or i < best):
+                if not self.clusters[i] & cluster and not self.full[i] & source and (best < 0 or i < best):
                     best = i
             if best >= 0:
                 return best
@@ -75,10 +81,9 @@ class Bins:
         old = self.residual[i]
         start = self.capacity - old
         self.clusters[i] |= cluster
-        for k, plane in enumerate(self.planes[i]):
-            if not plane & source:
-                self.planes[i][k] = plane | source
-                break
+        self.held[i][source] = held = self.held[i].get(source, 0) + 1
+        if held >= self.limits[source]:
+            self.full[i] |= source
         if size:
             at = self.levels[old]
             at.remove(i)
@@ -89,7 +94,7 @@ class Bins:
         return start
 
 
-def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> pd.DataFrame:
+def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY, per_source: int | None = None) -> pd.DataFrame:
     """Pack one shard: rows of (shard, id, size, source, cluster) to rows of ``PACKED``."""
     rows = rows.sort_values(["size", "id", "cluster"], ascending=[False, True, True], kind="mergesort")
     bits: dict[object, int] = {}
@@ -102,13 +107,15 @@ def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY, per_source: int = P
         size = int(size)
         doc = None if pd.isna(doc) else int(doc)
         source = bits.setdefault(None if pd.isna(source) else source, 1 << len(bits))
-        shared = cluster_bits.setdefault(cluster, 1 << len(cluster_bits)) if copies[cluster] > 1 else 0
+        shared = cluster_bits.setdefault(cluster, 1 << len(cluster_bits)) if size and copies[cluster] > 1 else 0
         parts, rest = divmod(size, capacity)
         whole += [(doc, k, k * capacity, capacity) for k in range(parts)]
         if rest or not parts:
             pieces.append((rest, doc, parts, parts * capacity, source, shared))
     pieces.sort(key=lambda p: -p[0])
-    bins = Bins(capacity, per_source)
+    documents, words = Counter(p[4] for p in pieces), max(1, sum(p[0] for p in pieces))
+    even = {s: max(PER_SOURCE, -(-EVEN * capacity * n // words)) for s, n in documents.items()}
+    bins = Bins(capacity, even if per_source is None else dict.fromkeys(documents, per_source))
     out = []
     for size, doc, part, start, source, cluster in pieces:
         i = bins.successor(size, source, cluster)
@@ -127,7 +134,7 @@ def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY, per_source: int = P
 def best_fit_pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
-    per_source: int = PER_SOURCE,
+    per_source: int | None = None,
     shard_docs: int = SHARD_DOCS,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -139,16 +146,20 @@ def best_fit_pack(
     ``cluster_col`` names the duplicate clusters; without it, documents whose words are equal without regard
     to case or white space are one cluster.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.md5(words)
-    narrow = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        n_words(text).alias("size"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(cluster, F.concat(F.lit("#"), F.col(id_col).cast("string")), F.lit("#")).alias("cluster"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).cast("int"))
+    narrow = staged(
+        docs.select(
+            F.col(id_col).cast("long").alias("id"),
+            n_words(text).alias("size"),
+            F.col(source_col).cast("string").alias("source"),
+            F.coalesce(cluster, F.concat(F.lit("#"), F.col(id_col).cast("string")), F.lit("#")).alias("cluster"),
+            F.monotonically_increasing_id().alias("row"),  # fixed by the staged table, also for lost executors
+        )
+    )
+    shards = max(1, -(-narrow.count() // shard_docs))
+    narrow = narrow.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "row"), F.lit(shards)).cast("int")).drop("row")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(rows, capacity, per_source)
