@@ -9,7 +9,9 @@ The prefix sums come from three levels of counts - (source), (source, size), (so
 id) - so no window ever holds a whole source, however much of the corpus that source has.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), null ids are ordered first.
-Rows that repeat an id are documents of their own in :func:`systematic_mix`. An empty table gives no rows.
+Rows that repeat an id are documents of their own. Ties: equal sizes are in order of bucket, then id; equal rows share
+their copies in any order. Very long texts are counted whole. An empty table gives no rows. Other columns are not
+read, whatever their names, and pass through :func:`mix_documents`.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import n_words, staged
+from ordeval.llm.common import free_name, n_words, staged
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -59,10 +61,15 @@ def source_targets(
     )
 
 
+def hash32(text: Column) -> Column:
+    """The first 32 bits of the MD5 of a string."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def offset(source: Column, seed: int) -> Column:
     """The source's random offset in [0, 1), the same in every run."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")))
-    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return hash32(name).cast("double") / F.lit(4294967296.0)
 
 
 def systematic_mix(
@@ -75,13 +82,14 @@ def systematic_mix(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every document."""
+    """(id, source, size, source_size, target, copies, taken, text_hash) of every document."""
     rows = docs.count()
     buckets = max(BUCKETS, rows // ROWS_A_BUCKET)
     base = staged(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
-        ).withColumn("bucket", F.coalesce(F.pmod(F.col("id"), F.lit(buckets)), F.lit(0)).cast("int"))
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+            F.xxhash64(text_col).alias("text_hash"),
+        ).withColumn("bucket", F.coalesce(F.pmod(hash32(F.col("id").cast("string")), F.lit(buckets)), F.lit(0)).cast("int"))
     )
     by_bucket = base.groupBy("source", "size", "bucket").agg(F.count("*").alias("in_bucket"))
     by_size = by_bucket.groupBy("source", "size").agg(F.sum("in_bucket").alias("in_size"))
@@ -125,7 +133,7 @@ def systematic_mix(
             & (F.col("d.bucket") == F.col("o.bucket")),
         )
         .select(
-            "d.id", "d.source", "d.size", "source_size", "target", (F.col("start") + F.col("place")).alias("place")
+            "d.id", "d.source", "d.size", "d.text_hash", "source_size", "target", (F.col("start") + F.col("place")).alias("place")
         )
         .withColumn("rate", rate)
         .withColumn("u", offset(F.col("source"), seed))
@@ -133,23 +141,34 @@ def systematic_mix(
             "copies",
             F.least(boundary(F.col("place")) - boundary(F.col("place") - 1), F.ceil("rate")).cast("long"),
         )
-        .select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
     )
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, each emitted ``copies`` times, with the columns of ``docs``.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The documents of the mix, each emitted as often as :func:`systematic_mix` says, with the columns of ``docs``.
 
-    Rows that repeat an id all take what the first of them (by size) takes.
+    Rows are found again by id, source and text. Rows that repeat all three share the copies of their group: equal
+    rows are counted first, so a repeated row is a few rows a task, and the groups' copies go to them in order.
     """
-    taken = systematic_mix(docs, id_col=id_col, **options)
-    per_id = (
-        taken.groupBy("id").agg(F.min_by("copies", F.struct("size", "copies")).alias("copies")).where("copies > 0")
-    )
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    return (
-        docs.alias("d")
-        .join(per_id.alias("p"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("p.id")))
-        .select(*names, F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int"))).alias("__copy"))
-        .drop("__copy")
+    taken = systematic_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    id_, source, hash_, copies, rows, place = (free_name(docs, f"mix_{c}") for c in ("id", "source", "hash", "copies", "rows", "place"))
+    group = [F.col("id").alias(id_), F.col("source").alias(source), F.col("text_hash").alias(hash_)]
+    shared = staged(taken.groupBy(*group).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0))
+    same = (
+        F.col(id_col).eqNullSafe(F.col(id_))
+        & F.col(source_col).eqNullSafe(F.col(source))
+        & (F.xxhash64(text_col) == F.col(hash_))
     )
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    each = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int"))).alias(place)
+    out = docs.join(shared.where(F.col(rows) == 1), same).select(*names, each(F.col(copies))).select(*names)
+    if shared.where(F.col(rows) > 1).isEmpty():
+        return out
+    repeated = docs.join(shared.where(F.col(rows) > 1), same)
+    own = free_name(docs, "mix_own")
+    counted = repeated.groupBy(*names, id_, source, hash_, copies, rows).agg(F.count("*").alias(own))
+    so_far = F.sum(own).over(Window.partitionBy(id_, source, hash_).orderBy(*names))
+    until = lambda n: F.floor(F.col(copies) * n / F.col(rows))
+    dealt = counted.withColumn(place, so_far).withColumn(own, until(F.col(place)) - until(F.col(place) - F.col(own)))
+    return out.unionByName(dealt.where(F.col(own) > 0).select(*names, each(F.col(own))).select(*names))

@@ -75,6 +75,22 @@ def test_mixing_edges(spark):
     assert mixed.columns == docs.columns and mixed.count() in (14, 15, 16)
 
 
+def test_mixing_of_repeated_rows_is_what_the_query_takes(spark):
+    rng = random.Random(41)
+    rows = [(i % 20, f"t{i % 23} " * (1 + i % 7), "en", rng.choice(["a", "b", None])) for i in range(300)] + [(None, "x y", "en", "a")] * 30
+    docs = table(spark, rows).withColumnsRenamed({"size": "mix_copies", "id": "__copy"})
+    want, got = {}, {}
+    for r in mixing.systematic_mix(docs).collect():
+        key = (r["id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 # --- 2: packing ----------------------------------------------------------------------------------------------------
 
 
@@ -118,6 +134,17 @@ def test_packing_is_best_fit(spark):
         assert at <= 64
 
 
+def test_packing_fills_bins_of_few_sources(spark):
+    docs = table(spark, [(i, f"a{i} b c d", "en", "s") for i in range(3000)])
+    bins = packing.filled(packing.best_fit_pack(docs)).collect()
+    assert sum(b["n_words"] for b in bins) == 12000 and len(bins) == 3
+    empty = packing.best_fit_pack(table(spark, [(None, "", "en", "s")] * 9000)).collect()
+    shards = {}
+    for r in empty:
+        shards[r["shard"]] = shards.get(r["shard"], 0) + 1
+    assert len(empty) == 9000 and len(shards) == 3 and max(shards.values()) < 4000
+
+
 def test_packing_edges(spark):
     got = packing.best_fit_pack(table(spark, EDGES), capacity=4096).collect()
     long = sorted((r["part"], r["start_word"], r["n_words"]) for r in got if r["doc_id"] == 5)
@@ -431,6 +458,33 @@ def test_chat_digest(spark):
     assert chat.format_conversations(empty).count() == 0
 
 
+def test_roles_and_texts_are_parsed_from_the_output(spark):
+    rng = random.Random(19)
+    parts = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "/s>", "a", "<\\/s>", "\n", "[INST", " ", " [/INST]", "</s"]
+    some = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))
+    for _ in range(2000):
+        turns = [(rng.choice(["assistant", "user", some()]), some()) for _ in range(rng.randint(0, 5))]
+        assert list(chat.parse_instructions(chat.instruction_template(turns))) == turns
+    for bad in ("x", "<s>x", "<s>[INST] user [/INST]", "<s>[INST] user\n", "<s> a"):
+        with pytest.raises(chat.BadFormat):
+            list(chat.parse_instructions(bad))
+
+    def silent(turns, opens=True):  # writes no roles: what is read back can't be what was said
+        return "<s>" + "".join(f"[INST] \n{chat.escape(t)} [/INST]" for _, t in turns)
+
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r")], "conv_id long, turn long, role string, text string")
+    said, unsaid = (chat.read_back(chat.format_conversations(df, f)).first() for f in (chat.instruction_template, silent))
+    assert said["turns_sha256"] != unsaid["turns_sha256"] and said["loss_sha256"] == unsaid["loss_sha256"]
+
+    def headed(turns, opens=True):  # rewrites its head from turn to turn
+        return f"<s>[INST] head\n{len(turns)} [/INST]" + chat.instruction_template(turns, False)
+
+    got = chat.read_back(chat.format_conversations(df, headed)).first()
+    whole = headed([("user", "q"), ("assistant", "r")])
+    assert got["rewrites"] and got["formatted_chars"] == len(whole) and got["n_turns"] == 3
+    assert got["loss_sha256"] == hashlib.sha256(b"r").hexdigest()
+
+
 def test_history_rewriting_is_found():
     def numbered(turns, opens=True):
         return f"<{len(turns)} turns>" + "".join(t for _, t in turns)
