@@ -5,7 +5,10 @@ the least sum of absolute differences), go through zlib and are cut into IDAT ch
 Reading tests the signature, every checksum and the sizes, inflates and undoes all five filters with numpy.
 The feature is a hash of the lowest frequencies of a cosine transform of the picture.
 
-A damaged picture doesn't end a job: its row has ``error`` and null features. A null payload is an empty one.
+A damaged picture doesn't end a job: its row has ``error`` and null features. That holds for headers of any length,
+number and size too, and no more is inflated than a header of at most MOST samples announces.
+A null payload is an empty one; equal payloads, ties and repeated rows included, have equal pictures. Long texts are
+pictures of more rows. An empty table gives no rows; other columns stay, and one named like a new one is an error.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordeval.llm.common import map_arrow
@@ -25,6 +28,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 576
 CHUNK = 1 << 16
 LEVEL = 1
+#: Samples of a picture that is read, at most (a column holds no more than 2 GB).
+MOST = (1 << 31) - 1
 #: The picture is averaged to SIDE x SIDE, and LOW x LOW of its frequencies are hashed.
 SIDE, LOW = 32, 8
 
@@ -87,41 +92,58 @@ def _chunks(png: bytes) -> dict[bytes, bytes]:
 
 
 def _unfilter(lines: np.ndarray) -> np.ndarray:
-    """Undo the row filters of an 8-bit grey picture; runs of None and Sub rows are undone at once."""
+    """Undo the row filters of an 8-bit grey picture.
+
+    Runs of None and Sub rows are undone at once, Up rows one by one. Average and Paeth need the sample to the left, so
+    where they occur, the samples of a picture are undone along its diagonals, each diagonal at once.
+    """
     kinds, rows = lines[:, 0], lines[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise BadPicture("unknown filter")
+    if (kinds >= 3).any():
+        return _along_diagonals(kinds, rows)
     sub = kinds == 1
     rows[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint64).astype(np.uint8)
-    nothing = np.zeros(rows.shape[1], np.uint8)
-    for y in np.flatnonzero(kinds >= 2):
-        above = rows[y - 1] if y else nothing
-        if kinds[y] == 2:
-            rows[y] += above
-            continue
-        row, left, corner = rows[y], 0, 0
-        for x, b in enumerate(above.tolist()):
-            if kinds[y] == 3:
-                guess = (left + b) // 2
-            else:
-                pa_, pb, pc = abs(b - corner), abs(left - corner), abs(left + b - 2 * corner)
-                guess = left if pa_ <= pb and pa_ <= pc else b if pb <= pc else corner
-            left, corner = (int(row[x]) + guess) & 255, b
-            row[x] = left
+    for y in np.flatnonzero(kinds == 2):
+        if y:
+            rows[y] += rows[y - 1]
     return rows
 
 
+def _along_diagonals(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sample (y, x) needs (y, x - 1), (y - 1, x) and (y - 1, x - 1): all of them are on earlier diagonals x + y."""
+    height, width = rows.shape
+    done = np.zeros((height + 1, width + 1), np.int16)  # with a border of zeros
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, above, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        guess = left + above - corner
+        to_left, to_above, to_corner = abs(guess - left), abs(guess - above), abs(guess - corner)
+        near = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        kind = kinds[y]
+        add = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) // 2, near], 0)
+        done[y + 1, x + 1] = (rows[y, x] + add) & 255
+    return done[1:, 1:].astype(np.uint8)
+
+
 def decode_png(png: bytes) -> np.ndarray:
     """Rows and columns of an 8-bit grey PNG; raises :class:`BadPicture`."""
     parts = _chunks(png)
+    if len(parts[b"IHDR"]) != 13:
+        raise BadPicture("not one header of 13 bytes")
     width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", parts[b"IHDR"])
     if (depth, colour, interlace) != (8, 0, 0):
         raise BadPicture("not an 8-bit grey picture without interlacing")
+    size = height * (width + 1)
+    if not width or not height or size > MOST:
+        raise BadPicture("no samples or too many")
+    inflater = zlib.decompressobj()
     try:
-        raw = zlib.decompress(parts.get(b"IDAT", b""))
+        raw = inflater.decompress(parts.get(b"IDAT", b""), size + 1)
     except zlib.error as e:
         raise BadPicture(str(e)) from e
-    if len(raw) != height * (width + 1):
+    if len(raw) != size or not inflater.eof:
         raise BadPicture("wrong number of samples")
     return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, width + 1))
 
@@ -155,7 +177,13 @@ def with_pictures(df: DataFrame, payload_col: str, media_col: str = "media", wid
     def encode(payloads):  # noqa: ANN001, ANN202
         return payloads.map(lambda p: encode_png(padded(bytes(p) if p is not None else b"", width), width))
 
-    return df.withColumn(media_col, encode(F.col(payload_col)))
+    return _with_new(df, media_col, encode(F.col(payload_col)))
+
+
+def _with_new(df: DataFrame, name: str, column: Column) -> DataFrame:
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name} already")
+    return df.withColumn(name, column)
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string"
@@ -171,8 +199,8 @@ def read_features(png: bytes | None) -> tuple:
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), frequency_hash(rows), None
 
 
-def with_features(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """``df`` with the struct ``read`` (``READ``) of what its stored pictures hold."""
+def with_features(df: DataFrame, media_col: str = "media", read_col: str = "read") -> DataFrame:
+    """``df`` with the struct ``read_col`` (``READ``) of what its stored pictures hold."""
 
     @F.pandas_udf(READ)
     def read(stored):  # noqa: ANN001, ANN202
@@ -184,7 +212,7 @@ def with_features(df: DataFrame, media_col: str = "media") -> DataFrame:
         )
         return out.astype({"payload_bytes": "Int64", "tail_crc32": "Int64"})
 
-    return df.withColumn("read", read(F.col(media_col)))
+    return _with_new(df, read_col, read(F.col(media_col)))
 
 
 DIGEST = pa.schema(
