@@ -2,11 +2,15 @@
 
 Character n-grams of one to ``LENGTHS`` letters (lower case, everything but letters is a space) are hashed into
 ``BUCKETS`` buckets. The counts of a bounded, hash-chosen sample of training rows of each language give a matrix
-of log probabilities, which is broadcast: its size is fixed by BUCKETS and the number of languages. Whole texts
-are scored in batches: one gather and one segmented sum over the n-grams of a batch.
+of log probabilities, which is broadcast: its size is fixed by BUCKETS and the number of languages (at most MAX_KEYS).
+Texts are scored in batches: the letters of several texts are put together up to ``BATCH`` characters, their n-grams
+are the rows of one sparse matrix, and its product with the log probabilities scores all of them. A text longer than
+that goes through in pieces that overlap, whose scores add up, so memory doesn't grow with a text's length.
 
 A null text or a text without a letter is ``und`` with score 1. Null and empty language labels are not learned.
 Equal scores go to the language that is first by name. Without training rows everything is ``und`` with score 0.
+Repeated rows get equal predictions, and each is learned from. An empty table gives no rows. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ SMOOTHING = 0.5
 #: Training documents of each language, about: more are thinned by a hash of the id.
 SAMPLE = 5_000
 SEED = 5
+#: Characters that are scored at once.
+BATCH = 1 << 18
 #: Values of the key of a sample whose shares are broadcast; with more of them, Spark chooses the join.
 MAX_KEYS = 10_000
 
@@ -39,6 +45,14 @@ def letters(text: str | None) -> str:
     return f" {body} " if any(map(str.isalpha, set(body))) else ""
 
 
+def pieces(text: str, size: int, overlap: int) -> Iterator[str]:
+    """``text`` in pieces of ``size`` characters that begin with the last ``overlap`` characters before them: every
+    n-gram of ``overlap`` + 1 characters is in one piece whole."""
+    yield text[:size]
+    for start in range(size, len(text), size):
+        yield text[start - overlap : start + size]
+
+
 def hashed_ngrams(text: str, buckets: int = BUCKETS, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
     """The bucket of every character n-gram of ``text``."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -53,6 +67,32 @@ def hashed_ngrams(text: str, buckets: int = BUCKETS, lengths: tuple[int, ...] =
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+def ngrams_of(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """The buckets of the n-grams of each piece of a text; an n-gram that a piece repeats from the one before is
+    counted once."""
+    overlap = max(LENGTHS) - 1
+    for k, piece in enumerate(pieces(text, BATCH, overlap)):
+        if k:
+            # shorter n-grams that lie in the overlap belong to the piece before
+            parts = [hashed_ngrams(piece[overlap - n + 1 :], buckets, (n,)) for n in LENGTHS]
+            yield np.concatenate(parts)
+        else:
+            yield hashed_ngrams(piece, buckets)
+
+
+def settled(marked: DataFrame, label: str) -> DataFrame:
+    """One row (doc_id, label) of each document in ``marked`` whose labels agree; contradictory ones are left out."""
+    one = marked.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("most"))
+    return one.where(F.col(label) == F.col("most")).drop("most")
+
+
+def one_text(given: DataFrame) -> DataFrame:
+    """Of rows that repeat a ``doc_id`` the one whose text has the least hash, so a sample of ids is a sample of rows."""
+    others = [c for c in given.columns if c != "doc_id"]
+    least = F.min_by(F.struct(*others), F.struct(F.xxhash64("text"), "text")).alias("least")
+    return given.groupBy("doc_id").agg(least).select("doc_id", *[F.col(f"least.{c}").alias(c) for c in others])
+
+
 def learned_counts(train: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(lang, bucket, n) from rows (text, lang). Each task sums what it reads before anything is shuffled."""
 
@@ -61,7 +101,8 @@ def learned_counts(train: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total = totals.setdefault(lang, np.zeros(buckets, np.int64))
-                total += np.bincount(hashed_ngrams(letters(text), buckets), minlength=buckets)
+                for found in ngrams_of(letters(text), buckets):
+                    total += np.bincount(found, minlength=buckets)
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -96,6 +137,8 @@ class NaiveBayes:
     def fit(cls, train: DataFrame, sample: int = SAMPLE, tasks: int = 8) -> NaiveBayes:
         """From rows (doc_id, text, lang); the languages get equal prior weight."""
         marked = train.where(F.col("lang").isNotNull() & (F.col("lang") != ""))
+        if marked.select("lang").distinct().limit(MAX_KEYS + 1).count() > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} languages: their matrix would not fit")
         rows = learned_counts(thinned(marked, sample, "lang").repartition(tasks)).toPandas()
         langs = sorted(rows["lang"].unique())
         counts = np.zeros((BUCKETS, len(langs)))
@@ -105,16 +148,41 @@ class NaiveBayes:
         counts += SMOOTHING
         return cls(langs, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Log probability of each text (row) in each language: the texts' n-grams as the rows of a sparse matrix, times
+        the log probabilities, by one gather and one segmented sum a batch."""
+        out = np.zeros((len(texts), len(self.langs)))
+        rows: list[int] = []
+        found: list[np.ndarray] = []
+        held = 0
+
+        def add_up() -> None:
+            if rows:
+                starts = np.cumsum([0, *(len(f) for f in found[:-1])])
+                np.add.at(out, rows, np.add.reduceat(self.logs[np.concatenate(found)], starts, axis=0, dtype=np.float64))
+                rows.clear(), found.clear()
+
+        for i, text in enumerate(texts):
+            for ngrams in ngrams_of(text):
+                rows.append(i), found.append(ngrams)
+                held += len(ngrams)
+                if held >= BATCH:
+                    add_up()
+                    held = 0
+        add_up()
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         cleaned = [letters(t) for t in texts]
         langs, scores = ["und"] * len(texts), [1.0] * len(texts)
-        live = [i for i, c in enumerate(cleaned) if c]
         if not self.langs:
-            return langs, [0.0 if cleaned[i] else 1.0 for i in range(len(texts))]
-        for i in live:
-            total = self.logs[hashed_ngrams(cleaned[i])].sum(axis=0, dtype=np.float64)
-            k = int(total.argmax())
-            langs[i], scores[i] = self.langs[k], float(1.0 / np.exp(total - total[k]).sum())
+            return langs, [0.0 if c else 1.0 for c in cleaned]
+        live = [i for i, c in enumerate(cleaned) if c]
+        totals = self.totals([cleaned[i] for i in live])
+        best = totals.argmax(axis=1)
+        sure = 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, k, score in zip(live, best.tolist(), sure.tolist(), strict=True):
+            langs[i], scores[i] = self.langs[k], score
         return langs, scores
 
 

@@ -7,7 +7,11 @@ fitted on the sample's matrix of that fixed size. The weights are broadcast and
 batches.
 
 A null text is an empty one; it gets the score of a text without any feature. Without both classes among the
-training rows the score is the share of toxic rows (0 without any). Labels that are null or not 0/1 are ignored.
+training rows the score is next to 1 or 0 for all. Labels that are null or not 0/1 are ignored, and so are documents
+whose labels contradict each other. Repeated rows and ties get equal scores; of rows that repeat a labelled id one text
+is learned from, the one with the least hash. Very long texts are read in pieces that overlap, and the features found
+in them are put together, so memory grows with the features, not with the text. An empty table gives no rows. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import map_arrow, small_batches
-from ordeval.llm.language import hashed_ngrams, thinned
+from ordeval.llm.common import map_arrow, small_batches, staged
+from ordeval.llm.language import BATCH, hashed_ngrams, one_text, pieces, settled, thinned
 
 BUCKETS = 1 << 19
 LENGTHS = (4, 5, 6, 7)
@@ -41,9 +45,13 @@ def plain(text: str | None) -> str:
     return f" {_GAPS.sub(' ', (text or '').lower()).strip()} "
 
 
-def present(text: str | None) -> np.ndarray:
-    """Buckets of the n-grams of a whole text, each once."""
-    return np.unique(hashed_ngrams(plain(text), BUCKETS, LENGTHS))
+def present(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Buckets of the n-grams of a whole text, each once; only those that ``wanted`` marks."""
+    found = []
+    for piece in pieces(plain(text), BATCH, max(LENGTHS) - 1):
+        part = hashed_ngrams(piece, BUCKETS, LENGTHS)
+        found.append(np.unique(part if wanted is None else part[wanted[part]]))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def document_counts(train: DataFrame) -> DataFrame:
@@ -83,7 +91,8 @@ def sample_matrix(train: DataFrame, lookup: np.ndarray) -> tuple[np.ndarray, np.
     shared = train.sparkSession.sparkContext.broadcast(lookup)
 
     def rows(columns: dict[str, list]) -> dict[str, list]:
-        found = [shared.value[present(t)] for t in columns["text"]]
+        wanted = shared.value >= 0
+        found = [shared.value[present(t, wanted)] for t in columns["text"]]
         return {"label": columns["label"], "at": [f[f >= 0].tolist() for f in found]}
 
     schema = pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32()))])
@@ -118,7 +127,7 @@ class ToxicityModel:
     """Weight of every bucket (0 for those not chosen) and the intercept."""
 
     def __init__(self, weights: np.ndarray, intercept: float) -> None:
-        self.weights, self.intercept = weights, intercept
+        self.weights, self.intercept, self.used = weights, intercept, weights != 0
 
     @classmethod
     def fit(cls, train: DataFrame, tasks: int = 8) -> ToxicityModel:
@@ -143,8 +152,7 @@ class ToxicityModel:
         return cls(weights, intercept)
 
     def score(self, text: str | None) -> float:
-        found = hashed_ngrams(plain(text), BUCKETS, LENGTHS)
-        found = np.unique(found[self.weights[found] != 0])
+        found = present(text, self.used)
         z = float(self.weights[found].sum(dtype=np.float64)) + self.intercept
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
@@ -179,8 +187,8 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
         .where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
-        .dropDuplicates(["doc_id"])
     )
-    chosen = F.broadcast(thinned(marked, sample, "label"))  # about 2 * sample ids
-    model = ToxicityModel.fit(docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id"))
+    chosen = F.broadcast(thinned(settled(marked, "label"), sample, "label"))  # about 2 * sample ids
+    train = one_text(docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id"))
+    model = ToxicityModel.fit(staged(train))
     return score_documents(rows, model)
