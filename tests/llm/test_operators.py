@@ -187,6 +187,25 @@ def test_unfilter_knows_all_filters():
     assert (media._unfilter(lines) == rows).all()
 
 
+def test_malformed_headers_are_bad_pictures():
+    png = media.encode_png(media.padded(b"abc"))
+    head = png[16:29]
+    packed = zlib.compress(b"\0" * 577)
+
+    def made(*chunks):
+        return media.SIGNATURE + b"".join(media._chunk(k, d) for k, d in chunks)
+
+    good = (b"IDAT", packed), (b"IEND", b"")
+    for heads in ([head[:12]], [head, head], [b""], [head[:4] + bytes(4) + head[8:]], [bytes(4) + head[4:]], [b"\xff" * 8 + head[8:]], [head[:8] + b"\x10" + head[9:]]):
+        with pytest.raises(media.BadPicture):
+            media.decode_png(made(*[(b"IHDR", h) for h in heads], *good))
+    bomb = zlib.compress(b"\0" * 10_000_000)
+    for data in (bomb, packed[:-5], b""):
+        with pytest.raises(media.BadPicture):
+            media.decode_png(made((b"IHDR", head), (b"IDAT", data), (b"IEND", b"")))
+    assert media.decode_png(made((b"IHDR", head), *good)).shape == (1, 576)
+
+
 def test_media_digest_and_columns(spark):
     rows = [*EDGES, (6, "né", "fr", "a"), (7, "né", "fr", "b")]
     got = {r["doc_id"]: r for r in media.text_media_digest(table(spark, rows)).collect()}
@@ -411,6 +430,81 @@ def test_language(spark):
     assert {r["lang_pred"] for r in untaught} == {"und"}
 
 
+def brute_bayes(rows, buckets=language.BUCKETS):
+    """Naive Bayes with one n-gram at a time, in plain Python."""
+    def grams(text):
+        body = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+        padded = f" {body} "
+        return [int(language.hashed_ngrams(padded[i : i + n], buckets, (n,))[0]) for n in language.LENGTHS for i in range(len(padded) - n + 1)]
+
+    counts = {}
+    for i, text, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            own = counts.setdefault(lang, {})
+            for g in grams(text):
+                own[g] = own.get(g, 0) + 1
+    total = {k: sum(v.values()) + language.SMOOTHING * buckets for k, v in counts.items()}
+    out = {}
+    for i, text, *_ in rows:
+        logs = {k: sum(math.log((v.get(g, 0) + language.SMOOTHING) / total[k]) for g in grams(text)) for k, v in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        out[i] = best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+    return out
+
+
+@pytest.mark.parametrize("batch", [language.BATCH, 50])
+def test_language_equals_brute_force(spark, batch, monkeypatch):
+    rows, docs, _ = learned_tables(spark)
+    model = language.NaiveBayes.fit(docs.where("crc32(cast(doc_id as string)) % 3 <> 1"), 10**6)
+    monkeypatch.setattr(language, "BATCH", batch)  # pieces of a text add up to the whole
+    langs, scores = model.predict([r[1] for r in rows])
+    want = brute_bayes(rows)
+    assert langs == [want[r[0]][0] for r in rows] and scores == pytest.approx([want[r[0]][1] for r in rows], rel=1e-4)
+
+
+def test_toxicity_counts_and_scores_equal_brute_force(spark, monkeypatch):
+    rows, docs, labels = learned_tables(spark)
+    train = docs.join(labels.selectExpr("doc_id", "cast(toxic as int) label"), "doc_id").select("text", "label")
+
+    def grams(text):
+        padded = f" {re.sub(r'[^a-zA-Zçßéè]+', ' ', text.lower()).strip()} "
+        return {int(toxicity.hashed_ngrams(padded[i : i + n], toxicity.BUCKETS, (n,))[0]) for n in toxicity.LENGTHS for i in range(len(padded) - n + 1)}
+
+    counts = {}
+    for i, text, *_ in rows:
+        for g in grams(text):
+            counts.setdefault(g, [0, 0])[i % 4 == 0] += 1
+    got = {r["bucket"]: [r["clean"], r["toxic"]] for r in toxicity.document_counts(train).collect()}
+    assert got == counts
+    n = [225, 75]
+    sure = {}
+    for g, (b, a) in counts.items():
+        if a + b >= toxicity.MIN_DOCS:
+            ratio = math.log((a + 1) / (n[1] + 2)) - math.log((b + 1) / (n[0] + 2))
+            sure[g] = ratio, abs(ratio) / math.sqrt(1 / (a + 1) - 1 / (n[1] + 2) + 1 / (b + 1) - 1 / (n[0] + 2))
+    best = toxicity.surest(toxicity.document_counts(train), n[1], n[0], 50).collect()
+    assert [r["sure"] for r in best] == pytest.approx(sorted((s for _, s in sure.values()), reverse=True)[:50])
+    assert all(r["ratio"] == pytest.approx(sure[r["bucket"]][0]) for r in best)
+    model = toxicity.ToxicityModel.fit(train)
+    want = [1 / (1 + math.exp(-model.intercept - sum(float(model.weights[g]) for g in grams(t)))) for _, t, *_ in rows]
+    assert [model.score(t) for _, t, *_ in rows] == pytest.approx(want, rel=1e-5)
+    monkeypatch.setattr(toxicity, "BATCH", 40)
+    assert [model.score(t) for _, t, *_ in rows] == pytest.approx(want, rel=1e-5)
+
+
+def test_contradictory_labels_and_repeated_ids(spark):
+    rows, docs, labels = learned_tables(spark)
+    twice = labels.union(spark.createDataFrame([(2, 1, 1), (2, 1, 0), (6, 0, 1), (6, 1, 1)], "doc_id long, quality int, toxic int"))
+    more = docs.union(table(spark, [(9, "other text", "en", "s")] * 50 + [(None, "x", "en", "s")] * 3))
+    runs = [sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.toxicity_of(more.repartition(n), twice.repartition(n)).collect()) for n in (3, 7)]
+    assert [d for d, _ in runs[0]] == [d for d, _ in runs[1]]
+    assert [s for _, s in runs[0]] == pytest.approx([s for _, s in runs[1]], abs=1e-4)
+    marked = language.settled(twice.selectExpr("doc_id", "quality"), "quality").collect()
+    assert 6 not in {r["doc_id"] for r in marked} and 2 in {r["doc_id"] for r in marked}
+    assert language.one_text(more.select("doc_id", "text")).where("doc_id = 9").count() == 1
+    assert quality.quality_verdicts(more, twice).count() == 353
+
+
 def test_toxicity(spark):
     rows, docs, labels = learned_tables(spark)
     got = {r["doc_id"]: r for r in toxicity.toxicity_of(docs, labels).collect()}
