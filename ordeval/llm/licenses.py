@@ -7,8 +7,15 @@ of one row, are looked up among those of the templates; BANDS of them make a mis
 at most (1 - J) ** BANDS, where J is at least (m - 2) / (2 c - 2) for m words in class c: below 1e-6 for the
 templates here. Then the share of the template's shingles that the window holds is computed exactly.
 
+Templates that share half of their shingles or more are siblings, such as the versions of one license. Against each
+sibling the window must hold a shingle that the template has and the sibling hasn't (the one with the version), so
+a statement of version 3 isn't one of version 2 too.
+
 Windows without any shingle of any template have J = 0 and can't match, so they aren't hashed. Templates are
-a bounded, broadcast table. Null and empty texts match nothing; null ids pass through.
+a bounded, broadcast table; one of fewer than three words is an error. Null and empty texts match nothing. Null ids
+pass through; rows are told apart by id and text, so repeated rows are one result. Ties: all templates of one place
+that reach the threshold are listed. Very long texts are read whole; a window is bounded by its template. An empty
+table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,11 +91,12 @@ def bands_of(shingles: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, shingles, class) of each template of three words or more."""
+    """(license_id, shingles, class) of each template."""
     rows = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, statement string")
+    short = F.raise_error(F.concat(F.lit("fewer than three words: "), "license_id")).cast("array<string>")
     return (
         rows.withColumn("w", words_of(F.col("statement")))
-        .where(F.size("w") >= 3)
+        .withColumn("w", F.when(F.size("w") >= 3, F.col("w")).otherwise(short))
         .select(
             "license_id",
             F.array_distinct(shingles_of(F.col("w"))).alias("shingles"),
@@ -97,6 +105,20 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     )
 
 
+def telling_shingles(known: DataFrame) -> DataFrame:
+    """(license_id, telling): for each sibling of a template the shingles that the template has and the sibling hasn't."""
+    each = known.select("license_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    other = each.select(F.col("license_id").alias("sibling"), "shingle")
+    near = (
+        each.join(other, "shingle").where("license_id <> sibling")
+        .groupBy("license_id", "sibling", "n").agg(F.count("*").alias("shared")).where("2 * shared >= n")
+    )
+    theirs = known.select(F.col("license_id").alias("sibling"), F.col("shingles").alias("theirs"))
+    own = near.join(known.select("license_id", "shingles"), "license_id").join(theirs, "sibling")
+    own = own.withColumn("own", F.array_except("shingles", "theirs")).where(F.size("own") > 0)
+    return own.groupBy("license_id").agg(F.collect_list("own").alias("telling"))
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
@@ -110,12 +132,16 @@ def scan_licenses(
     held = known.collect()  # a few dozen templates
     every = F.array(*[F.lit(s) for s in sorted({s for t in held for s in t["shingles"]})]) if held else F.array().cast("array<bigint>")
     classes = F.array(*[F.lit(c) for c in sorted({t["class"] for t in held})]) if held else F.array().cast("array<int>")
+    told = known.join(telling_shingles(known), "license_id", "left")
     banded = F.broadcast(
-        known.select("license_id", F.col("shingles").alias("wanted"), "class", F.explode(bands_of(F.col("shingles"))).alias("band"))
-    )
+        told.select(
+            "license_id", F.col("shingles").alias("wanted"), "class", F.coalesce("telling", F.array()).alias("telling"),
+            F.explode(bands_of(F.col("shingles"))).alias("band"),
+        )
+    )
     text = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .select("doc_id", shingles_of(words_of(F.col("text"))).alias("sh"))
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+        .select("doc_id", "row", shingles_of(words_of(F.col("text"))).alias("sh"))
         .where(F.arrays_overlap("sh", every))
     )
     hits = F.filter(
@@ -138,10 +164,11 @@ def scan_licenses(
     )
     windows = (
         text.withColumn("hits", hits)
-        .select("doc_id", "sh", F.explode(F.array_distinct(near)).alias("at"))
+        .select("doc_id", "row", "sh", F.explode(F.array_distinct(near)).alias("at"))
         .where("at.window >= 0")
         .select(
             "doc_id",
+            "row",
             F.col("at.class").alias("class"),
             F.col("at.window").alias("window"),
             F.expr("slice(sh, at.window * at.class + 1, 2 * at.class - 2)").alias("own"),
@@ -152,13 +179,13 @@ def scan_licenses(
         windows.withColumn("band", F.explode(bands_of(F.col("own"))))
         .join(banded, ["class", "band"])
         .withColumn("containment", F.size(F.array_intersect("wanted", "own")) / F.size("wanted"))
-        .where(F.col("containment") >= threshold)
+        .where((F.col("containment") >= threshold) & F.forall("telling", lambda t: F.arrays_overlap(t, "own")))
     )
-    return found.groupBy("doc_id", "license_id").agg(
+    return found.groupBy("doc_id", "row", "license_id").agg(
         F.countDistinct("window").alias("n_windows"),
         F.max("containment").alias("containment"),
         F.min(F.col("window") * F.col("class")).cast("long").alias("first_word"),
-    )
+    ).drop("row")
 
 
 def miss_bound(words: int, bands: int = BANDS, step: int = STEP) -> float:

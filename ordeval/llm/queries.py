@@ -107,26 +107,31 @@ WITH templates AS (
 ), known AS (
   SELECT license_id, ceil(len(w) / {step}.0)::BIGINT * {step} AS class,
          list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS shingles
-  FROM templates WHERE len(w) >= 3
+  FROM templates
+), siblings AS (
+  SELECT a.license_id, list_filter(a.shingles, lambda x: NOT list_contains(b.shingles, x)) AS telling
+  FROM known a JOIN known b ON a.license_id <> b.license_id AND 2 * len(list_intersect(a.shingles, b.shingles)) >= len(a.shingles)
 ), wanted AS (
   SELECT license_id, class, len(shingles) AS n, unnest(shingles) AS shingle FROM known
 ), texts AS (
-  SELECT doc_id, {words.format("text")} AS w FROM documents
+  SELECT doc_id, md5(text) AS h, {words.format("text")} AS w FROM documents
 ), positions AS (
-  SELECT doc_id, unnest(list_zip(w, w[2:], w[3:])) AS x, unnest(range(0, len(w))) AS p FROM texts WHERE len(w) >= 3
+  SELECT doc_id, h, unnest(list_zip(w, w[2:], w[3:])) AS x, unnest(range(0, len(w))) AS p FROM texts WHERE len(w) >= 3
 ), hits AS (
-  SELECT doc_id, license_id, class, n, shingle, p
-  FROM (SELECT doc_id, p, x[1] || ' ' || x[2] || ' ' || x[3] AS shingle FROM positions) JOIN wanted USING (shingle)
+  SELECT doc_id, h, license_id, class, n, shingle, p
+  FROM (SELECT doc_id, h, p, x[1] || ' ' || x[2] || ' ' || x[3] AS shingle FROM positions) JOIN wanted USING (shingle)
 ), placed AS (
-  SELECT doc_id, license_id, class, n, shingle, p // class - back AS win, p
+  SELECT doc_id, h, license_id, class, n, shingle, p // class - back AS win, p
   FROM hits, (VALUES (0), (1)) b(back)
 ), matched AS (
-  SELECT doc_id, license_id, class, win, count(DISTINCT shingle) / any_value(n)::DOUBLE AS containment
+  SELECT doc_id, h, license_id, class, win, count(DISTINCT shingle) / any_value(n)::DOUBLE AS containment, list(DISTINCT shingle) AS own
   FROM placed WHERE win >= 0 AND p < win * class + 2 * class - 2
-  GROUP BY doc_id, license_id, class, win
+  GROUP BY doc_id, h, license_id, class, win
 )
 SELECT doc_id, license_id, count(DISTINCT win) AS n_windows, max(containment) AS containment, min(win * class) AS first_word
-FROM matched WHERE containment >= {licenses.THRESHOLD} GROUP BY doc_id, license_id
+FROM matched m WHERE containment >= {licenses.THRESHOLD} AND NOT EXISTS (
+  SELECT 1 FROM siblings s WHERE s.license_id = m.license_id AND len(s.telling) > 0 AND len(list_intersect(s.telling, m.own)) = 0
+) GROUP BY doc_id, h, license_id
 """
 
 

@@ -764,3 +764,17 @@ def test_licenses(spark):
         assert got[100 + j][name] == 1.0, name
     assert licenses.scan_licenses(table(spark, [])).count() == 0
     assert all(licenses.miss_bound(len(re.findall("[a-z0-9]+", t.lower()))) < 1e-6 for t in licenses.TEMPLATES.values())
+
+
+def test_licenses_tell_versions_apart_and_keep_rows_apart(spark):
+    gnu = [n for n in licenses.TEMPLATES if "GPL-" in n and n != "GPL-header"]
+    rows = [(i, f"x y z {licenses.TEMPLATES[n]} a b c", "en", n) for i, n in enumerate(gnu)]
+    rows += [(None, licenses.TEMPLATES["MIT"], "en", "s"), (None, f"one {licenses.TEMPLATES['MIT']}", "en", "s"), (99, licenses.TEMPLATES["GPL-3.0"].replace("3", "4"), "en", "s")]
+    rows += [(50, licenses.TEMPLATES["MIT"], "en", "s"), (50, licenses.TEMPLATES["Unlicense"], "en", "s")] * 2
+    got = licenses.scan_licenses(table(spark, rows)).collect()
+    for i, n in enumerate(gnu):
+        assert [r["license_id"] for r in got if r["doc_id"] == i] == [n]
+    assert [r["license_id"] for r in got if r["doc_id"] is None] == ["MIT", "MIT"] and not [r for r in got if r["doc_id"] == 99]
+    assert sorted(r["license_id"] for r in got if r["doc_id"] == 50) == ["MIT", "Unlicense"]
+    with pytest.raises(Exception, match="fewer than three words"):
+        licenses.scan_licenses(table(spark, rows), {"short": "two words"}).collect()
