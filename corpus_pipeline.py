@@ -9,28 +9,49 @@ from ordeval.llm.common import documents, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the isolation forest reject go."""
+    """Documents that the base rules or the isolation forest reject go.
+
+    Null and empty texts have no words and go; null ids are judged like others. Equal texts, ties and repeated rows
+    get equal verdicts. Very long texts are read whole. An empty table stays empty; all other columns stay.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five words, a similarity of 0.8."""
+    """One document of each group stays, the one with the least id: five words, a similarity of 0.8.
+
+    Null and empty texts are in no group and stay. A null id is kept only where its group has no other id, and then
+    one text of it. Of repeated rows one stays. Very long texts are compared whole. An empty table stays empty; all
+    other columns stay.
+    """
     return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and terms that disclose it are replaced."""
+    """Personal data and terms that disclose it are replaced in the texts; ``n_chars`` is counted anew.
+
+    Null texts stay null, empty ones empty; null ids, repeated rows and ties are treated by their texts alone. Very
+    long texts are read whole. An empty table stays empty; all other columns stay.
+    """
     return pii.sanitised(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target says."""
+    """Each document as often as its source's target says.
+
+    Null and empty texts have size 0 and follow their source's rate; a null source is a source, null ids are documents
+    of their own. Repeated rows share the copies of their group. An empty table stays empty; all other columns stay.
+    """
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their bins."""
-    return packing.best_fit_pack(docs)
+    """Pieces of documents with their bins and texts, one row for each piece of each copy.
+
+    Null and empty texts are pieces of no words, with an empty text. Null ids and repeated rows are documents of their
+    own. Very long texts are cut at the capacity. An empty table gives no rows; other columns are left out.
+    """
+    return packing.packed_texts(docs)
 
 
 STAGES = [

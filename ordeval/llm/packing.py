@@ -20,19 +20,23 @@ cut at the capacity. An empty table gives no rows. Other columns are not read, w
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import n_words, staged
+from ordeval.llm.common import WORD, n_words, small_batches, staged
 
 CAPACITY = 4096
 PER_SOURCE, EVEN = 6, 2
+_WORDS = re.compile(WORD)
 SHARD_DOCS = 4096
 
-PACKED = "doc_id long, part int, start_word long, n_words long, shard int, bin int, bin_start int, bin_id long"
+PACKED = "doc_id long, part int, start_word long, n_words long, shard int, bin int, bin_start int, bin_id long, text_hash long"
 
 
 class Bins:
@@ -95,7 +99,7 @@ class Bins:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY, per_source: int | None = None) -> pd.DataFrame:
-    """Pack one shard: rows of (shard, id, size, source, cluster) to rows of ``PACKED``."""
+    """Pack one shard: rows of (shard, id, size, source, cluster, text_hash) to rows of ``PACKED``."""
     rows = rows.sort_values(["size", "id", "cluster"], ascending=[False, True, True], kind="mergesort")
     bits: dict[object, int] = {}
     copies = Counter(rows["cluster"])
@@ -103,32 +107,33 @@ def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY, per_source: int | N
     pieces = []
     whole: list[tuple] = []
     shard = int(rows["shard"].iloc[0])
-    for doc, size, source, cluster in zip(rows["id"], rows["size"], rows["source"], rows["cluster"], strict=True):
+    columns = (rows[c] for c in ("id", "size", "source", "cluster", "text_hash"))
+    for doc, size, source, cluster, text in zip(*columns, strict=True):
         size = int(size)
         doc = None if pd.isna(doc) else int(doc)
         source = bits.setdefault(None if pd.isna(source) else source, 1 << len(bits))
         shared = cluster_bits.setdefault(cluster, 1 << len(cluster_bits)) if size and copies[cluster] > 1 else 0
         parts, rest = divmod(size, capacity)
-        whole += [(doc, k, k * capacity, capacity) for k in range(parts)]
+        whole += [(doc, k, k * capacity, capacity, text) for k in range(parts)]
         if rest or not parts:
-            pieces.append((rest, doc, parts, parts * capacity, source, shared))
+            pieces.append((rest, doc, parts, parts * capacity, source, shared, text))
     pieces.sort(key=lambda p: -p[0])
     documents, words = Counter(p[4] for p in pieces), max(1, sum(p[0] for p in pieces))
     even = {s: max(PER_SOURCE, -(-EVEN * capacity * n // words)) for s, n in documents.items()}
     bins = Bins(capacity, even if per_source is None else dict.fromkeys(documents, per_source))
     out = []
-    for size, doc, part, start, source, cluster in pieces:
+    for size, doc, part, start, source, cluster, text in pieces:
         i = bins.successor(size, source, cluster)
         if i < 0:
             i = bins.open()
-        out.append((doc, part, start, size, i, bins.put(i, size, source, cluster)))
+        out.append((doc, part, start, size, i, bins.put(i, size, source, cluster), text))
     opened = len(bins.residual)
-    out += [(doc, part, start, size, opened + k, 0) for k, (doc, part, start, size) in enumerate(whole)]
-    packed = pd.DataFrame(out, columns=["doc_id", "part", "start_word", "n_words", "bin", "bin_start"])
+    out += [(doc, part, start, size, opened + k, 0, text) for k, (doc, part, start, size, text) in enumerate(whole)]
+    packed = pd.DataFrame(out, columns=["doc_id", "part", "start_word", "n_words", "bin", "bin_start", "text_hash"])
     packed["doc_id"] = packed["doc_id"].astype("Int64")
     packed["shard"] = shard
     packed["bin_id"] = (shard << 32) + packed["bin"].astype("int64")
-    return packed[["doc_id", "part", "start_word", "n_words", "shard", "bin", "bin_start", "bin_id"]]
+    return packed[["doc_id", "part", "start_word", "n_words", "shard", "bin", "bin_start", "bin_id", "text_hash"]]
 
 
 def best_fit_pack(
@@ -155,6 +160,7 @@ def best_fit_pack(
             n_words(text).alias("size"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(cluster, F.concat(F.lit("#"), F.col(id_col).cast("string")), F.lit("#")).alias("cluster"),
+            F.xxhash64(text_col).alias("text_hash"),
             F.monotonically_increasing_id().alias("row"),  # fixed by the staged table, also for lost executors
         )
     )
@@ -167,6 +173,41 @@ def best_fit_pack(
     return narrow.groupBy("shard").applyInPandas(pack, PACKED)
 
 
+CUT = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("k", pa.int32()), ("text", pa.string())])
+
+
+def cut_texts(docs: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, k, text): each whole text (hash ``h``) in pieces of ``capacity`` words, from the first character of the
+    piece's first word to that of the next piece; the first piece begins with the text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, h, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                starts = [m.start() for m in _WORDS.finditer(text)][capacity::capacity]
+                ends = [*starts, len(text)]
+                rows += [(doc, h, k, text[s:e]) for k, (s, e) in enumerate(zip([0, *starts], ends, strict=True))]
+            columns = list(zip(*rows)) if rows else [[] for _ in CUT]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CUT, strict=True)], schema=CUT)
+
+    small_batches(docs.sparkSession)
+    given = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.coalesce(F.col(text_col), F.lit("")))
+    return given.mapInArrow(cut, "id long, h long, k int, text string")
+
+
+def packed_texts(
+    docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """:func:`best_fit_pack` with the ``text`` of every piece: the pieces of a document put together are its text.
+
+    Equal rows have equal pieces, so a piece is found by id, text and part; one shuffle of the texts.
+    """
+    packed = staged(best_fit_pack(docs, capacity, id_col=id_col, text_col=text_col, **options))
+    pieces = cut_texts(docs, capacity, id_col, text_col).dropDuplicates(["id", "h", "k"])
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")) & (F.col("part") == F.col("k"))
+    return packed.join(pieces, same).drop("id", "h", "k")
+
+
 def filled(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Words, pieces and share of the capacity of every bin."""
     return packed.groupBy("bin_id").agg(

@@ -145,6 +145,19 @@ def test_packing_fills_bins_of_few_sources(spark):
     assert len(empty) == 9000 and len(shards) == 3 and max(shards.values()) < 4000
 
 
+def test_packed_texts_are_the_documents(spark):
+    rng = random.Random(51)
+    rows = [(i % 30, "".join(rng.choice([" ", "\n", "a ", "bé\t", "c  "]) for _ in range(rng.randint(0, 90))), "en", "s") for i in range(60)]
+    rows += [*EDGES, rows[0], rows[0]]
+    got = packing.packed_texts(table(spark, rows), capacity=16).collect()
+    assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) == r["n_words"] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["text_hash"]), {}).setdefault(r["part"], []).append(r["text"])
+    texts = sorted((str(d), "".join(parts[k][0] for k in sorted(parts))) for (d, _), parts in by.items() for _ in parts[0])
+    assert texts == sorted((str(d), t or "") for d, t, *_ in rows)
+
+
 def test_packing_edges(spark):
     got = packing.best_fit_pack(table(spark, EDGES), capacity=4096).collect()
     long = sorted((r["part"], r["start_word"], r["n_words"]) for r in got if r["doc_id"] == 5)

@@ -56,4 +56,31 @@ def test_pipeline(spark, tmp_path):
     packed = seen["pack"]
     assert sum(r["n_words"] for r in packed) == sum(taken.values())
     assert len({(r["bin_id"], r["doc_id"]) for r in packed}) == len(packed)
+    assert sorted(r["text"] for r in packed) == sorted(r["text"] for r in seen["mix_sources"])
     assert corpus_pipeline.run(spark, path).count() == len(packed)
+
+
+def test_stages_on_nulls_repeated_rows_and_empty_tables(spark, tmp_path):
+    path = str(tmp_path)
+    rng = random.Random(22)
+    texts = [some_text(rng, 60) + f" at 10.0.0.{i}" for i in range(12)]
+    rows = [(i, x, "en", None if i % 3 else "a") for i, x in enumerate(texts)]
+    rows += [(None, texts[0], "en", "a"), (None, some_text(rng, 70), "en", "b"), (3, texts[3], "en", None), (3, some_text(rng, 55), None, "a")]
+    rows += [(50, None, "en", "a"), (51, "", "en", "a"), (52, "y " * 30000, "en", "a"), (53, some_text(rng, 9000), "en", "b"), (None, None, None, None)]
+    docs = table(spark, rows).withColumnRenamed("size", "__id").withColumnRenamed("id", "found_hash")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    out, given = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        given = stage(spark, given, path)
+        given.write.parquet(f"{path}/{name}")
+        given = spark.read.parquet(f"{path}/{name}")
+        assert name == "pack" or given.columns == docs.columns
+        out[name] = given.collect()
+        empty = stage(spark, docs.limit(0), path)
+        assert empty.count() == 0 and set(empty.columns) == set(given.columns), name
+    # without labels of both kinds the base rules decide: no words and repeated words go
+    assert len(out["quality_rules"]) == 12 + 4 + 1
+    # the copy under a null id and the repeated row go; a null id with a text of its own stays
+    assert sorted(str(r["doc_id"]) for r in out["near_dedup"]) == sorted([*map(str, range(12)), "3", "53", "None"])
+    assert all("10.0.0" not in r["text"] for r in out["personal_data"]) and len(out["personal_data"]) == 15
+    assert sum(r["n_words"] for r in out["pack"]) == sum(len(r["text"].split()) for r in out["mix_sources"])
