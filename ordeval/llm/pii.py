@@ -15,7 +15,7 @@ CHANCE. So exact copies of one passage are one witness and disclose nothing, and
 rare its terms are. Near copies that differ next to the entity or to the term count as witnesses of their own.
 
 The first pass reads whole texts and leaves narrow rows, and the texts that hold entities; those are read again for
-the pairs and for the marks. One more pass counts the candidate terms in all documents. Candidate terms are
+the pairs, for the witnesses of the few pairs that disclose, and for the marks. One more pass counts the candidate terms in all documents. Candidate terms are
 broadcast up to MAX_TERMS, a bound that is checked; beyond it the same counts are joined.
 
 Nulls: a null text is an empty one and null ids pass through. Rows that repeat an id are told apart by text; repeated
@@ -46,8 +46,6 @@ CONTEXT_WORDS = 5
 CHANCE = 0.01
 GENERALISE, REMOVE = 0.85, 0.97
 MAX_TERMS = 200_000
-#: Contexts of a pair are counted exactly up to this number, from their least hashes beyond it.
-LEAST_HASHES = 16
 
 # A run of word characters before an @ is found from the @, so long runs cost no retries.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -166,7 +164,7 @@ FOUND = pa.schema(
         ("text_hash", pa.int64()),
         *[(f"n_{k}", pa.int64()) for k in BASE],
         ("base", pa.string()),
-        ("mentions", pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64())]))),
+        ("entities", pa.list_(pa.string())),
         ("text", pa.string()),
     ]
 )
@@ -185,8 +183,7 @@ def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for k in BASE:
                 out[f"n_{k}"].append(kinds[k])
             out["base"].append(listed(spans))
-            held = read_terms(text, spans)[1] if spans else {}
-            out["mentions"].append([{"entity": e, "context": c} for e, c in held.items()])
+            out["entities"].append(list(mentions(text, spans, [], [], [])))
             out["text"].append(text if spans else None)
         return out
 
@@ -194,80 +191,90 @@ def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
     )
     counts = ", ".join(f"n_{k} long" for k in BASE)
-    held = "array<struct<entity: string, context: bigint>>"
-    return map_arrow(given, find, f"doc_id long, text_hash long, {counts}, base string, mentions {held}, text string", FOUND)
+    return map_arrow(given, find, f"doc_id long, text_hash long, {counts}, base string, entities array<string>, text string", FOUND)
 
 
-def held_entities(found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, entity) of the entities that more than one text holds: others can have no two witnesses."""
-    each = found.select("doc_id", "text_hash", F.explode("mentions.entity").alias("entity"))
-    often = each.groupBy("entity").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
-    return staged(each.distinct().join(often.select("entity"), "entity"))
+def different_texts(found: DataFrame) -> DataFrame:
+    """(text_hash, base, n, text, entities): the different texts that hold entities, each with its number of documents.
+    Copies are read once from here on; a text is known by its hash and its base spans."""
+    texts = found.where("text IS NOT NULL").groupBy("text_hash", "base")
+    return staged(texts.agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("entities").alias("entities")))
 
 
-PART = pa.schema([("entity", pa.string()), ("term", pa.string()), ("docs", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("own", "far")]])
+def held_entities(texts: DataFrame) -> DataFrame:
+    """(text_hash, base, entity) of the entities that more than one text holds: others can have no two witnesses."""
+    each = texts.select("text_hash", "base", F.explode("entities").alias("entity"))
+    often = each.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
+    return staged(each.join(often.select("entity"), "entity"))
 
 
-def _least(hashes: str) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(hashes)))), 1, LEAST_HASHES)
+PART = pa.schema([("entity", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("texts", pa.int64())])
 
 
-def different(hashes: str) -> Column:
-    """How many different ones of the lists ``hashes`` of a group there are, from its LEAST_HASHES least ones."""
-    least = _least(hashes)
-    share = F.element_at(least, -1) / F.lit(float(1 << 63))
-    return F.when(F.size(least) < LEAST_HASHES, F.size(least).cast("double")).otherwise((LEAST_HASHES - 1) / share)
+def texts_with(texts: DataFrame, by_text: DataFrame, what: str) -> DataFrame:
+    """(n, text, ``what``) of the texts of ``by_text`` (text_hash, base, ``what``)."""
+    small_batches(texts.sparkSession)
+    return texts.join(by_text, ["text_hash", "base"]).select("n", "text", what)
 
 
-def shared_documents(found: DataFrame, held: DataFrame) -> DataFrame:
-    """(entity, term, docs, witnesses): documents with both, and in how many different contexts. Rows with the term ''
-    count an entity's documents, rows with the entity '' those of a term among the documents that hold any.
+def shared_documents(texts: DataFrame, held: DataFrame) -> DataFrame:
+    """(entity, term, docs, texts): documents, and different texts, with both. Rows with the term '' count an entity's
+    documents, rows with the entity '' those of a term among the documents that hold any.
 
     Each task sums up its own documents first, so a frequent entity is a few rows a task.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: dict[tuple[str, str], list] = {}
+        docs: Counter[tuple[str, str]] = Counter()
+        seen: Counter[tuple[str, str]] = Counter()
 
         def flush() -> pa.RecordBatch:
-            rows = [(*k, n, *(sorted(s)[:LEAST_HASHES] for s in sets)) for k, (n, *sets) in part.items()]
-            columns = list(zip(*rows)) if rows else [[] for _ in PART]
-            part.clear()
+            columns = [[e for e, _ in docs], [t for _, t in docs], list(docs.values()), list(map(seen.__getitem__, docs))]
+            docs.clear(), seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PART, strict=True)], schema=PART)
 
-        def add(entity: str, term: str, *contexts: int) -> None:
-            row = part.setdefault((entity, term), [0, set(), set()])
-            row[0] += 1
-            for known, context in zip(row[1:], contexts):
-                known.add(context)
-                if len(known) > 4 * LEAST_HASHES:
-                    known.difference_update(sorted(known)[LEAST_HASHES:])
+        for b in batches:
+            for n, text, entities in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                terms = {"", *(m[0].lower() for m in free_terms(text, base_spans(text)))}
+                for entity in ("", *entities):
+                    for term in terms:
+                        docs[entity, term] += n
+                        seen[entity, term] += 1
+                    if len(docs) >= 200_000:
+                        yield flush()
+        yield flush()
+
+    by_text = held.groupBy("text_hash", "base").agg(F.collect_set("entity").alias("held"))
+    parts = texts_with(texts, by_text, "held").mapInArrow(count, "entity string, term string, docs long, texts long")
+    return parts.groupBy("entity", "term").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
+
 
+CONTEXTS = pa.schema([("entity", pa.string()), ("term", pa.string()), ("own", pa.int64()), ("far", pa.int64())])
+
+
+def witnesses_of(texts: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(entity, term, witnesses) of ``pairs`` (entity, term): in how many different contexts of the entity, or of the
+    term, their texts have both; a text is one context of each, that of the first place."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, entities in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows = set()
+            for text, wanted in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 terms, own = read_terms(text, base_spans(text))
-                places: dict[str, int] = {}
+                first: dict[str, int] = {}
                 for i, term in enumerate(terms):
-                    if term not in places:
-                        places[term] = _context(terms[max(0, i - CONTEXT_WORDS) : i + CONTEXT_WORDS + 1])
-                        add("", term)
-                for entity in entities:
-                    add(entity, "")
-                    for term, place in places.items():
-                        add(entity, term, own[entity], place)
-                    if len(part) >= 100_000:
-                        yield flush()
-        yield flush()
+                    first.setdefault(term, i)
+                for pair in wanted:
+                    if (i := first.get(pair["term"])) is not None:
+                        far = _context(terms[max(0, i - CONTEXT_WORDS) : i + CONTEXT_WORDS + 1])
+                        rows.add((pair["entity"], pair["term"], own[pair["entity"]], far))
+            columns = list(zip(*rows)) if rows else [[] for _ in CONTEXTS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CONTEXTS, strict=True)], schema=CONTEXTS)
 
-    small_batches(found.sparkSession)
-    texts = found.where("text IS NOT NULL").select("doc_id", "text_hash", "text")
-    by_doc = held.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.collect_set("entity").alias("entities"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h"))
-    parts = texts.join(by_doc, same).select("text", "entities").mapInArrow(count, "entity string, term string, docs long, own array<bigint>, far array<bigint>")
-    # a pair that many tasks met is merged in some groups first, so that no list grows with the number of tasks
-    some = F.pmod(F.spark_partition_id(), F.lit(64)).alias("some")
-    merged = parts.groupBy("entity", "term", some).agg(F.sum("docs").alias("docs"), *[_least(c).alias(c) for c in ("own", "far")])
-    return merged.groupBy("entity", "term").agg(F.sum("docs").alias("docs"), F.greatest(different("own"), different("far")).alias("witnesses"))
+    by_text = held.join(pairs.select("entity", "term"), "entity").groupBy("text_hash", "base")
+    wanted = by_text.agg(F.collect_list(F.struct("entity", "term")).alias("wanted"))
+    seen = texts_with(texts, wanted, "wanted").mapInArrow(contexts, "entity string, term string, own long, far long")
+    return seen.groupBy("entity", "term").agg(F.greatest(F.count_distinct("own"), F.count_distinct("far")).alias("witnesses"))
 
 
 def documents_with(docs: DataFrame, terms: DataFrame, text_col: str, most: int = MAX_TERMS) -> DataFrame:
@@ -309,47 +316,50 @@ def surprise(together: Column, in_docs: Column, holding: Column, witnesses: Colu
     return F.when(q > p, F.least(witnesses, together) / q * (q * F.log(q / p) + apart)).otherwise(F.lit(0.0))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, text_col: str = "text") -> DataFrame:
+def disclosing(docs: DataFrame, texts: DataFrame, held: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the pairs that reach GENERALISE and are no coincidence; all counts are over the
-    whole corpus."""
-    n = F.lit(float(max(2, found.count())))
+    whole corpus. Each count leaves fewer pairs for the next one."""
+    n = F.lit(float(max(2, docs.count())))
     looked = Observation()
     is_pair = (F.col("entity") != "") & (F.col("term") != "")
-    counts = shared_documents(found, held).observe(looked, F.count_if(is_pair).alias("pairs"))
-    counts = staged(counts.where(~is_pair | (F.col("witnesses") >= 2)))
+    counts = shared_documents(texts, held).observe(looked, F.count_if(is_pair).alias("pairs"))
+    counts = staged(counts.where("texts >= 2 OR term = ''"))
     limit = math.log(max(1, looked.get["pairs"]) / CHANCE)
     holding = counts.where("term = ''").select("entity", F.least(F.col("docs").cast("double"), n - 1).alias("holding"))
     among = counts.where("entity = ''").select("term", F.col("docs").alias("among"))
-    both = counts.where(is_pair).select("entity", "term", F.col("docs").cast("double").alias("together"), "witnesses")
+    both = counts.where(is_pair).select("entity", "term", F.col("docs").cast("double").alias("together"))
 
-    def enough(df: DataFrame, in_docs: Column) -> DataFrame:
+    def revealing(df: DataFrame, in_docs: Column) -> DataFrame:
         pmi = F.log(n * F.col("together") / (in_docs * F.col("holding")))
-        unlikely = surprise(F.col("together"), in_docs, F.col("holding"), F.col("witnesses"), n)
-        named = df.withColumn("disclosure", pmi / F.log(n / F.col("holding")))
-        return named.where((F.col("disclosure") >= GENERALISE) & (unlikely >= limit))
+        named = df.withColumn("in_docs", in_docs).withColumn("disclosure", pmi / F.log(n / F.col("holding")))
+        return named.where(F.col("disclosure") >= GENERALISE)
 
-    # a term is in all documents at least as often as among those that hold entities: what can't reach the limits goes
-    pairs = staged(enough(both.join(holding, "entity").join(among, "term"), F.col("among").cast("double")))
-    in_docs = documents_with(docs, pairs.select("term").distinct(), text_col)
-    every = F.greatest(F.coalesce("in_docs", "among"), "among").cast("double")
-    return enough(pairs.drop("disclosure").join(in_docs, "term", "left"), every).select("entity", "term", "disclosure")
+    # a term is in all documents at least as often as among those that hold entities: what can't reach the limit goes
+    pairs = staged(revealing(both.join(holding, "entity").join(among, "term"), F.col("among").cast("double")).drop("in_docs"))
+    every = documents_with(docs, pairs.select("term").distinct(), text_col).withColumnRenamed("in_docs", "every")
+    in_docs = F.greatest(F.coalesce("every", "among"), "among").cast("double")
+    pairs = staged(revealing(pairs.join(every, "term", "left"), in_docs).drop("every", "among"))
+    unlikely = surprise(F.col("together"), F.col("in_docs"), F.col("holding"), F.col("witnesses"), n)
+    met = pairs.join(witnesses_of(texts, held, pairs), ["entity", "term"])
+    return met.where((F.col("witnesses") >= 2) & (unlikely >= limit)).select("entity", "term", "disclosure")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_*, base, added) of each document; ``added`` are the spans of disclosing terms."""
     found = staged(found_in(docs, id_col, text_col))
-    held = held_entities(found)
-    pairs = staged(disclosing(docs, found, held, text_col))
+    texts = different_texts(found)
+    held = held_entities(texts)
+    pairs = staged(disclosing(docs, texts, held, text_col))
     place = F.array_position(F.array(*[F.lit(k) for k in BASE]), F.regexp_extract("entity", "^[a-z]+", 0))
     kind = F.when(F.col("most.disclosure") >= REMOVE, F.lit("drop"))
     for i, k in enumerate(BASE):
         kind = kind.when(F.col("most.place") == -i - 1, F.lit(f"{k}_term"))
     wanted = (
         held.join(pairs, "entity")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "term")
+        .groupBy("text_hash", "base", "term")
         .agg(F.max(F.struct("disclosure", (-place).alias("place"))).alias("most"))
-        .select("__id", "__h", "term", kind.alias("kind"))
-        .groupBy("__id", "__h")
+        .select("text_hash", "base", "term", kind.alias("kind"))
+        .groupBy("text_hash", "base")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("wanted"))
     )
 
@@ -364,10 +374,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.Series([one(t, w) for t, w in zip(texts, wanted, strict=True)], dtype=object)
 
     small_batches(docs.sparkSession)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h"))
-    texts = found.where("text IS NOT NULL").select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"])
-    added = texts.join(wanted, same).select("__id", "__h", places("text", "wanted").alias("added"))
-    return found.drop("mentions", "text").join(added, same, "left").drop("__id", "__h")
+    added = texts.join(wanted, ["text_hash", "base"]).select("text_hash", "base", places("text", "wanted").alias("added"))
+    return found.drop("entities", "text").join(staged(added), ["text_hash", "base"], "left")
 
 
 def span_digest(found: DataFrame) -> DataFrame:
