@@ -446,10 +446,11 @@ def _components(
         classes.select("node", F.col("root").alias("class")).join(nodes.select("node", "first", "h", "n"), "node")
     )
     sizes = members.groupBy("class").agg(F.sum("n").alias("in_class"))
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    # the members grow with the corpus: the plan is the same at every size, one shuffle of the texts
-    wanted = members.join(sizes, "class").hint("merge")
-    texts = given.dropDuplicates(["id", "th"]).join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("h")))
+    named_by = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("")).alias("id")
+    given = docs.select(named_by(id_col), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    # the members grow with the corpus: the plan is the same at every size, one shuffle of the texts by id and hash
+    wanted = members.join(sizes, "class").withColumn("id", named_by("first")).hint("merge")
+    texts = given.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"])
     links = confirmed_in_small(texts.where(F.col("in_class") <= class_shingles), k, threshold)
     if not sizes.where(F.col("in_class") > class_shingles).isEmpty():
         links = links.unionByName(
