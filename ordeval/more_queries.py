@@ -90,13 +90,17 @@ def _(s, d):
     return a.join(b, F.col("left_year") < F.col("right_year"))
 
 
-@query("j11_domain_fill", """SELECT s.status, p.priority_code, count(c.id) AS n FROM (SELECT DISTINCT status FROM cohort) s CROSS JOIN (SELECT DISTINCT priority_code FROM cohort) p
-LEFT JOIN cohort c ON c.status = s.status AND c.priority_code = p.priority_code AND c.year = 2001 AND c.target = 2 GROUP BY 1, 2""")
+@query("j11_domain_fill", """SELECT s.status, p.priority_code, m.month_code, t.target, count(c.id) AS n FROM (SELECT DISTINCT status FROM cohort) s CROSS JOIN (SELECT DISTINCT priority_code FROM cohort) p
+CROSS JOIN (SELECT DISTINCT month_code FROM cohort) m CROSS JOIN (SELECT DISTINCT target FROM cohort) t
+LEFT JOIN cohort c ON c.status = s.status AND c.priority_code = p.priority_code AND c.month_code = m.month_code AND c.target = t.target GROUP BY 1, 2, 3, 4""")
 def _(s, d):
     df = plan.cohort(s, d)
-    domain = df.select("status").distinct().crossJoin(df.select("priority_code").distinct())  # codes, not rows
-    found = audits.counts(df.where("year = 2001 AND target = 2"), "status", "priority_code")
-    return domain.join(found, ["status", "priority_code"], "left").na.fill(0, ["n"])
+    keys = ["status", "priority_code", "month_code", "target"]
+    codes = df.agg(*[F.collect_set(k).alias(k) for k in keys])  # the codes of each column: few, and not rows
+    domain = codes
+    for k in keys:
+        domain = domain.withColumn(k, F.explode(k))
+    return domain.join(audits.counts(df, *keys), keys, "left").na.fill(0, ["n"])
 
 
 @query("j12_spec_join", "SELECT role, n, expected, n >= expected AS enough FROM (SELECT role, count(*) AS n FROM cohort GROUP BY role) JOIN (VALUES ('train', 1000), ('validation', 200), ('test', 100000)) t(role, expected) USING (role)")
@@ -154,11 +158,11 @@ def _(s, d):
     return verify.table_differences(c, other, ["k"]).select(F.col("k").alias("c_custkey")).orderBy("c_custkey").limit(5)
 
 
-@query("u05_support_union", """SELECT coalesce(a.v, b.v) AS v, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right FROM (SELECT s_nationkey AS v, count(*) AS n FROM supplier GROUP BY 1) a
-FULL OUTER JOIN (SELECT c_nationkey AS v, count(*) AS n FROM customer WHERE c_nationkey < 12 GROUP BY 1) b ON a.v = b.v""", False)
+@query("u05_support_union", """SELECT coalesce(a.v, b.v) AS v, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right FROM (SELECT p_size AS v, count(*) AS n FROM part GROUP BY 1) a
+FULL OUTER JOIN (SELECT l_linenumber AS v, count(*) AS n FROM lineitem GROUP BY 1) b ON a.v = b.v""", False)
 def _(s, d):
-    a = audits.counts(plan.read(s, d, "supplier").select(F.col("s_nationkey").alias("v")), "v").withColumnRenamed("n", "n_left")
-    b = audits.counts(plan.read(s, d, "customer").where("c_nationkey < 12").select(F.col("c_nationkey").alias("v")), "v").withColumnRenamed("n", "n_right")
+    a = audits.counts(plan.read(s, d, "part").select(F.col("p_size").alias("v")), "v").withColumnRenamed("n", "n_left")
+    b = audits.counts(plan.read(s, d, "lineitem").select(F.col("l_linenumber").alias("v")), "v").withColumnRenamed("n", "n_right")
     return a.join(b, "v", "full_outer").na.fill(0, ["n_left", "n_right"])
 
 

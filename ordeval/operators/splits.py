@@ -16,7 +16,7 @@ from ordeval.functions.columns import hash32
 SEEDS = (1103, 2207, 3301, 4409, 5501)
 SECOND_STAGE = 1_000_003
 #: Hash ranges that a class is cut into for ranking.
-RANGES = 256
+RANGES = 1024
 
 
 def temporal_role(year: Column, train: Sequence[int], validation: Sequence[int], test: Sequence[int]) -> Column:
@@ -27,14 +27,19 @@ def temporal_role(year: Column, train: Sequence[int], validation: Sequence[int],
     )
 
 
-def rank_in_class(df: DataFrame, seed: int, id_col: str, *keys: str, out: str = "rank", ranges: int = RANGES) -> DataFrame:
-    """``df`` with the rank by hash within ``keys``: rows of lower hash ranges, counted, plus the rank in its own range."""
-    hashed = df.withColumn("__h", hash32(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))).withColumn(
-        "__r", F.floor(F.col("__h") * ranges / F.lit(4294967296)).cast("int")
-    )
+def rank_in_class(
+    df: DataFrame, seed: int | Column, id_col: str, *keys: str, out: str = "rank", size: str | None = None, ranges: int = RANGES
+) -> DataFrame:
+    """``df`` with the rank by hash within ``keys``: rows of lower hash ranges, counted, plus the rank in its own range.
+    ``size`` names a column for the number of rows with these keys. ``seed`` may be a column."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    name = F.concat(seed.cast("string"), F.lit(":"), F.col(id_col).cast("string"))
+    hashed = df.withColumn("__h", hash32(name)).withColumn("__r", F.floor(F.col("__h") * ranges / F.lit(4294967296)).cast("int"))
     sized = hashed.groupBy(*keys, "__r").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    starts = starts.withColumn(size, F.sum("__n").over(group)).drop("__n") if size else starts.drop("__n")
     within = F.row_number().over(Window.partitionBy(*keys, "__r").orderBy("__h", id_col))
     return hashed.withColumn("__w", within).join(starts, [*keys, "__r"]).withColumn(out, F.col("__before") + F.col("__w")).drop("__h", "__r", "__w", "__before")
 
@@ -43,22 +48,25 @@ def class_sizes(df: DataFrame, *keys: str, out: str = "n_class") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(out))
 
 
-def random_roles(df: DataFrame, seed: int, id_col: str, target: str, locked: Column, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Stratified 70/15/15 in two stages with exact sizes in each class; ``locked`` rows stay out."""
-    pool = df.where(~locked)
-    first = rank_in_class(pool, seed, id_col, target).join(F.broadcast(class_sizes(pool, target)), target)
-    in_train = F.col("rank") <= F.round(F.lit(train) * F.col("n_class"))
-    rest = first.where(~in_train).drop("rank", "n_class")
-    second = rank_in_class(rest, seed + SECOND_STAGE, id_col, target).join(F.broadcast(class_sizes(rest, target)), target)
-    share = validation / (1 - train)
-    role = F.when(F.col("rank") <= F.round(F.lit(share) * F.col("n_class")), "validation").otherwise("test")
-    parts = [
-        first.where(in_train).drop("rank", "n_class").withColumn("role", F.lit("train")),
-        second.withColumn("role", role).drop("rank", "n_class"),
-        df.where(locked).withColumn("role", F.lit("locked_temporal_test")),
-    ]
-    columns = [*df.columns, "role"]
-    return parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
+def random_roles(
+    df: DataFrame, seed: int | Column, id_col: str, target: str, locked: Column, train: float = 0.7, validation: float = 0.15, by: Sequence[str] = ()
+) -> DataFrame:
+    """Stratified 70/15/15 in two stages with exact sizes in each class; ``locked`` rows stay out.
+
+    One flow for all roles: rows are ranked with their stage as a key, and ``by`` may hold a column of seeds, so many
+    seeds cost one scan.
+    """
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    keys = [*by, "__locked", target]
+    first = rank_in_class(df.withColumn("__locked", locked), seed, id_col, *keys, out="__rank", size="__size")
+    staged = first.withColumn("__train", F.col("__rank") <= F.round(F.lit(train) * F.col("__size"))).drop("__rank", "__size")
+    second = rank_in_class(staged, seed + F.lit(SECOND_STAGE), id_col, *keys, "__train", out="__rank", size="__size")
+    share = F.lit(validation / (1 - train))
+    role = (
+        F.when(F.col("__locked"), "locked_temporal_test").when(F.col("__train"), "train")
+        .when(F.col("__rank") <= F.round(share * F.col("__size")), "validation").otherwise("test")
+    )
+    return second.withColumn("role", role).select(*df.columns, "role")
 
 
 def proportional_allocation(sizes: DataFrame, target: str, rows: int, size: str = "n_class") -> DataFrame:

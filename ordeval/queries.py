@@ -145,13 +145,10 @@ def _(s, d):
 
 
 def roles_of_seeds(s, d):
-    """(seed, id, target, role, ...) for the five seeds."""
-    base = plan.predicted(plan.cohort(s, d)).withColumnRenamed("role", "temporal_role")
-    parts = [splits.random_roles(base, seed, "id", "target", F.col("year") == 2001).withColumn("seed", F.lit(seed)) for seed in splits.SEEDS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(seed, id, target, role, ...) for the five seeds: one scan, the seeds are a column."""
+    base = plan.predicted(plan.cohort(s, d)).select("id", "year", "target", "pred_a", "pred_b")
+    seeded = base.withColumn("seed", F.explode(F.array(*[F.lit(x) for x in splits.SEEDS])))
+    return splits.random_roles(seeded, F.col("seed"), "id", "target", F.col("year") == 2001, by=["seed"])
 
 
 def _roles_sql(seed: int) -> str:
@@ -464,10 +461,10 @@ def _(s, d):
     return rounded(audits.coverage(df, df.where("role = 'train' AND month <> 7"), "v", "role"), "unseen_share")
 
 
-@query("j08_unseen", "SELECT DISTINCT p_type, p_brand FROM part p WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM part t WHERE t.p_size <= 25 AND t.p_type = p.p_type AND t.p_brand = p.p_brand AND t.p_size % 2 = 0)", False)
+@query("j08_unseen", "SELECT DISTINCT p_type, p_brand FROM part p WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM part t WHERE t.p_size <= 25 AND t.p_type = p.p_type AND t.p_brand = p.p_brand)", False)
 def _(s, d):
     parts = plan.read(s, d, "part")
-    seen = parts.where("p_size <= 25 AND p_size % 2 = 0").select("p_type", "p_brand")
+    seen = parts.where("p_size <= 25").select("p_type", "p_brand")
     return guards.outside(parts.where("p_size > 25"), seen, "p_type", "p_brand").select("p_type", "p_brand").distinct()
 
 
@@ -743,10 +740,10 @@ def _(s, d):
     return joins.stacked_predictions(modelled(s, d), "id", "model", "predicted_code", ["A", "B"])
 
 
-@query("j09_sides", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'common' END AS side FROM (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey < 20) a FULL OUTER JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey > 3) b ON a.k = b.k", False)
+@query("j09_sides", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'common' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer) a FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k", False)
 def _(s, d):
-    a = plan.read(s, d, "supplier").where("s_nationkey < 20").select(F.col("s_nationkey").alias("k")).distinct()
-    b = plan.read(s, d, "customer").where("c_nationkey > 3").select(F.col("c_nationkey").alias("k")).distinct()
+    a = plan.read(s, d, "customer").select(F.col("c_custkey").alias("k")).distinct()
+    b = plan.read(s, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
     return joins.outer_sides(a, b, ["k"])
 
 
@@ -819,10 +816,12 @@ def _(s, d):
 
 @query("r12_paired_deltas")
 def _(s, d):
-    long = metrics.long_metrics(metrics.metrics(joint_draws(s, d), ["role", "model", "iteration"]), ["role", "model", "iteration"])
-    delta = joins.cohort_gap(long, "pred_b", "pred_a", ["role", "metric", "iteration"], cohort="model")
-    out = metrics.intervals(delta, ["role", "metric"], "gap")
-    return out.withColumn("evidence", C.interval_evidence((F.col("low") + F.col("high")) / 2, F.col("low"), F.col("high")))
+    """Intervals of the paired differences, judged from the observed difference."""
+    keys = ["role", "metric"]
+    draws = metrics.long_metrics(metrics.metrics(joint_draws(s, d), ["role", "model", "iteration"]), ["role", "model", "iteration"])
+    out = metrics.intervals(joins.cohort_gap(draws, "pred_b", "pred_a", [*keys, "iteration"], cohort="model"), keys, "gap")
+    observed = joins.cohort_gap(model_values(s, d), "B", "A", keys, cohort="model").select(*keys, F.col("gap").alias("observed"))
+    return out.join(observed, keys).withColumn("evidence", C.interval_evidence(F.col("observed"), F.col("low"), F.col("high")))
 
 
 @query("r11_bootstrap_means")
@@ -888,13 +887,13 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from ordeval import more_queries  # noqa: F401  registers its queries
+    from ordeval import file_queries, more_queries  # noqa: F401  register their queries
     from ordeval.models import queries as model_queries
 
     return {**_QUERIES, **model_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from ordeval import more_queries  # noqa: F401
+    from ordeval import file_queries, more_queries  # noqa: F401
 
     return dict(_SQL)

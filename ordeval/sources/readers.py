@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,23 @@ def manifest_status(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.join(f, "path", "left").select("path", status.alias("status"))
 
 
+def merged_manifests(*manifests: DataFrame) -> DataFrame:
+    """One row for each path of several manifests (path, bytes, sha256): in how many it is, and whether they
+    contradict each other."""
+    every = manifests[0]
+    for m in manifests[1:]:
+        every = every.unionByName(m)
+    facts = F.struct("bytes", "sha256")
+    return every.groupBy("path").agg(F.count("*").alias("manifests"), (F.min(facts) != F.max(facts)).alias("conflict"))
+
+
+def seals(manifest: DataFrame, folder: Column, seal: str = "seal") -> DataFrame:
+    """One seal for each folder of a manifest, from its sorted lines ``sha256 path``; a file that changes, comes or
+    goes changes the seal, and seals of folders can be sealed again."""
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "sha256", "path"))), "\n")
+    return manifest.groupBy(folder.alias("folder")).agg(F.sha2(lines, 256).alias(seal))
+
+
 def require_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly these columns in this order with these types."""
     want = [(f.name, f.dataType.simpleString()) for f in schema]

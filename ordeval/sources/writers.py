@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +31,7 @@ def write_rows(spark: SparkSession, rows: Sequence[dict], schema: T.StructType,
     write_csv(spark.createDataFrame(list(rows), schema), path)
 
 
-def write_json_atomic(value: object, path: str) -> None:
-    """A small JSON document, put in place by a rename."""
-    part = f"{path}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True)
-    os.replace(part, path)
+def write_json_atomic(spark: SparkSession, value: object, path: str) -> None:
+    """A small JSON document as a folder of the cluster's file system; Spark commits it whole or not at all."""
+    line = json.dumps(value, sort_keys=True)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)

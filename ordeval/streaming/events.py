@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordeval.sources.shared import new_path
+
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events of each day and type; rows later than the watermark are left out of closed days."""
@@ -25,8 +25,7 @@ def drained_daily_counts(spark: SparkSession, path: str) -> DataFrame:
 
     The update mode's last row of each day and type is its count.
     """
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ordeval-")).rstrip("/")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     schema = spark.read.parquet(path).schema
     # a single file can't be watched, its folder with a name filter can
     folder, _, name = path.rstrip("/").rpartition("/")
