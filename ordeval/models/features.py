@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordeval.functions.columns import RESERVED, UNSEEN
+from ordeval.operators import ranks
 
 
 def vocabulary(train: DataFrame, column: str) -> DataFrame:
@@ -52,8 +53,10 @@ class NumericScaler:
     @classmethod
     def fit(cls, train: DataFrame, columns: Sequence[str]) -> NumericScaler:
         columns = list(columns)
-        got = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-        median = {c: float(got[c] or 0.0) for c in columns}
+        long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "field", "value")
+        got = ranks.value_counts(long, "value", "field").groupBy("field").agg(ranks.quantile("value", 0.5).alias("median")).collect()
+        found = {r["field"]: r["median"] for r in got}  # one row for each column
+        median = {c: float(found.get(c) or 0.0) for c in columns}
         filled = [F.coalesce(F.col(c).cast("double"), F.lit(median[c])) for c in columns]
         stats = train.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(filled) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         mean = {c: float(stats[f"m{i}"] or 0.0) for i, c in enumerate(columns)}

@@ -17,7 +17,7 @@ def weighted(train: DataFrame, target: str = "target", out: str = "weight") -> D
     """A17 as a column of the training rows."""
     sizes = train.groupBy(target).agg(F.count("*").alias("__n"))
     sizes = sizes.withColumn(out, F.sum("__n").over(Window.partitionBy()) / (CLASSES * F.col("__n"))).drop("__n")
-    return train.join(F.broadcast(sizes), target)
+    return train.join(sizes, target)
 
 
 def logistic(train: DataFrame, target: str = "target", c: float = 1.0, balanced: bool = True):  # noqa: ANN201

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordeval.functions.columns import COSTS, direction
+from ordeval.operators import ranks
 
 CLASSES = (0, 1, 2)
 CELLS = [(i, j) for i in CLASSES for j in CLASSES]
@@ -111,7 +112,7 @@ def log_loss(df: DataFrame, keys: Sequence[str], probabilities: str, true: str,
 
 def standardised(wide: DataFrame, reference: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Counts reweighted by true class to the class shares r0..r2 of ``reference``."""
-    joined = wide.join(F.broadcast(reference), list(on)) if on else wide.crossJoin(F.broadcast(reference))
+    joined = wide.join(reference, list(on)) if on else wide.crossJoin(F.broadcast(reference))  # one row without keys
     n = _n()
     new = {f"c{i}{j}": _c(i, j) * ratio(F.col(f"r{i}") * n, _row(i)) for i, j in CELLS}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in wide.columns])
@@ -125,12 +126,13 @@ def class_shares(wide: DataFrame, *keys: str) -> DataFrame:
 def error_structure(df: DataFrame, keys: Sequence[str], true: str, predicted: str, confidence: str) -> DataFrame:
     """Count, share and confidence quantiles of each wrong cell."""
     t, p = F.col(true), F.col(predicted)
-    cells = df.groupBy(*keys, true, predicted).agg(
-        F.count("*").alias("n"),
-        F.avg(confidence).alias("mean_confidence"),
-        F.percentile(confidence, F.lit(0.5)).alias("median_confidence"),
-        F.percentile(confidence, F.lit(0.9)).alias("p90_confidence"),
-    )
+    counts = ranks.value_counts(df.select(*keys, true, predicted, confidence), confidence, *keys, true, predicted)
+    cells = counts.groupBy(*keys, true, predicted).agg(
+        F.sum("n").alias("rows"),
+        ranks.mean(confidence).alias("mean_confidence"),
+        ranks.quantile(confidence, 0.5).alias("median_confidence"),
+        ranks.quantile(confidence, 0.9).alias("p90_confidence"),
+    ).withColumnRenamed("rows", "n")
     whole = F.sum("n").over(Window.partitionBy(*keys))
     return (
         cells.withColumn("share", F.col("n") / whole)
@@ -161,7 +163,7 @@ def intervals(draws: DataFrame, keys: Sequence[str], value: str = "value", level
 
 def contrasts(values: DataFrame, weights: DataFrame, keys: Sequence[str], by: str = "model", value: str = "value") -> DataFrame:
     """Sums of weight * value for each named contrast; ``weights`` (contrast, by, weight) is a small table."""
-    joined = values.join(F.broadcast(weights), by)
+    joined = values.join(weights, by)
     return joined.groupBy("contrast", *keys).agg(F.sum(F.col("weight") * F.col(value)).alias(value))
 
 

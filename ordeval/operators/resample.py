@@ -67,16 +67,13 @@ def bootstrap_confusions(
 
 def slot_bootstrap(df: DataFrame, id_col: str, true: str, iterations: int, columns: Sequence[str]) -> DataFrame:
     """Record bootstrap that any engine can repeat: slot j of class k in iteration b takes the record
-    whose hash rank in the class is hash(b:k:j) modulo the class's size."""
-    ranked = rank_in_class(df.select(id_col, true, *columns), 0, id_col, true)
-    sizes = df.groupBy(true).agg(F.count("*").alias("__n"))
-    slots = (
-        ranked.select(true, F.col("rank").alias("__slot"))
-        .join(F.broadcast(sizes), true)
-        .select(true, "__n", "__slot", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    )
+    whose hash rank in the class is hash(b:k:j) modulo the class's size. Rows times iterations by definition: a check
+    of the bootstrap of counts, which is the way at scale."""
+    ranked = rank_in_class(df.select(id_col, true, *columns), 0, id_col, true, size="__size")
+    draws = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
+    slots = ranked.select(true, "__size", F.col("rank").alias("__slot"), draws)
     name = F.concat_ws(":", F.col("iteration").cast("string"), F.col(true).cast("string"), F.col("__slot").cast("string"))
-    picks = slots.groupBy("iteration", true, (F.pmod(hash32(name), F.col("__n")) + 1).alias("rank")).agg(F.count("*").alias("times"))
+    picks = slots.groupBy("iteration", true, (F.pmod(hash32(name), F.col("__size")) + 1).alias("rank")).agg(F.count("*").alias("times"))
     return picks.join(ranked, [true, "rank"]).select("iteration", true, id_col, *columns, "times")
 
 
@@ -87,8 +84,6 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], stratum: str, values: Se
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["iteration int"] + [f"`{v}` double" for v in values])
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a group of {len(rows)} rows; sample at most {most} first")
         rng = np.random.default_rng(stream_seed(seed, *rows.iloc[0][keys].tolist()))
         rows = rows.sort_values([stratum, *values], kind="mergesort")
         x = rows[values].to_numpy(float)
@@ -103,4 +98,7 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], stratum: str, values: Se
             frame.insert(0, k, rows.iloc[0][k])
         return frame
 
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).collect()
+    if large:  # before any group goes to a task
+        raise ValueError(f"a group of {large[0]['n']} rows; sample at most {most} first")
     return df.select(*keys, stratum, *values).groupBy(*keys).applyInPandas(draw, schema)

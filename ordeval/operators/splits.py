@@ -16,7 +16,7 @@ from ordeval.functions.columns import hash32
 SEEDS = (1103, 2207, 3301, 4409, 5501)
 SECOND_STAGE = 1_000_003
 #: Hash ranges that a class is cut into for ranking.
-RANGES = 1024
+RANGES = 8192
 
 
 def temporal_role(year: Column, train: Sequence[int], validation: Sequence[int], test: Sequence[int]) -> Column:
@@ -82,7 +82,7 @@ def proportional_allocation(sizes: DataFrame, target: str, rows: int, size: str
 def quota_sample(df: DataFrame, quotas: DataFrame, seed: int, id_col: str, target: str) -> DataFrame:
     """The first ``quota`` rows of each class by hash."""
     ranked = rank_in_class(df, seed, id_col, target)
-    return ranked.join(F.broadcast(quotas.select(target, "quota")), target).where("rank <= quota").select(*df.columns)
+    return ranked.join(quotas.select(target, "quota"), target).where("rank <= quota").select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, rows: int, seed: int, id_col: str, target: str) -> DataFrame:

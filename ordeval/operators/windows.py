@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def average_rank(df: DataFrame, value: str, *keys: str, out: str = "rank") -> DataFrame:
-    """Rank by descending value, ties share their mean rank."""
+    """W02 for a small table, such as one row for each feature, by windows over whole groups; ``ranks.average_rank`` takes any size."""
     order = Window.partitionBy(*keys).orderBy(F.desc(value))
     ties = Window.partitionBy(*keys, value)
     return df.withColumn(out, F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0))

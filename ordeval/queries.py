@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordeval.functions import columns as C
-from ordeval.operators import audits, guards, joins, metrics, resample, splits, verify, windows
+from ordeval.operators import audits, guards, joins, metrics, ranks, resample, splits, verify, windows
 from ordeval.plans import cohort as plan
 from ordeval.sources import readers
 
@@ -247,9 +247,11 @@ _ATTR = "WITH x AS (" + " UNION ALL ".join(
 SELECT scope, feature, round(m, 9) AS mean_abs, round(signed, 9) + 0.0 AS mean_signed, round(median, 9) + 0.0 AS median, round(positive, 9) AS positive_share,
   rank() OVER (PARTITION BY scope ORDER BY round(m, 9) DESC) + (count(*) OVER (PARTITION BY scope, round(m, 9)) - 1) / 2.0::DOUBLE AS rank FROM g""")
 def _(s, d):
-    g = attributions(s, d).groupBy(F.col("target").alias("scope"), "feature").agg(
-        F.round(F.avg(F.abs("value")), 9).alias("mean_abs"), F.avg("value").alias("mean_signed"),
-        F.percentile("value", F.lit(0.5)).alias("median"), F.avg((F.col("value") > 0).cast("double")).alias("positive_share"),
+    counts = ranks.value_counts(attributions(s, d).select(F.col("target").alias("scope"), "feature", "value"), "value", "scope", "feature")
+    share = lambda x: F.sum(x * F.col("n")) / F.first("total")
+    g = counts.groupBy("scope", "feature").agg(
+        F.round(share(F.abs("value")), 9).alias("mean_abs"), ranks.mean("value").alias("mean_signed"),
+        ranks.quantile("value", 0.5).alias("median"), share((F.col("value") > 0).cast("double")).alias("positive_share"),
     )
     return rounded(windows.average_rank(g, "mean_abs", "scope"), "mean_signed", "median", "positive_share")
 
@@ -583,7 +585,7 @@ def _(s, d):
 
 @query("w02_avg_rank", "SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE AS rank FROM part", False)
 def _(s, d):
-    return windows.average_rank(plan.read(s, d, "part").select("p_partkey", "p_brand", "p_size"), "p_size", "p_brand").drop("p_size")
+    return ranks.average_rank(plan.read(s, d, "part").select("p_partkey", "p_brand", "p_size"), "p_size", "p_brand").drop("p_size")
 
 
 @query("w03_topk", """SELECT model, true_code, predicted_code, id, place FROM (SELECT *, row_number() OVER (PARTITION BY model, true_code, predicted_code ORDER BY round(greatest(q0, q1, q2) / qs, 9) DESC, id)::INT AS place
@@ -612,7 +614,7 @@ def _(s, d):
 @query("o04_codes_first", "SELECT value, row_number() OVER (ORDER BY NOT regexp_matches(value, '^-?\\d+$'), try_cast(value AS BIGINT), value)::INT AS place FROM (SELECT DISTINCT unnest([o_orderstatus, (o_custkey % 12)::VARCHAR]) AS value FROM orders)", False)
 def _(s, d):
     values = plan.read(s, d, "orders").select(F.explode(F.array("o_orderstatus", F.pmod("o_custkey", F.lit(12)).cast("string"))).alias("value")).distinct()
-    return values.withColumn("place", F.row_number().over(Window.orderBy(*windows.codes_first("value"))))
+    return ranks.global_place(values, windows.codes_first("value")).withColumn("place", F.col("place").cast("int"))
 
 
 @query("o05_ordered_head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", False)
@@ -777,15 +779,16 @@ def _(s, d):
     return splits.matched_sample(df.where("role = 'train'").drop("role"), df.where("role = 'test'"), 2207, "id", "target")
 
 
+SLOT_DRAWS = 50
 _SLOTS = f"""t AS (SELECT id, target, pred_b FROM predicted WHERE role = 'test'), n AS (SELECT target, count(*) AS n FROM t GROUP BY target),
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {HASH.format("'0:' || id::VARCHAR")}, id) AS rk FROM t),
-slots AS (SELECT i.i AS iteration, r.target, {HASH.format("i.i::VARCHAR || ':' || r.target::VARCHAR || ':' || r.rk::VARCHAR")} % n.n + 1 AS rk FROM r JOIN n USING (target), range(20) i(i)),
+slots AS (SELECT i.i AS iteration, r.target, {HASH.format("i.i::VARCHAR || ':' || r.target::VARCHAR || ':' || r.rk::VARCHAR")} % n.n + 1 AS rk FROM r JOIN n USING (target), range({SLOT_DRAWS}) i(i)),
 picks AS (SELECT iteration, r.target AS true_code, r.pred_b AS predicted_code FROM slots JOIN r ON r.target = slots.target AND r.rk = slots.rk)"""
 
 
 def slot_counts(s, d):
     df = plan.predicted(plan.cohort(s, d)).where("role = 'test'").select("id", "target", "pred_b")
-    picks = resample.slot_bootstrap(df, "id", "target", 20, ["pred_b"])
+    picks = resample.slot_bootstrap(df, "id", "target", SLOT_DRAWS, ["pred_b"])
     cell = lambda i, j: F.sum(F.when((F.col("target") == i) & (F.col("pred_b") == j), F.col("times")).otherwise(0)).alias(f"c{i}{j}")
     return picks.groupBy("iteration").agg(*[cell(i, j) for i, j in metrics.CELLS])
 
