@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ordeval.sources.shared import new_path
 
 
-def _with(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def with_keys(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, null being equal to null; ``small``'s keys are dropped."""
     renamed = small.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
@@ -41,7 +41,7 @@ def value_counts(df: DataFrame, value: str, *keys: str) -> DataFrame:
     )
     inside = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("__inside", F.coalesce(F.sum(real).over(inside), F.lit(0)))
-    joined = _with(placed, ranges, [*keys, "__range"])
+    joined = with_keys(placed, ranges, [*keys, "__range"])
     return joined.select(*keys, value, "n", (F.col("__start") + F.col("__inside")).alias("before"), "total")
 
 
@@ -63,7 +63,7 @@ def average_rank(df: DataFrame, value: str, *keys: str, out: str = "rank") -> Da
     counts = value_counts(df.select(*keys, value), value, *keys)
     greater = F.when(F.col(value).isNull(), F.col("total")).otherwise(F.col("total") - F.col("before") - F.col("n"))
     rank = greater + (F.col("n") + 1) / F.lit(2.0)
-    return _with(df, counts.select(*keys, value, rank.alias(out)), [*keys, value])
+    return with_keys(df, counts.select(*keys, value, rank.alias(out)), [*keys, value])
 
 
 def global_place(df: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:

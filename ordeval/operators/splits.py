@@ -1,7 +1,8 @@
 """Roles, hash-ranked samples and allocations (survey R01-R06, F06, F07, W03).
 
-Membership depends on a hash of seed and id only, so it is the same on any cluster. Ranks are taken within a
-class (and group); at scale ``rank_in_class`` first counts hash ranges, so no window holds a whole class.
+Membership depends on a hash of seed and id only, so it is the same on any cluster. The first rows of a class are
+found as a cut of the hash: ranges of the hash are counted, and only the range of the cut is ranked. No window holds a
+whole class.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordeval.functions.columns import hash32
+from ordeval.operators.ranks import with_keys
+from ordeval.sources.shared import new_path
 
 SEEDS = (1103, 2207, 3301, 4409, 5501)
 SECOND_STAGE = 1_000_003
 #: Hash ranges that a class is cut into for ranking.
-RANGES = 8192
+RANGES = 1024
 
 
 def temporal_role(year: Column, train: Sequence[int], validation: Sequence[int], test: Sequence[int]) -> Column:
@@ -27,14 +30,21 @@ def temporal_role(year: Column, train: Sequence[int], validation: Sequence[int],
     )
 
 
+def _hash(seed: int | Column, id_col: str) -> Column:
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    return hash32(F.concat(seed.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
+
+
+def _range(ranges: int) -> Column:
+    return F.floor(F.col("__h") * ranges / F.lit(4294967296)).cast("int")
+
+
 def rank_in_class(
     df: DataFrame, seed: int | Column, id_col: str, *keys: str, out: str = "rank", size: str | None = None, ranges: int = RANGES
 ) -> DataFrame:
     """``df`` with the rank by hash within ``keys``: rows of lower hash ranges, counted, plus the rank in its own range.
     ``size`` names a column for the number of rows with these keys. ``seed`` may be a column."""
-    seed = seed if isinstance(seed, Column) else F.lit(seed)
-    name = F.concat(seed.cast("string"), F.lit(":"), F.col(id_col).cast("string"))
-    hashed = df.withColumn("__h", hash32(name)).withColumn("__r", F.floor(F.col("__h") * ranges / F.lit(4294967296)).cast("int"))
+    hashed = df.withColumn("__h", _hash(seed, id_col)).withColumn("__r", _range(ranges))
     sized = hashed.groupBy(*keys, "__r").agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*keys)
     before = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,25 +58,59 @@ def class_sizes(df: DataFrame, *keys: str, out: str = "n_class") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(out))
 
 
+def hash_cuts(df: DataFrame, seed: int | Column, id_col: str, keys: Sequence[str], quota: Column, quotas: DataFrame | None = None) -> DataFrame:
+    """(keys, __cut_hash, __cut_id): hash and id of the last row of each group's first ``quota`` rows by (hash, id).
+
+    No row is shuffled but those of the one hash range of each group that holds the cut: hash ranges are counted first.
+    ``quota`` is an expression of ``__size``, the rows of the group, and of the columns of ``quotas`` (one row a group). The
+    result, at most one row a group, is written once. Ids are unique; equal ids stay together.
+    """
+    hashed = df.select(*keys, id_col, _hash(seed, id_col).alias("__h")).withColumn("__r", _range(RANGES))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sized = hashed.groupBy(*keys, "__r").agg(F.count("*").alias("__n")).withColumns({"__size": F.sum("__n").over(group), "__before": F.coalesce(F.sum("__n").over(before), F.lit(0))})
+    sized = with_keys(sized, quotas, keys) if quotas is not None else sized
+    need = quota.cast("long") - F.col("__before")
+    edges = sized.withColumn("__need", F.least(need, F.col("__size") - F.col("__before"))).where((F.col("__need") > 0) & (F.col("__need") <= F.col("__n")))
+    near = with_keys(hashed, edges.select(*keys, "__r", "__need"), [*keys, "__r"])
+    place = F.row_number().over(group.orderBy("__h", id_col))
+    cuts = near.withColumn("__place", place).where("__place = __need").select(*keys, F.col("__h").alias("__cut_hash"), F.col(id_col).alias("__cut_id"))
+    path = new_path(df.sparkSession, "cuts")
+    cuts.write.parquet(path)
+    return df.sparkSession.read.schema(cuts.schema).parquet(path)
+
+
+def first_by_hash(df: DataFrame, cuts: DataFrame, seed: int | Column, id_col: str, keys: Sequence[str], out: str) -> DataFrame:
+    """``df`` with a mark of the rows up to their group's cut; a group without a cut has none."""
+    joined = with_keys(df.withColumn("__h", _hash(seed, id_col)), cuts, keys, "left")
+    h, at = F.col("__h"), F.col("__cut_hash")
+    inside = (h < at) | ((h == at) & (F.col(id_col) <= F.col("__cut_id")))
+    return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop("__h", "__cut_hash", "__cut_id")
+
+
 def random_roles(
     df: DataFrame, seed: int | Column, id_col: str, target: str, locked: Column, train: float = 0.7, validation: float = 0.15, by: Sequence[str] = ()
 ) -> DataFrame:
     """Stratified 70/15/15 in two stages with exact sizes in each class; ``locked`` rows stay out.
 
-    One flow for all roles: rows are ranked with their stage as a key, and ``by`` may hold a column of seeds, so many
-    seeds cost one scan.
+    Rows aren't shuffled: each stage finds the cuts of its groups, then roles are comparisons with them. ``by`` may hold a
+    column of seeds, so many seeds are one flow.
     """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     keys = [*by, "__locked", target]
-    first = rank_in_class(df.withColumn("__locked", locked), seed, id_col, *keys, out="__rank", size="__size")
-    staged = first.withColumn("__train", F.col("__rank") <= F.round(F.lit(train) * F.col("__size"))).drop("__rank", "__size")
-    second = rank_in_class(staged, seed + F.lit(SECOND_STAGE), id_col, *keys, "__train", out="__rank", size="__size")
-    share = F.lit(validation / (1 - train))
+    rows = df.withColumn("__locked", locked)
+    open_rows = lambda x: x.where(~F.col("__locked"))
+    first = hash_cuts(open_rows(rows), seed, id_col, keys, F.round(F.lit(train) * F.col("__size")))
+    second_seed = seed + F.lit(SECOND_STAGE)
+    rest = open_rows(first_by_hash(rows, first, seed, id_col, keys, "__train")).where(~F.col("__train"))
+    second = hash_cuts(rest, second_seed, id_col, keys, F.round(F.lit(validation / (1 - train)) * F.col("__size")))
+    marked = first_by_hash(rows, first, seed, id_col, keys, "__train")
+    marked = first_by_hash(marked, second, second_seed, id_col, keys, "__validation")
     role = (
         F.when(F.col("__locked"), "locked_temporal_test").when(F.col("__train"), "train")
-        .when(F.col("__rank") <= F.round(share * F.col("__size")), "validation").otherwise("test")
+        .when(F.col("__validation"), "validation").otherwise("test")
     )
-    return second.withColumn("role", role).select(*df.columns, "role")
+    return marked.withColumn("role", role).select(*df.columns, "role")
 
 
 def proportional_allocation(sizes: DataFrame, target: str, rows: int, size: str = "n_class") -> DataFrame:
@@ -80,9 +124,9 @@ def proportional_allocation(sizes: DataFrame, target: str, rows: int, size: str
 
 
 def quota_sample(df: DataFrame, quotas: DataFrame, seed: int, id_col: str, target: str) -> DataFrame:
-    """The first ``quota`` rows of each class by hash."""
-    ranked = rank_in_class(df, seed, id_col, target)
-    return ranked.join(quotas.select(target, "quota"), target).where("rank <= quota").select(*df.columns)
+    """The first ``quota`` rows of each class by hash; a class of fewer rows is taken whole."""
+    cuts = hash_cuts(df, seed, id_col, [target], F.col("quota"), quotas.select(target, "quota"))
+    return first_by_hash(df, cuts, seed, id_col, [target], "__chosen").where("__chosen").select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, rows: int, seed: int, id_col: str, target: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Verification of tables (survey V01, V02, V04-V10)."""
+"""Verification of tables (survey V01-V10)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordeval.functions.columns import close
+from ordeval.sources.shared import new_path
 
 
 def table_differences(
@@ -100,3 +101,44 @@ def draw_differences(a: DataFrame, b: DataFrame, axes: Sequence[str], value: str
     return joined.where(F.col("__a").isNull() | F.col("__b").isNull() | (F.abs(F.col("__a") - F.col("__b")) > atol)).select(
         *axes, F.col("__a").alias("expected"), F.col("__b").alias("observed")
     )
+
+
+def json_leaves(df: DataFrame, key: str, document: str, ignored: Sequence[str] = (), depth: int = 32) -> DataFrame:
+    """(key, path, kind, text) of every scalar, null and empty container of JSON documents.
+
+    One level at a time: containers are exploded into their members until none is left; documents nested deeper than
+    ``depth`` are an error. Members named in ``ignored`` are left out at every level. Null documents have no rows.
+    """
+    spark = df.sparkSession
+    level = df.where(F.col(document).isNotNull()).select(key, F.lit("$").alias("path"), F.parse_json(document).alias("node"))
+    found = None
+    for _ in range(depth):
+        path = new_path(spark, "json-level")
+        kind = F.schema_of_variant("node")
+        filled = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (F.to_json("node") != "[]"))
+        level.select(key, "path", "node", kind.alias("kind"), filled.alias("filled")).write.parquet(path)
+        rows = spark.read.parquet(path)
+        leaves = rows.where("NOT filled").select(key, "path", F.regexp_extract("kind", "^[A-Z]+", 0).alias("kind"), F.to_json("node").alias("text"))
+        found = leaves if found is None else found.unionByName(leaves)
+        inner = rows.where("filled")
+        if inner.isEmpty():
+            return found
+        exploded = inner.lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit('["'), "key", F.lit('"]')))
+        kept = exploded.where(F.col("key").isNull() | ~F.col("key").isin(*ignored)) if ignored else exploded
+        level = kept.select(inner[key], F.concat("path", step).alias("path"), F.col("value").alias("node"))
+    raise ValueError(f"a document is deeper than {depth} levels")
+
+
+def json_differences(
+    reference: DataFrame, candidate: DataFrame, key: str, document: str, ignored: Sequence[str] = (), atol: float = 1e-10, rtol: float = 1e-8,
+    depth: int = 32,
+) -> DataFrame:
+    """(key, path, problem, expected, observed): leaves that are missing, extra or different; numbers within a tolerance."""
+    a = json_leaves(reference, key, document, ignored, depth).select(key, "path", F.col("kind").alias("__ka"), F.col("text").alias("expected"))
+    b = json_leaves(candidate, key, document, ignored, depth).select(key, "path", F.col("kind").alias("__kb"), F.col("text").alias("observed"))
+    number = lambda k: F.col(k).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+    same = F.when(number("__ka") & number("__kb"), close(F.col("expected"), F.col("observed"), atol, rtol)).otherwise(F.col("expected") == F.col("observed"))
+    problem = F.when(F.col("observed").isNull(), "missing").when(F.col("expected").isNull(), "extra").when(~same, "different")
+    joined = a.join(b, [key, "path"], "full_outer").withColumn("problem", problem)
+    return joined.where(F.col("problem").isNotNull()).select(key, "path", "problem", "expected", "observed")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ordeval.functions import columns as C
 from ordeval.models import attribution, fit
 from ordeval.models.features import NumericScaler, encoder, fold_to_vocabulary, vocabulary, without_columns
-from ordeval.operators import guards, joins, metrics, resample, splits, verify, windows
+from ordeval.operators import guards, joins, metrics, ranks, resample, splits, verify, windows
 from ordeval.sources import readers, writers
 
 
@@ -110,6 +110,53 @@ def test_ranks_and_selection(spark):
     assert windows.select_candidate(cand, 0.9, 0.1).first()["candidate"] == "b"
 
 
+def test_ranks_and_quantiles_from_counts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(40)), rng.random()])) for _ in range(900)]
+    rows += [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    counts = ranks.value_counts(df, "v", "k")
+    got = {r["k"]: r for r in counts.groupBy("k").agg(*[ranks.quantile("v", p).alias(f"q{p}") for p in (0.0, 0.5, 0.9, 1.0)], ranks.mean("v").alias("mean")).collect()}
+    for k in {r[0] for r in rows}:
+        own = [v for key, v in rows if key == k and v is not None]
+        for p in (0.0, 0.5, 0.9, 1.0):
+            want = np.quantile(own, p) if own else None
+            assert got[k][f"q{p}"] == (pytest.approx(want) if own else None)
+        assert got[k]["mean"] == (pytest.approx(np.mean(own)) if own else None)
+    ranked = ranks.average_rank(df, "v", "k").collect()
+    assert len(ranked) == len(rows)
+    for r in ranked:
+        own = [v for key, v in rows if key == r["k"]]
+        above = sum(v is not None and (r["v"] is None or v > r["v"]) for v in own)
+        assert r["rank"] == above + (own.count(r["v"]) + 1) / 2
+    assert ranks.value_counts(df.where("k = 'x'"), "v", "k").count() == 0
+    placed = ranks.global_place(df.where("v IS NOT NULL").select("v").distinct(), [F.desc("v")]).collect()
+    assert [r["v"] for r in sorted(placed, key=lambda r: r["place"])] == sorted({v for _, v in rows if v is not None}, reverse=True)
+
+
+def test_cuts_equal_ranks(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("target"))
+    ranked = splits.rank_in_class(df, 9, "id", "target").collect()
+    for quota in (0, 1, 250, 5000):
+        quotas = df.select("target").distinct().withColumn("quota", F.lit(quota))
+        got = {r["id"] for r in splits.quota_sample(df, quotas, 9, "id", "target").collect()}
+        assert got == {r["id"] for r in ranked if r["rank"] <= quota}
+    assert splits.random_roles(df.where("id < 0"), 9, "id", "target", F.lit(False)).count() == 0
+
+
+def test_json_differences(spark):
+    a = [(1, '{"a": 1, "b": [1, {"c": "x"}], "t": 5}'), (2, '{"a": {}}'), (3, "[1, 2]"), (4, None), (5, '{"a": null}'), (6, '{"a.b": 1}')]
+    b = [(1, '{"t": 6, "b": [1.0, {"c": "y", "d": 2}], "a": 1.00000000001}'), (2, '{"a": []}'), (3, "[1]"), (4, None), (5, '{"a": null}'), (6, '{"a": {"b": 1}}')]
+    left, right = (spark.createDataFrame(x, "k int, j string") for x in (a, b))
+    got = {(r["k"], r["path"], r["problem"]) for r in verify.json_differences(left, right, "k", "j", ignored=["t"]).collect()}
+    assert got == {
+        (1, '$["b"][1]["c"]', "different"), (1, '$["b"][1]["d"]', "extra"), (2, '$["a"]', "different"), (3, "$[1]", "missing"),
+        (6, '$["a.b"]', "missing"), (6, '$["a"]["b"]', "extra"),
+    }
+    with pytest.raises(ValueError, match="deeper"):
+        verify.json_differences(left, right, "k", "j", depth=1)
+
+
 def test_bootstrap_invariants(spark):
     rows = [("g", t, p, p, n) for t in range(3) for p, n in ((t, 20 - 6 * t), ((t + 1) % 3, 5))]
     patterns = spark.createDataFrame(rows, "k string, t int, a int, b int, n long")
