@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordeval.operators import metrics, windows
+
 CLASSES = 3
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
@@ -41,6 +43,67 @@ def boosted(train: DataFrame, target: str = "target", trees: int = 10, depth: in
     return OneVsRest(classifier=one, labelCol=target, weightCol="weight").fit(weighted(train, target))
 
 
+def boosted_stopped(
+    train: DataFrame, validation: DataFrame, target: str = "target", cap: int = 1200, depth: int = 3, step: float = 0.1, tol: float = 0.001, seed: int = 1103
+) -> list:
+    """A boosted model of each class against the rest, each stopped by the validation rows' error (Spark ML's rule: an
+    iteration that improves it by less than ``tol``), or at ``cap`` trees."""
+    marked = weighted(train, target).withColumn("__validating", F.lit(False))
+    rows = marked.unionByName(validation.select(*train.columns).withColumns({"weight": F.lit(1.0), "__validating": F.lit(True)}))
+    one = GBTClassifier(
+        labelCol="__is", weightCol="weight", validationIndicatorCol="__validating", validationTol=tol, maxIter=cap, maxDepth=depth,
+        stepSize=step, maxBins=64, seed=seed,
+    )
+    return [one.fit(rows.withColumn("__is", (F.col(target) == k).cast("double"))) for k in range(CLASSES)]
+
+
+def staged(models: list, rows: DataFrame, trees: int | None = None) -> DataFrame:
+    """Rows scored with the first ``trees`` trees of each class's model (all of them by default)."""
+    names = [f"__margin{k}" for k in range(len(models))]
+    out = rows
+    for name, model in zip(names, models, strict=True):
+        out = out.withColumn(name, F.lit(0.0))
+        for tree, weight in list(zip(model.trees, model.treeWeights, strict=True))[:trees]:
+            out = tree.setPredictionCol("__tree").transform(out).withColumn(name, F.col(name) + F.lit(weight) * F.col("__tree")).drop("__tree")
+    top = F.greatest(*names)
+    parts = [F.exp(F.col(n) - top) for n in names]
+    total = sum(parts[1:], parts[0])
+    best = F.array_position(F.array(*names), top) - 1  # ties to the lower class
+    return out.withColumns({"prob": F.array(*[p / total for p in parts]), "predicted_code": best.cast("int")}).drop(*names)
+
+
+def boosted_search(
+    train: DataFrame, validation: DataFrame, candidates: dict[str, dict], base_qwk: float, base_recall: float, target: str = "target",
+    cap: int = 1200, extended: int = 2000,
+) -> tuple[str, list, DataFrame]:
+    """(winner, its models, one row of validation metrics for each candidate).
+
+    A candidate is a set of parameters of ``boosted_stopped``. A winner that used all ``cap`` trees is fitted once more with
+    ``extended``, takes its former self's place, and the winner is chosen again.
+    """
+
+    def fitted(name: str, most: int) -> tuple[list, DataFrame]:
+        models = boosted_stopped(train, validation, target, cap=most, **candidates[name])
+        scores = staged(models, validation).select(F.lit(name).alias("candidate"), F.col(target).alias("true_code"), "predicted_code")
+        row = metrics.metrics(metrics.confusion_counts(scores, ["candidate"]), ["candidate"]).first()  # one row
+        table = train.sparkSession.createDataFrame([row]).withColumn("complexity", F.lit(sum(len(m.trees) for m in models)))
+        return models, table
+
+    def winner() -> tuple[str, DataFrame]:
+        tables = [t for _, t in found.values()]
+        whole = tables[0]
+        for t in tables[1:]:
+            whole = whole.unionByName(t)
+        return windows.select_candidate(whole, base_qwk, base_recall).first()["candidate"], whole
+
+    found = {name: fitted(name, cap) for name in candidates}
+    best, table = winner()
+    if max(len(m.trees) for m in found[best][0]) == cap < extended:
+        found[best] = fitted(best, extended)
+        best, table = winner()
+    return best, found[best][0], table
+
+
 def scored(model, rows: DataFrame) -> DataFrame:  # noqa: ANN001
     """Rows with ``predicted_code`` and ``prob``; the model isn't refitted."""
     out = model.transform(rows)

@@ -52,6 +52,22 @@ def m08_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(fit.scored(fit.boosted(train), rows))
 
 
+def m08_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of few trees, stopped and chosen by the validation rows; the winner's metrics on all other rows."""
+    train, rows = prepared(spark, sf_dir, one_hot=False)
+    candidates = {"shallow": {"depth": 2, "step": 0.3}, "deep": {"depth": 4, "step": 0.3}}
+    best, models, _ = fit.boosted_search(train, rows.where("role = 'validation'"), candidates, 0.0, 0.0, cap=4, extended=6)
+    return _evaluated(fit.staged(models, rows)).withColumn("candidate", F.lit(best))
+
+
+def m10_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics with the first one, two and four trees of each class."""
+    train, rows = prepared(spark, sf_dir, one_hot=False)
+    models = fit.boosted_stopped(train, rows.where("role = 'validation'"), cap=4)
+    parts = [_evaluated(fit.staged(models, rows, k)).withColumn("trees", F.lit(k)) for k in (1, 2, 4)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def m11_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, rows = prepared(spark, sf_dir, one_hot=False)
     model = fit.SealedModel(fit.forest(train)).seal()
@@ -84,5 +100,5 @@ def x_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (m06_dummy, m07_logistic, m08_boosted, m11_scored, m12_attributions, s20_reloaded, x_stream_daily_counts)
+    own = (m06_dummy, m07_logistic, m08_boosted, m08_search, m10_staged, m11_scored, m12_attributions, s20_reloaded, x_stream_daily_counts)
     return {f.__name__: f for f in own}

@@ -179,11 +179,11 @@ def _(s, d):
     return plan.read(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("first_ship"))
 
 
-@query("s05_lockstep", "SELECT count(*) AS differing FROM orders WHERE o_orderkey % 11 = 0", False)
+@query("s05_lockstep", "SELECT count(*) AS differing FROM predicted WHERE pred_a <> pred_b")
 def _(s, d):
-    a = plan.read(s, d, "orders").select("o_orderkey", "o_orderstatus")
-    b = a.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, "?").otherwise(F.col("o_orderstatus")))
-    return guards.misaligned(a, b, "o_orderkey", "o_orderstatus").agg(F.count("*").alias("differing"))
+    df = plan.predicted(plan.cohort(s, d))
+    a, b = df.select("id", F.col("pred_a").alias("label")), df.select("id", F.col("pred_b").alias("label"))
+    return guards.misaligned(a, b, "id", "label").agg(F.count("*").alias("differing"))
 
 
 @query("s13_pushed_counts", "SELECT year(o_orderdate)::INT AS year, o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1, 2", False)
@@ -192,10 +192,35 @@ def _(s, d):
     return rows.groupBy(F.year("o_orderdate").alias("year"), "o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("v01_scalar_equality", """SELECT a, b, want FROM (VALUES ('1', '1.0', true), ('nan', 'NaN', true), ('a', 'b', false), ('1', '1.1', false), (NULL, NULL, true)) t(a, b, want)""", False)
+_PAIRS = """SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN s_nationkey::VARCHAR WHEN 1 THEN s_name WHEN 2 THEN 'nan' END AS a,
+  CASE s_suppkey % 4 WHEN 0 THEN '7.0' WHEN 1 THEN CASE WHEN s_suppkey % 8 = 1 THEN s_name ELSE 'other' END WHEN 2 THEN 'NaN' ELSE CASE WHEN s_suppkey % 8 = 3 THEN '1' END END AS b FROM supplier"""
+
+
+@query("v01_scalar_equality", f"""SELECT k, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL WHEN k % 4 = 1 THEN a = b ELSE a::DOUBLE = b::DOUBLE END AS same FROM ({_PAIRS})""", False)
 def _(s, d):
-    rows = [("1", "1.0"), ("nan", "NaN"), ("a", "b"), ("1", "1.1"), (None, None)]
-    return s.createDataFrame(rows, "a string, b string").withColumn("want", C.close(F.col("a"), F.col("b")))
+    k = F.col("s_suppkey")
+    a = F.when(k % 4 == 0, F.col("s_nationkey").cast("string")).when(k % 4 == 1, F.col("s_name")).when(k % 4 == 2, "nan")
+    b = F.when(k % 4 == 0, "7.0").when(k % 8 == 1, F.col("s_name")).when(k % 4 == 1, "other").when(k % 4 == 2, "NaN").when(k % 8 == 3, "1")
+    return plan.read(s, d, "supplier").select(k.alias("k"), C.close(a, b).alias("same"))
+
+
+@query("v03_json_differences", """SELECT c_custkey, '$["tags"][1]' AS path, 'different' AS problem FROM customer WHERE c_custkey % 13 = 0
+UNION ALL SELECT c_custkey, '$["inner"]["balance"]', 'different' FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT c_custkey, '$["inner"]["name"]', 'extra' FROM customer WHERE c_custkey % 5 = 0""", False)
+def _(s, d):
+    """Documents of two versions of a table; ``seen`` is ignored and differs everywhere."""
+    k, x = F.col("c_custkey"), F.col("c_acctbal").cast("double")
+
+    def document(tag, balance, seen, name):
+        inner = F.struct(balance.alias("balance"), F.lit(seen).alias("seen"), name.alias("name"))
+        return F.to_json(F.struct(k.alias("key"), F.array(F.lit("a"), tag).alias("tags"), inner.alias("inner"))).alias("document")
+
+    nothing = F.lit(None).cast("string")
+    old = document(F.col("c_mktsegment"), x, 1, nothing)
+    new = document(F.when(k % 13 == 0, "OTHER").otherwise(F.col("c_mktsegment")), F.when(k % 7 == 0, x + 1).otherwise(x), 2, F.when(k % 5 == 0, F.col("c_name")))
+    df = plan.read(s, d, "customer")
+    found = verify.json_differences(df.select(k, old), df.select(k, new), "c_custkey", "document", ignored=["seen"])
+    return found.select("c_custkey", "path", "problem")
 
 
 @query("v04_named_modes", "SELECT id, CASE WHEN id % 7 = 0 THEN 'target' ELSE 'p0' END AS column FROM cohort WHERE id % 7 = 0 OR id % 7 = 1")
@@ -212,10 +237,11 @@ def _(s, d):
     return verify.draw_differences(draws, other, ["iteration"]).select("iteration")
 
 
-@query("v07_propagation", "SELECT 4::BIGINT AS primary_cells, 7::BIGINT AS secondary_cells, 4::BIGINT AS primary_draws, 7::BIGINT AS secondary_draws", False)
+@query("v07_propagation", """SELECT count(*) FILTER (model = 'A') AS primary_cells, count(*) FILTER (model = 'B') AS secondary_cells,
+  count(DISTINCT CASE WHEN model = 'A' THEN id END) AS primary_draws, count(DISTINCT CASE WHEN model = 'B' THEN id END) AS secondary_draws
+FROM modelled WHERE role = 'test' AND true_code <> predicted_code""")
 def _(s, d):
-    cells = s.range(20).select(F.col("id").alias("iteration"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("model"))
-    different = cells.where("(model = 'A' AND iteration % 5 = 0) OR (model = 'B' AND iteration % 3 = 0)")
+    different = modelled(s, d).where("role = 'test' AND true_code <> predicted_code").withColumnRenamed("id", "iteration")
     return verify.propagation(different, F.col("model") == "A")
 
 

@@ -144,6 +144,24 @@ def test_cuts_equal_ranks(spark):
     assert splits.random_roles(df.where("id < 0"), 9, "id", "target", F.lit(False)).count() == 0
 
 
+def test_staged_boosting_and_search(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    df = spark.range(300).select("id", (F.col("id") % 3).cast("int").alias("target"), array_to_vector(F.array((F.col("id") % 3 + F.col("id") % 2).cast("double"), F.rand(1))).alias("features"))
+    train, validation = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+    models = fit.boosted_stopped(train, validation, cap=3, depth=2)
+    whole = {r["id"]: r["prob"] for r in fit.staged(models, validation).collect()}
+    raw = [{r["id"]: r["m"] for r in m.transform(validation).select("id", vector_to_array("rawPrediction")[1].alias("m")).collect()} for m in models]
+    for i, prob in whole.items():
+        e = np.exp([x[i] for x in raw])
+        assert prob == pytest.approx(list(e / e.sum()))
+    assert all(m.treeWeights[0] == 1.0 and len(m.trees) <= 3 for m in models)
+    first = {r["id"]: r["prob"] for r in fit.staged(models, validation, 1).collect()}
+    assert any(first[i] != whole[i] for i in whole) or all(len(m.trees) == 1 for m in models)
+    best, chosen, table = fit.boosted_search(train, validation, {"a": {"depth": 1, "step": 0.5, "tol": 0.0}, "b": {"depth": 2, "step": 0.5, "tol": 0.0}}, -1.0, -1.0, cap=2, extended=3)
+    assert best in ("a", "b") and table.count() == 2 and 1 <= max(len(m.trees) for m in chosen) <= 3
+
+
 def test_json_differences(spark):
     a = [(1, '{"a": 1, "b": [1, {"c": "x"}], "t": 5}'), (2, '{"a": {}}'), (3, "[1, 2]"), (4, None), (5, '{"a": null}'), (6, '{"a.b": 1}')]
     b = [(1, '{"t": 6, "b": [1.0, {"c": "y", "d": 2}], "a": 1.00000000001}'), (2, '{"a": []}'), (3, "[1]"), (4, None), (5, '{"a": null}'), (6, '{"a": {"b": 1}}')]
