@@ -1,12 +1,13 @@
-"""Models on Spark's ML library (survey M06-M11, M14-M16): dummy, weighted logistic, forest, one-vs-rest boosting."""
+"""Models on Spark's ML library (survey M06-M11, M14-M16): dummy, weighted and ordered logistic, forest, one-vs-rest boosting."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordeval.operators import metrics, windows
@@ -116,6 +117,38 @@ def scored(model, rows: DataFrame) -> DataFrame:  # noqa: ANN001
     return out.withColumns({"predicted_code": F.col("prediction").cast("int"), "prob": prob})
 
 
+def ordered_logit(train: DataFrame, target: str = "target", ridge: float = 1e-6):  # noqa: ANN201
+    """Proportional odds, P(y <= k) = F(threshold_k - x b): one logistic fit on rows stacked for each threshold,
+    with slopes shared by all of them. Returns (slopes, thresholds). The small ridge takes the place of reference
+    levels: a full set of levels stays identified."""
+    cut = F.explode(F.array(*[F.lit(k) for k in range(CLASSES - 1)]))
+    mark = F.array(*[F.when(F.col("__cut") == k, 1.0).otherwise(0.0) for k in range(1, CLASSES - 1)])
+    rows = train.withColumn("__cut", cut).select(
+        (F.col(target) <= F.col("__cut")).cast("double").alias("__below"), "features", array_to_vector(mark).alias("__mark")
+    )
+    rows = VectorAssembler(inputCols=["features", "__mark"], outputCol="__stacked").transform(rows)
+    model = LogisticRegression(
+        featuresCol="__stacked", labelCol="__below", family="binomial", elasticNetParam=0.0, regParam=ridge, standardization=False, maxIter=500, tol=1e-6
+    ).fit(rows)
+    found = model.coefficients.toArray()
+    width = len(found) - (CLASSES - 2)
+    return [-float(b) for b in found[:width]], [model.intercept, *[model.intercept + float(b) for b in found[width:]]]
+
+
+def ordered_probabilities(margin: Column, thresholds: list[float]) -> Column:
+    """Class probabilities as differences of the cumulative ones, each at least 0."""
+    below = [F.lit(0.0), *[1.0 / (1.0 + F.exp(margin - t)) for t in thresholds], F.lit(1.0)]
+    return F.array(*[F.greatest(b - a, F.lit(0.0)) for a, b in zip(below, below[1:])])
+
+
+def ordered_scored(slopes: list[float], thresholds: list[float], rows: DataFrame) -> DataFrame:
+    """Rows with ``prob`` and ``predicted_code`` (ties to the lower class)."""
+    weights = F.array(*[F.lit(b) for b in slopes])
+    products = F.zip_with(vector_to_array("features"), weights, lambda x, b: x * b)
+    out = rows.withColumn("prob", ordered_probabilities(F.aggregate(products, F.lit(0.0), lambda a, y: a + y), thresholds))
+    return out.withColumn("predicted_code", (F.array_position("prob", F.array_max("prob")) - 1).cast("int"))
+
+
 def dummy(train: DataFrame, target: str = "target") -> int:
     """The most frequent class, ties to the least."""
     n = train.groupBy(target).agg(F.count("*").alias("n"))

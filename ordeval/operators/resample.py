@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.functions.columns import hash32
+from ordeval.functions.columns import hash32, interval_evidence
+from ordeval.operators.joins import cohort_gap
+from ordeval.operators.metrics import contrasts, intervals
 from ordeval.operators.splits import rank_in_class
 
 BLOCK = 250
@@ -65,18 +67,44 @@ def bootstrap_confusions(
     return patterns.select("*", blocks).groupBy(*keys, "__block").applyInPandas(draw, schema)
 
 
-def slot_bootstrap(df: DataFrame, id_col: str, true: str, iterations: int, columns: Sequence[str]) -> DataFrame:
+def slot_bootstrap(df: DataFrame, id_col: str, true: str, iterations: int, columns: Sequence[str], stream: str = "") -> DataFrame:
     """Record bootstrap that any engine can repeat: slot j of class k in iteration b takes the record
-    whose hash rank in the class is hash(b:k:j) modulo the class's size. Rows times iterations by definition: a check
-    of the bootstrap of counts, which is the way at scale."""
+    whose hash rank in the class is hash(b:k:j) modulo the class's size. Draws of another ``stream`` are independent (its
+    name goes before the hashed text). Rows times iterations by definition: a check of the bootstrap of counts, which is
+    the way at scale."""
     ranked = rank_in_class(df.select(id_col, true, *columns), 0, id_col, true, size="__size")
     draws = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
     slots = ranked.select(true, "__size", F.col("rank").alias("__slot"), draws)
-    name = F.concat_ws(":", F.col("iteration").cast("string"), F.col(true).cast("string"), F.col("__slot").cast("string"))
+    name = F.concat_ws(":", *([F.lit(stream)] if stream else []), F.col("iteration").cast("string"), F.col(true).cast("string"), F.col("__slot").cast("string"))
     picks = slots.groupBy("iteration", true, (F.pmod(hash32(name), F.col("__size")) + 1).alias("rank")).agg(F.count("*").alias("times"))
     return picks.join(ranked, [true, "rank"]).select("iteration", true, id_col, *columns, "times")
 
 
+def judged_intervals(draws: DataFrame, observed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, draws, low, high, observed, evidence): the interval of the draws, judged with the observed value."""
+    points = observed.select(*keys, F.col(value).alias("observed"))
+    out = intervals(draws, keys, value).join(points, list(keys))
+    return out.withColumn("evidence", interval_evidence(F.col("observed"), F.col("low"), F.col("high")))
+
+
+def independent_gaps(
+    draws: DataFrame, observed: DataFrame, internal: str, future: str, keys: Sequence[str], cohort: str = "role"
+) -> DataFrame:
+    """Internal minus future. The cohorts' draws come from streams of their own, so equal iterations meet by
+    chance only: the difference of two independent samples. ``draws`` has (keys, cohort, iteration, value), ``observed``
+    the same without iterations."""
+    keys = list(keys)
+    return judged_intervals(
+        cohort_gap(draws, internal, future, [*keys, "iteration"], cohort), cohort_gap(observed, internal, future, keys, cohort), keys, "gap"
+    )
+
+
+def paired_contrasts(draws: DataFrame, observed: DataFrame, weights: DataFrame, keys: Sequence[str], by: str = "model") -> DataFrame:
+    """Weighted sums of models that share each draw, with the observed sums."""
+    keys = list(keys)
+    return judged_intervals(contrasts(draws, weights, [*keys, "iteration"], by), contrasts(observed, weights, keys, by), ["contrast", *keys], "value")
+
+
 def bootstrap_means(df: DataFrame, keys: Sequence[str], stratum: str, values: Sequence[str], iterations: int, seed: int, most: int = 200_000) -> DataFrame:
     """(keys, iteration, mean of each value); a group is a sample of at most ``most`` rows, which is checked."""
     keys, values = list(keys), list(values)

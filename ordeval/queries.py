@@ -811,20 +811,29 @@ def joint_draws(s, d, iterations=2000):
     return resample.bootstrap_confusions(patterns, ["role"], "target", ["pred_a", "pred_b"], iterations, 20240101)
 
 
+def joint_values(s, d):
+    """(role, model, iteration, metric, value)."""
+    return metrics.long_metrics(metrics.metrics(joint_draws(s, d), ["role", "model", "iteration"]), ["role", "model", "iteration"])
+
+
 @query("r09_joint_bootstrap")
 def _(s, d):
-    draws = metrics.long_metrics(metrics.metrics(joint_draws(s, d), ["role", "model", "iteration"]), ["role", "model", "iteration"])
-    return metrics.intervals(draws, ["role", "model", "metric"])
+    return metrics.intervals(joint_values(s, d), ["role", "model", "metric"])
 
 
 @query("r12_paired_deltas")
 def _(s, d):
     """Intervals of the paired differences, judged from the observed difference."""
     keys = ["role", "metric"]
-    draws = metrics.long_metrics(metrics.metrics(joint_draws(s, d), ["role", "model", "iteration"]), ["role", "model", "iteration"])
-    out = metrics.intervals(joins.cohort_gap(draws, "pred_b", "pred_a", [*keys, "iteration"], cohort="model"), keys, "gap")
-    observed = joins.cohort_gap(model_values(s, d), "B", "A", keys, cohort="model").select(*keys, F.col("gap").alias("observed"))
-    return out.join(observed, keys).withColumn("evidence", C.interval_evidence(F.col("observed"), F.col("low"), F.col("high")))
+    observed = joins.cohort_gap(model_values(s, d), "B", "A", keys, cohort="model")
+    return resample.judged_intervals(joins.cohort_gap(joint_values(s, d), "pred_b", "pred_a", [*keys, "iteration"], cohort="model"), observed, keys, "gap")
+
+
+@query("r12_independent_gaps")
+def _(s, d):
+    """H1: validation minus test of each predictor, from the cohorts' own draws."""
+    draws = joint_values(s, d).withColumn("model", F.upper(F.substring_index("model", "_", -1)))
+    return resample.independent_gaps(draws, model_values(s, d), "validation", "test", ["model", "metric"])
 
 
 @query("r11_bootstrap_means")
@@ -891,13 +900,13 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from ordeval import file_queries, more_queries  # noqa: F401  register their queries
+    from ordeval import file_queries, more_queries, study_queries  # noqa: F401  register their queries
     from ordeval.models import queries as model_queries
 
     return {**_QUERIES, **model_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from ordeval import file_queries, more_queries  # noqa: F401
+    from ordeval import file_queries, more_queries, study_queries  # noqa: F401
 
     return dict(_SQL)

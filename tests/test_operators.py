@@ -256,3 +256,42 @@ def test_features_and_models(spark, tmp_path):
     leaves = attribution.saved_leaves(spark, f"{tmp_path}/forest")
     phi = attribution.attributions(scored, leaves, "id")
     assert attribution.additivity(phi, scored, "id").agg(F.max("largest")).first()[0] < 1e-6
+
+
+def test_ordered_logit_recovers_slopes_and_thresholds(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 2))
+    latent = x @ [1.5, -0.7] + rng.logistic(size=6000)
+    y = (latent > -0.5).astype(int) + (latent > 1.25).astype(int)
+    rows = spark.createDataFrame([(i, int(k), Vectors.dense(v)) for i, (k, v) in enumerate(zip(y, x))], ["id", "target", "features"])
+    slopes, thresholds = fit.ordered_logit(rows)
+    assert np.allclose(slopes, [1.5, -0.7], atol=0.12) and np.allclose(thresholds, [-0.5, 1.25], atol=0.12)
+    got = fit.ordered_scored(slopes, thresholds, rows).orderBy("id").toPandas()
+    p = np.stack(got["prob"])
+    margin = x @ slopes
+    below = 1 / (1 + np.exp(margin[:, None] - np.array(thresholds)[None, :]))
+    want = np.stack([below[:, 0], below[:, 1] - below[:, 0], 1 - below[:, 1]], axis=1)
+    assert np.allclose(p, want, atol=1e-9) and (got["predicted_code"].to_numpy() == want.argmax(axis=1)).all()
+
+
+def test_independent_gaps_and_contrasts_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    cohorts, models = ("in", "out"), ("A", "B")
+    value = {(c, m, i): float(rng.normal(1.0 if c == "in" else 0.0)) for c in cohorts for m in models for i in range(40)}
+    point = {(c, m): float(rng.normal()) for c in cohorts for m in models}
+    draws = spark.createDataFrame([(c, m, i, v) for (c, m, i), v in value.items()], "role string, model string, iteration int, value double")
+    observed = spark.createDataFrame([(c, m, v) for (c, m), v in point.items()], "role string, model string, value double")
+    for r in resample.independent_gaps(draws, observed, "in", "out", ["model"]).collect():
+        gaps = [value["in", r["model"], i] - value["out", r["model"], i] for i in range(40)]
+        assert np.allclose([r["low"], r["high"]], np.percentile(gaps, [2.5, 97.5]))
+        assert r["observed"] == pytest.approx(point["in", r["model"]] - point["out", r["model"]]) and r["draws"] == 40
+    weights = spark.createDataFrame([("gain", "A", -1.0), ("gain", "B", 1.0)], "contrast string, model string, weight double")
+    for r in resample.paired_contrasts(draws, observed, weights, ["role"]).collect():
+        sums = [value[r["role"], "B", i] - value[r["role"], "A", i] for i in range(40)]
+        low, high = np.percentile(sums, [2.5, 97.5])
+        assert np.allclose([r["low"], r["high"]], [low, high])
+        seen = point[r["role"], "B"] - point[r["role"], "A"]
+        label = "clear_positive" if seen > 0 and low > 0 else "clear_negative" if seen < 0 and high < 0 else "direction_uncertain"
+        assert r["evidence"] == label
