@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordeval.llm import chat, language, licenses, media, mixing, neardup, packing, pii, quality, toxicity
+from ordeval.llm import (
+    chat, language, licenses, media, mixing, neardup, packing, pii, quality, structure, substrings, toxicity, vectorcodes,
+)
 from ordeval.llm.common import documents, table
 
 
@@ -54,10 +56,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair_digest(structure.repair(structure.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_mixing, op2_packing, op3_media, op4_near_duplicates, op5_quality, op6_language, op7_chat, op8_pii,
-        op9_licenses, op10_toxicity,
+        op9_licenses, op10_toxicity, op11_substrings, op12_vector_codes, op13_structure,
     )
     return {f.__name__: f for f in own}
 
@@ -135,6 +149,67 @@ FROM matched m WHERE containment >= {licenses.THRESHOLD} AND NOT EXISTS (
 """
 
 
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS h, any_value(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, count(*) AS copies
+  FROM documents GROUP BY doc_id, md5(coalesce(text, ''))
+), starts AS (
+  SELECT doc_id, h, w, unnest(range(0, greatest(0, len(w) - 49))) AS p FROM texts
+), windows AS (
+  SELECT doc_id, h, p, md5(array_to_string(w[p + 1 : p + 50], ' ')) AS win FROM starts
+), found AS (
+  SELECT doc_id, h, p, min(doc_id) OVER (PARTITION BY win) AS least FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, h, unnest(range(p, p + 50)) AS i FROM found WHERE least < doc_id
+), words AS (
+  SELECT doc_id, h, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM texts
+), kept AS (
+  SELECT s.doc_id, s.h, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY s.i) FILTER (WHERE g.i IS NULL) AS left_over
+  FROM words s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.h = g.h AND s.i = g.i GROUP BY s.doc_id, s.h
+)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id IS NOT DISTINCT FROM k.doc_id AND t.h = k.h, range(copies) r(i)
+"""
+
+
+def _op12_sql() -> str:
+    parts, entries, scale = vectorcodes.PARTS, vectorcodes.ENTRIES, vectorcodes.SCALE
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    rounds = ""
+    for k in range(vectorcodes.ROUNDS):
+        rounds += f"""
+), near{k} AS (
+  SELECT r, p, x, min({far} * {entries} + e) % {entries} AS e FROM parts JOIN book{k} USING (p) GROUP BY r, p, x
+), mean{k} AS (
+  SELECT p, e, j, floor(sum(x[j])::HUGEINT / count(*))::BIGINT AS approx, sum(x[j])::HUGEINT AS total, count(*)::HUGEINT AS n
+  FROM near{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS j) GROUP BY p, e, j
+), exact{k} AS (
+  SELECT p, e, list((approx - (approx * n > total)::BIGINT + ((approx + 1) * n <= total)::BIGINT)::BIGINT ORDER BY j) AS c FROM mean{k} GROUP BY p, e
+), book{k + 1} AS (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN exact{k} m USING (p, e)"""
+    last = vectorcodes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r,
+         list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)
+), book0 AS (
+  SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {entries}{rounds}
+), last_near AS (
+  SELECT r, p, min({far} * {entries} + e) AS best FROM parts JOIN book{last} USING (p) GROUP BY r, p
+), coded AS (
+  SELECT r, string_agg(lower(printf('%02x', (best % {entries})::INTEGER)), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error
+  FROM last_near GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{last}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the other operators are held against brute force, round trips or held-out accuracy in tests/llm."""
-    return {"op1_mixing": OP1_SQL, "op9_licenses": _op9_sql()}
+    return {"op1_mixing": OP1_SQL, "op9_licenses": _op9_sql(), "op11_substrings": OP11_SQL, "op12_vector_codes": _op12_sql()}
