@@ -59,6 +59,18 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of documents that a broadcast may hold: two longs each, some 64 MB in memory.
+FEW_KEYS = 1_000_000
+
+
+def texts_of(texts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``texts`` whose columns ``on`` are among ``keys``, which is counted first: up to FEW_KEYS are broadcast, so the
+    other texts are not shuffled by what follows; beyond that Spark joins by a shuffle. The rows are the same."""
+    distinct = keys.select(*on).distinct()
+    few = distinct.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return texts.join(F.broadcast(distinct) if few else distinct, on, "left_semi")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

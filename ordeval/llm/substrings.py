@@ -4,7 +4,7 @@ A word goes if a window of WINDOW words covers it whose word sequence also start
 
 1. Reference blocks. Of the SEED-word shingles in each window the one with the least hash is the window's anchor: equal
    windows have equal anchors at equal places, wherever they stand. Consecutive windows with one anchor are a block, some
-   17 windows long on average. The index has every distinct block of the corpus once, under its anchor, with the least
+   19 windows long on average. The index has every distinct block of the corpus once, under its anchor, with the least
    id that holds it. It is counted before it is shuffled, so a passage that a third of all documents share is one row.
 2. Greedy factors. A document's blocks that an earlier document holds are copied whole; adjacent ones grow into one
    factor, as long as the reference goes on alike.
@@ -13,7 +13,7 @@ A word goes if a window of WINDOW words covers it whose word sequence also start
    one by one, which moves the boundary to the exact word. Only a block's first holder needs that: in all others the
    whole block is a copy.
 
-Blocks and windows are compared by 128-bit hashes of their words. Texts are read in three scans: for the index, for the
+Blocks are compared by two 64-bit hashes, of their anchor and of all their words, windows by two of their words. Texts are read in three scans: for the index, for the
 blocks that are opened, and for the words that stay; the latter two only for the documents concerned.
 
 Nulls: a null text has no words; documents with a null id keep all words, and nobody loses words to them. Rows that
@@ -34,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import free_name, staged
+from ordeval.llm.common import free_name, staged, texts_of
 
-WINDOW, SEED = 50, 16
+WINDOW, SEED = 50, 12
 PIECE = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240711))
@@ -88,23 +88,23 @@ def pieces(text: str | None, size: int, overlap: int = WINDOW - 1) -> Iterator[t
 
 
 def blocks(hashes: Hashes, n: int) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor, hash, hash) of the blocks of a piece of ``n`` words."""
+    """(start, windows, anchor, hash) of the blocks of a piece of ``n`` words."""
     starts = np.arange(n - WINDOW + 1)
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     seeds = hashes.of(0, np.arange(n - SEED + 1), SEED)
     among = WINDOW - SEED + 1
     least = starts + np.lib.stride_tricks.sliding_window_view(seeds, among).argmin(axis=1)
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     windows = np.diff(np.append(first, len(starts)))
     length = windows + WINDOW - 1
-    return first, windows, seeds[least[first]], hashes.of(0, first, length), hashes.of(1, first, length)
+    return first, windows, seeds[least[first]], hashes.of(1, first, length)
 
 
 BLOCK = pa.schema(
-    [(c, pa.int64()) for c in ("doc_id", "h", "start", "windows", "anchor", "b1", "b2", "n_words")] + [("whole_sha256", pa.string())]
+    [(c, pa.int64()) for c in ("doc_id", "h", "start", "windows", "anchor", "block", "n_words")] + [("whole_sha256", pa.string())]
 )
-BLOCK_DDL = "doc_id long, h long, start long, windows long, anchor long, b1 long, b2 long, n_words long, whole_sha256 string"
+BLOCK_DDL = "doc_id long, h long, start long, windows long, anchor long, block long, n_words long, whole_sha256 string"
 
 
 def block_table(texts: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -117,11 +117,11 @@ def block_table(texts: DataFrame, piece: int = PIECE) -> DataFrame:
         rows = 0
 
         def batch() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 7
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 6
             n = len(columns[0])
             own = list(zip(*heads, strict=True)) if heads else [[]] * 4
             gap = [-1] * len(heads)
-            ends = (own[0], own[1], gap, gap, gap, gap, gap)
+            ends = (own[0], own[1], gap, gap, gap, gap)
             arrays = [pa.concat_arrays([pa.array(c), pa.array(o, pa.int64())]) for c, o in zip(columns, ends, strict=True)]
             none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())
             arrays += [pa.concat_arrays([e, pa.array(o, e.type)]) for e, o in zip(none, (own[2], own[3]), strict=True)]
@@ -149,11 +149,11 @@ def block_table(texts: DataFrame, piece: int = PIECE) -> DataFrame:
 
 
 def opened(texts: DataFrame, wanted: DataFrame, piece: int = PIECE) -> DataFrame:
-    """(b1, b2, first, place, w1, w2): the windows of the blocks ``wanted`` (b1, b2, first, h, start, windows), each read in the
-    document ``first`` that it names."""
-    one = F.struct("start", "windows", "b1", "b2")
+    """(anchor, block, first, place, w1, w2): the windows of the blocks ``wanted`` (anchor, block, first, h, start, windows), each
+    read in the document ``first`` that it names."""
+    one = F.struct("start", "windows", "anchor", "block")
     lists = wanted.groupBy(F.col("first").alias("doc_id"), "h").agg(F.sort_array(F.collect_list(one)).alias("of"))
-    schema = pa.schema([(c, pa.int64()) for c in ("b1", "b2", "first", "place", "w1", "w2")])
+    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "block", "first", "place", "w1", "w2")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,28 +173,36 @@ def opened(texts: DataFrame, wanted: DataFrame, piece: int = PIECE) -> DataFrame
                     own = [np.repeat(k[some], times) for k in keys]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, np.full(len(at), doc), offset, *found)], schema=schema)
 
-    joined = texts.join(lists, ["doc_id", "h"]).select("doc_id", "text", "of")
-    return joined.mapInArrow(run, "b1 long, b2 long, first long, place long, w1 long, w2 long").dropDuplicates(["b1", "b2", "place"])
+    joined = texts_of(texts, wanted.withColumn("doc_id", F.col("first")), ["doc_id", "h"]).join(lists, ["doc_id", "h"])
+    return joined.select("doc_id", "text", "of").mapInArrow(run, "anchor long, block long, first long, place long, w1 long, w2 long")
 
 
 def copied(blocks_: DataFrame, texts: DataFrame, piece: int = PIECE) -> DataFrame:
     """(doc_id, h, start, mask): blocks with windows that start in an earlier document; bit i of the mask is the i-th."""
+    # anchors that two documents hold, and whether all of their blocks are alike; most of a corpus ends here
+    anchors = blocks_.groupBy("anchor").agg(
+        F.min("block").alias("low"), F.max("block").alias("high"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    )
+    held = staged(anchors.where("least < most").select("anchor", "least", (F.col("low") == F.col("high")).alias("alike")))
+    shared = staged(blocks_.select("doc_id", "h", "start", "windows", "anchor", "block").join(held, "anchor"))
+    all_of_it = F.expr("shiftleft(1L, cast(windows AS int)) - 1")
+    whole = shared.where("alike AND doc_id > least").select("doc_id", "h", "start", all_of_it.alias("mask"))
+    various = shared.where("NOT alike").drop("least", "alike")
+    key = ["anchor", "block"]
     index = staged(
-        blocks_.groupBy("anchor", "b1", "b2").agg(F.min(F.struct("doc_id", "h", "start")).alias("at"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
-        .select("anchor", "b1", "b2", F.col("at.doc_id").alias("first"), F.col("at.h").alias("h"), F.col("at.start").alias("start"), "last", "windows")
+        various.groupBy(*key).agg(F.min(F.struct("doc_id", "h", "start", "windows")).alias("at"))
+        .select(*key, F.col("at.doc_id").alias("first"), F.col("at.h").alias("h"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))
     )
-    several = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("least"), F.max("last").alias("most"))
-    boundary = index.join(several.where("n > 1 AND least < most").select("anchor"), "anchor")
-    windows = staged(opened(texts, boundary.select("b1", "b2", "first", "h", "start", "windows"), piece))
+    windows = staged(opened(texts, index, piece))
     earlier = windows.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
     marks = (
-        windows.join(earlier.select("w1", "w2", "least"), ["w1", "w2"]).where("least < first")
-        .groupBy("b1", "b2").agg(F.bit_or(F.expr("shiftleft(1L, cast(place AS int))")).alias("marks"))
+        windows.join(staged(earlier.select("w1", "w2", "least")), ["w1", "w2"]).where("least < first")
+        .groupBy(*key).agg(F.bit_or(F.expr("shiftleft(1L, cast(place AS int))")).alias("marks"))
     )
-    known = index.select("b1", "b2", "first", "last").join(marks, ["b1", "b2"], "left").where("first < last OR marks IS NOT NULL")
-    all_of_it = F.expr("shiftleft(1L, cast(windows AS int)) - 1")
+    known = staged(index.select(*key, "first").join(marks, key, "left"))
     mask = F.when(F.col("doc_id") > F.col("first"), all_of_it).otherwise(F.coalesce("marks", F.lit(0)))
-    return blocks_.join(known, ["b1", "b2"]).select("doc_id", "h", "start", mask.cast("long").alias("mask")).where("mask <> 0")
+    parts = various.join(known, key).select("doc_id", "h", "start", mask.cast("long").alias("mask")).where("mask <> 0")
+    return whole.unionByName(parts)
 
 
 def grown(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -267,7 +275,7 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    cut = texts.join(factors, ["doc_id", "h"]).select("doc_id", "text", "factors")
+    cut = texts_of(texts, factors, ["doc_id", "h"]).join(factors, ["doc_id", "h"]).select("doc_id", "text", "factors")
     changed = cut.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     heads = found.where("start < 0").join(factors.select("doc_id", "h"), ["doc_id", "h"], "left_anti")
     return changed.unionByName(heads.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256")))
