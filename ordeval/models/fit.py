@@ -141,10 +141,10 @@ def ordered_probabilities(margin: Column, thresholds: list[float]) -> Column:
     return F.array(*[F.greatest(b - a, F.lit(0.0)) for a, b in zip(below, below[1:])])
 
 
-def ordered_scored(slopes: list[float], thresholds: list[float], rows: DataFrame) -> DataFrame:
-    """Rows with ``prob`` and ``predicted_code`` (ties to the lower class)."""
+def ordered_scored(slopes: list[float], thresholds: list[float], rows: DataFrame, x: Column | None = None) -> DataFrame:
+    """Rows with ``prob`` and ``predicted_code`` (ties to the lower class); ``x`` is an array, by default of ``features``."""
     weights = F.array(*[F.lit(b) for b in slopes])
-    products = F.zip_with(vector_to_array("features"), weights, lambda x, b: x * b)
+    products = F.zip_with(vector_to_array("features") if x is None else x, weights, lambda x, b: x * b)
     out = rows.withColumn("prob", ordered_probabilities(F.aggregate(products, F.lit(0.0), lambda a, y: a + y), thresholds))
     return out.withColumn("predicted_code", (F.array_position("prob", F.array_max("prob")) - 1).cast("int"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordeval.models import attribution, fit
+from ordeval.models import attribution, boosting, fit, ordinal, stability
 from ordeval.models.features import NumericScaler, encoder
 from ordeval.operators import metrics
 from ordeval.plans import cohort as plan
@@ -80,6 +80,90 @@ def m11_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(rows.where("role = 'test'")).select("id", "target", "predicted_code", "prob")
 
 
+#: Categories and the number of the boosted model, which takes them as they are.
+NATIVE = ["priority_code", "status", "month_code", "segment"]
+PARAMS = boosting.Params(depth=3, step=0.3)
+
+
+def softmax_boosted(spark: SparkSession, sf_dir: str, cap: int = 8) -> tuple[boosting.Boosted, DataFrame]:
+    """A model of ``cap`` rounds at most, stopped by the validation rows, and all rows of the cohort."""
+    rows = plan.cohort(spark, sf_dir)
+    model = boosting.fit(rows.where("role = 'train'"), rows.where("role = 'validation'"), NATIVE, ["speed"], PARAMS, cap=cap)
+    return model, rows
+
+
+def m08_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax boosting of three classes with native categories and missing values: candidates of few rounds, the
+    winner by validation; its metrics on all other rows."""
+    rows = plan.cohort(spark, sf_dir)
+    candidates = {"stumps": boosting.Params(depth=1, step=0.3), "trees": PARAMS}
+    train, validation = rows.where("role = 'train'"), rows.where("role = 'validation'")
+    best, model, _ = boosting.search(train, validation, candidates, NATIVE, ["speed"], 0.0, 0.0, cap=3, extended=5)
+    return _evaluated(boosting.scored(model, rows)).withColumn("candidate", F.lit(best))
+
+
+def m10_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the first rounds of a softmax booster."""
+    model, rows = softmax_boosted(spark, sf_dir, 4)
+    parts = [_evaluated(boosting.scored(model, rows, k)).withColumn("rounds", F.lit(k)) for k in range(1, len(model.rounds) + 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def m12_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions of raw margins add up to them on all test rows."""
+    model, rows = softmax_boosted(spark, sf_dir)
+    attributed = stability.margin_attributions(model, boosting.scored(model, rows.where("role = 'test'")))
+    return stability.additivity(attributed, model.features).select("class", "n", (F.col("largest") <= 1e-6).alias("additive"))
+
+
+def _attributed(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame]:
+    """Attributions of the validation and test rows, written once."""
+    model, rows = softmax_boosted(spark, sf_dir)
+    scored = boosting.scored(model, rows.where("role IN ('validation', 'test')")).withColumnRenamed("role", "cohort")
+    out = stability.margin_attributions(model, scored, carry=["cohort", "target"])
+    path = new_path(spark, "attributions")
+    out.write.parquet(path)
+    return model.features, spark.read.schema(out.schema).parquet(path)
+
+
+def a28_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance and direction of each feature by cohort and scope, from the attributions of M12."""
+    features, attributed = _attributed(spark, sf_dir)
+    return stability.importance(attributed, features, ["cohort"])
+
+
+def m13_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of importance between validation and test rows by scope, 2,000 draws."""
+    features, attributed = _attributed(spark, sf_dir)
+    draws = stability.importance_draws(attributed, features, 2000, 3301, "cohort")
+    points = stability.importance(attributed, features, ["cohort"]).withColumnRenamed("mean_abs", "value")
+    return stability.rank_stability(points, draws, "validation", "test")
+
+
+def m03_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each column of the reference-level encoding; quarters are sums of months and so dependent."""
+    return ordinal.dropped_table(spark, ordinal.reference_columns(_with_quarter(spark, sf_dir).where("role = 'train'"), [*CATEGORICAL, "quarter"], ["speed"]))
+
+
+def _with_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.cohort(spark, sf_dir).withColumn("quarter", F.concat(F.lit("Q"), F.ceil(F.col("month") / 3).cast("string")))
+
+
+def m09_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proportional odds by maximum likelihood on the columns of M03; metrics by role."""
+    rows = _with_quarter(spark, sf_dir)
+    columns = ordinal.reference_columns(rows.where("role = 'train'"), [*CATEGORICAL, "quarter"], ["speed"])
+    encoded = columns.encode(rows.select("id", "role", "target", *CATEGORICAL, "quarter", "speed")).select("id", "role", "target", "x")
+    path = new_path(spark, "encoded")  # each step reads the rows: encode once
+    encoded.write.parquet(path)
+    encoded = spark.read.schema(encoded.schema).parquet(path)
+    model = ordinal.fit_ordered(encoded.where("role = 'train'"))
+    return _evaluated(fit.ordered_scored(model.slopes, model.thresholds, encoded, F.col("x"))).withColumn("at_maximum", F.lit(model.score < 1e-6))
+
+
 def m12_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, rows = prepared(spark, sf_dir, one_hot=False)
     model = fit.forest(train, trees=10, depth=4)
@@ -106,5 +190,26 @@ def x_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (m06_dummy, m07_logistic, m08_boosted, m08_search, m09_ordered, m10_staged, m11_scored, m12_attributions, s20_reloaded, x_stream_daily_counts)
+    own = (
+        m03_reference, m06_dummy, m07_logistic, m08_boosted, m08_search, m08_softmax, m09_likelihood, m09_ordered, m10_rounds, m10_staged, m11_scored,
+        m12_attributions, m12_margins, a28_margins, m13_stability, s20_reloaded, x_stream_daily_counts,
+    )
     return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Twins of what doesn't hang on a fit's values, after the cohort's common tables."""
+    from ordeval.queries import _N, counts_sql, metrics_sql
+
+    most = "(SELECT target FROM cohort WHERE role = 'train' GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v FROM k" for c in (*CATEGORICAL, "quarter"))
+    return {
+        "m03_reference": f"""k AS (SELECT *, 'Q' || ceil(month / 3.0)::INT::VARCHAR AS quarter FROM cohort WHERE role = 'train'),
+l AS (SELECT DISTINCT c, v FROM ({levels})), r AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) AS place FROM l)
+SELECT c || '=' || v AS name, CASE WHEN place = 1 THEN 'reference' WHEN c = 'quarter' THEN 'dependent' ELSE 'kept' END AS fate FROM r
+UNION ALL SELECT DISTINCT c || '=__UNSEEN__', 'unidentified' FROM l UNION ALL SELECT 'speed', 'kept'""",
+        "m12_margins": """t AS (SELECT 1 FROM cohort WHERE role = 'test') SELECT k::INT AS class, (SELECT count(*) FROM t) AS n, true AS additive FROM range(3) r(k)""",
+        "m06_dummy": f"""k AS (SELECT role, target AS true_code, {most} AS predicted_code FROM cohort WHERE role <> 'train'), w AS ({counts_sql('k', 'role')})
+SELECT role, ({_N})::BIGINT AS n, {metrics_sql(metrics.METRICS)} FROM w""",
+        "s20_reloaded": "t AS (SELECT role FROM cohort) SELECT role, count(*) AS n, 0::BIGINT AS differing FROM t GROUP BY role",
+    }

@@ -282,7 +282,7 @@ def _(s, d):
     return windows.select_candidate(joined, F.col("base_qwk"), F.col("base_recall")).select("candidate")
 
 
-@query("m05_matrix_sanity")
+@query("m05_matrix_sanity", "SELECT count(*) AS n, 1::BIGINT AS widths, 0::BIGINT AS not_finite FROM cohort")
 def _(s, d):
     train, rows = model_queries.prepared(s, d)
     from pyspark.ml.functions import vector_to_array

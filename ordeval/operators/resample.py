@@ -103,30 +103,3 @@ def paired_contrasts(draws: DataFrame, observed: DataFrame, weights: DataFrame,
     """Weighted sums of models that share each draw, with the observed sums."""
     keys = list(keys)
     return judged_intervals(contrasts(draws, weights, [*keys, "iteration"], by), contrasts(observed, weights, keys, by), ["contrast", *keys], "value")
-
-
-def bootstrap_means(df: DataFrame, keys: Sequence[str], stratum: str, values: Sequence[str], iterations: int, seed: int, most: int = 200_000) -> DataFrame:
-    """(keys, iteration, mean of each value); a group is a sample of at most ``most`` rows, which is checked."""
-    keys, values = list(keys), list(values)
-    types = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["iteration int"] + [f"`{v}` double" for v in values])
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(stream_seed(seed, *rows.iloc[0][keys].tolist()))
-        rows = rows.sort_values([stratum, *values], kind="mergesort")
-        x = rows[values].to_numpy(float)
-        strata = list(rows.reset_index(drop=True).groupby(stratum).indices.values())
-        out = np.zeros((iterations, len(values)))
-        for b in range(iterations):
-            for at in strata:
-                out[b] += x[rng.choice(at, len(at))].sum(axis=0)
-        frame = pd.DataFrame(out / len(rows), columns=values)
-        frame.insert(0, "iteration", np.arange(iterations, dtype=np.int32))
-        for k in reversed(keys):
-            frame.insert(0, k, rows.iloc[0][k])
-        return frame
-
-    large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).collect()
-    if large:  # before any group goes to a task
-        raise ValueError(f"a group of {large[0]['n']} rows; sample at most {most} first")
-    return df.select(*keys, stratum, *values).groupBy(*keys).applyInPandas(draw, schema)

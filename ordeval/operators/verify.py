@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordeval.functions.columns import close
+from ordeval.operators.ranks import global_place
 from ordeval.sources.shared import new_path
 
 
@@ -61,6 +62,25 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("content"))
 
 
+def ordered_digest(df: DataFrame, order: Sequence[str], columns: Sequence[str], fan: int = 1024, levels: int = 4) -> DataFrame:
+    """(n, digest) of the rows in order: a tree of SHA-256 over the rows' places, so its root is the same for any partitions
+    and any order of arrival, and another if two rows change places.
+
+    Row ``i`` is leaf ``i``: the digest of its columns as text, null as ``\\N``, with a unit separator between them. A node is
+    the digest of its up to ``fan`` children's, a line each; there are ``levels`` of them. ``order`` must tell rows apart.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    rows = global_place(df.select(*order, F.sha2(text, 256).alias("__digest")), [F.col(c) for c in order], "__place")
+    nodes, n = rows.select((F.col("__place") - 1).alias("__at"), "__digest"), rows.count()
+    if n > fan**levels:
+        raise ValueError(f"{n} rows need more than {levels} levels of {fan}")
+    for _ in range(levels):
+        children = F.sort_array(F.collect_list(F.struct("__at", "__digest")))  # fan at most
+        joined = F.array_join(F.transform(children, lambda x: x["__digest"]), "\n")
+        nodes = nodes.groupBy(F.floor(F.col("__at") / fan).alias("__up")).agg(F.sha2(joined, 256).alias("__digest")).withColumnRenamed("__up", "__at")
+    return nodes.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.max("__digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
+
+
 def propagation(differences: DataFrame, primary: Column) -> DataFrame:
     """Differing draws of primary models against the others."""
     return differences.agg(

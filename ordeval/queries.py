@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordeval.functions import columns as C
-from ordeval.operators import audits, guards, joins, metrics, ranks, resample, splits, verify, windows
+from ordeval.operators import audits, guards, joins, means, metrics, ranks, resample, splits, verify, windows
 from ordeval.plans import cohort as plan
 from ordeval.sources import readers
 
@@ -838,10 +838,10 @@ def _(s, d):
 
 @query("r11_bootstrap_means")
 def _(s, d):
+    """Intervals of the mean absolute attribution of all test rows, 2,000 draws stratified by class."""
     wide = attributions(s, d).groupBy("id", "target").pivot("feature", ["f1", "f2", "f3"]).agg(F.first(F.abs("value")))
-    sample = splits.stratified_sample(wide, 500, 3301, "id", "target").withColumn("cohort", F.lit("test"))
-    means = resample.bootstrap_means(sample, ["cohort"], "target", ["f1", "f2", "f3"], 200, 3301)
-    return metrics.intervals(means.unpivot(["iteration"], ["f1", "f2", "f3"], "feature", "value"), ["feature"])
+    drawn = means.bootstrap_means(wide, [], "target", ["f1", "f2", "f3"], 2000, 3301)
+    return metrics.intervals(drawn.unpivot(["iteration"], ["f1", "f2", "f3"], "feature", "value"), ["feature"])
 
 
 # --- verification ------------------------------------------------------------------------------------------------
@@ -900,13 +900,14 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from ordeval import file_queries, more_queries, study_queries  # noqa: F401  register their queries
+    from ordeval import file_queries, more_queries, study_queries, table_queries  # noqa: F401  register their queries
     from ordeval.models import queries as model_queries
 
     return {**_QUERIES, **model_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from ordeval import file_queries, more_queries, study_queries  # noqa: F401
+    from ordeval import file_queries, more_queries, study_queries, table_queries  # noqa: F401
+    from ordeval.models import queries as model_queries
 
-    return dict(_SQL)
+    return {**_SQL, **{name: f"WITH {COHORT_SQL}, {sql}" for name, sql in model_queries.oracle_sql().items()}}
