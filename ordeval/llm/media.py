@@ -3,7 +3,8 @@
 A payload of bytes is stored as an 8-bit grey PNG: rows get one of the filters None, Sub and Up (the one with
 the least sum of absolute differences), go through zlib and are cut into IDAT chunks with CRC-32 checksums.
 Reading tests the signature, every checksum and the sizes, inflates and undoes all five filters with numpy.
-The feature is a hash of the lowest frequencies of a cosine transform of the picture.
+The feature is a hash of the lowest frequencies of a cosine transform of the picture. Both ways go through blocks of
+BLOCK rows, each with the row before it, so a task holds the payload, the picture and little else.
 
 A damaged picture doesn't end a job: its row has ``error`` and null features. That holds for headers of any length,
 number and size too, and no more is inflated than a header of at most MOST samples announces.
@@ -16,18 +17,18 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import map_arrow
-
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 576
 CHUNK = 1 << 16
 LEVEL = 1
+#: Rows that are filtered, packed or read at a time.
+BLOCK = 4096
 #: Samples of a picture that is read, at most (a column holds no more than 2 GB).
 MOST = (1 << 31) - 1
 #: The picture is averaged to SIDE x SIDE, and LOW x LOW of its frequencies are hashed.
@@ -51,69 +52,88 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def encode_png(payload: bytes, width: int = WIDTH, level: int = LEVEL) -> bytes:
-    """An 8-bit grey PNG of rows of ``width`` bytes; the payload must fill its rows."""
-    if not payload or len(payload) % width:
-        raise BadPicture("the payload does not fill rows")
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
+def _filtered(rows: np.ndarray, before: np.ndarray) -> bytes:
+    """Lines of a block of rows: each row's filter and its bytes under it; ``before`` is the row above the block."""
     sub = rows.copy()
     sub[:, 1:] -= rows[:, :-1]
     up = rows.copy()
     up[1:] -= rows[:-1]
-    kinds = np.stack([rows, sub, up])
-    cost = np.abs(kinds.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64)
+    up[0] -= before
+    cost = np.stack([np.abs(kind.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for kind in (rows, sub, up)])
     chosen = cost.argmin(axis=0)
-    lines = np.empty((len(rows), width + 1), np.uint8)
+    lines = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
     lines[:, 0] = chosen
-    lines[:, 1:] = kinds[chosen, np.arange(len(rows))]
-    packed = zlib.compress(lines.tobytes(), level)
-    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    body = b"".join(_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK))
-    return SIGNATURE + _chunk(b"IHDR", head) + body + _chunk(b"IEND", b"")
+    for number, kind in enumerate((rows, sub, up)):
+        own = chosen == number
+        lines[own, 1:] = kind[own]
+    return lines.tobytes()
 
 
-def _chunks(png: bytes) -> dict[bytes, bytes]:
+def encode_png(payload: bytes, width: int = WIDTH, level: int = LEVEL) -> bytes:
+    """An 8-bit grey PNG of rows of ``width`` bytes; the payload must fill its rows."""
+    if not payload or len(payload) % width:
+        raise BadPicture("the payload does not fill rows")
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
+    packer, before = zlib.compressobj(level), np.zeros(width, np.uint8)
+    out, held = bytearray(SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0))), bytearray()
+    for y in range(0, len(rows), BLOCK):
+        block = rows[y : y + BLOCK]
+        held += packer.compress(_filtered(block, before))
+        before = block[-1]
+        while len(held) >= CHUNK:
+            out += _chunk(b"IDAT", bytes(held[:CHUNK]))
+            del held[:CHUNK]
+    held += packer.flush()
+    for i in range(0, len(held), CHUNK):
+        out += _chunk(b"IDAT", bytes(held[i : i + CHUNK]))
+    return bytes(out + _chunk(b"IEND", b""))
+
+
+def _chunks(png: bytes) -> dict[bytes, list[memoryview]]:
+    """Data of the chunks by kind, in order; nothing is copied."""
     if png[:8] != SIGNATURE:
         raise BadPicture("no PNG signature")
-    parts: dict[bytes, list[bytes]] = {}
-    at = 8
+    parts: dict[bytes, list[memoryview]] = {}
+    view, at = memoryview(png), 8
     while at < len(png):
         if at + 12 > len(png):
             raise BadPicture("a chunk is cut off")
-        size, kind = struct.unpack(">I4s", png[at : at + 8])
-        data = png[at + 8 : at + 8 + size]
-        if len(data) < size or zlib.crc32(data, zlib.crc32(kind)) != int.from_bytes(png[at + 8 + size : at + 12 + size], "big"):
+        size, kind = struct.unpack(">I4s", view[at : at + 8])
+        data = view[at + 8 : at + 8 + size]
+        if len(data) < size or zlib.crc32(data, zlib.crc32(kind)) != int.from_bytes(view[at + 8 + size : at + 12 + size], "big"):
             raise BadPicture(f"checksum of {kind!r}")
         parts.setdefault(kind, []).append(data)
         at += 12 + size
     if b"IHDR" not in parts or b"IEND" not in parts:
         raise BadPicture("no header or no end")
-    return {k: b"".join(v) for k, v in parts.items()}
+    return parts
 
 
-def _unfilter(lines: np.ndarray) -> np.ndarray:
-    """Undo the row filters of an 8-bit grey picture.
+def _unfilter(lines: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Undo the row filters of a block of lines of an 8-bit grey picture; ``before`` is the row above it.
 
     Runs of None and Sub rows are undone at once, Up rows one by one. Average and Paeth need the sample to the left, so
-    where they occur, the samples of a picture are undone along its diagonals, each diagonal at once.
+    where they occur, the samples of a block are undone along its diagonals, each diagonal at once.
     """
     kinds, rows = lines[:, 0], lines[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise BadPicture("unknown filter")
     if (kinds >= 3).any():
-        return _along_diagonals(kinds, rows)
-    sub = kinds == 1
-    rows[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint64).astype(np.uint8)
+        return _along_diagonals(kinds, rows, before)
+    sub = np.flatnonzero(kinds == 1)
+    for i in range(0, len(sub), 256):  # sums in 64 bits: a few rows at a time
+        some = sub[i : i + 256]
+        rows[some] = np.cumsum(rows[some], axis=1, dtype=np.uint64).astype(np.uint8)
     for y in np.flatnonzero(kinds == 2):
-        if y:
-            rows[y] += rows[y - 1]
+        rows[y] += rows[y - 1] if y else before
     return rows
 
 
-def _along_diagonals(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _along_diagonals(kinds: np.ndarray, rows: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Sample (y, x) needs (y, x - 1), (y - 1, x) and (y - 1, x - 1): all of them are on earlier diagonals x + y."""
     height, width = rows.shape
-    done = np.zeros((height + 1, width + 1), np.int16)  # with a border of zeros
+    done = np.zeros((height + 1, width + 1), np.int16)  # with the row above and a border of zeros
+    done[0, 1:] = before
     for d in range(height + width - 1):
         y = np.arange(max(0, d - width + 1), min(height, d + 1))
         x = d - y
@@ -127,44 +147,91 @@ def _along_diagonals(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return done[1:, 1:].astype(np.uint8)
 
 
-def decode_png(png: bytes) -> np.ndarray:
-    """Rows and columns of an 8-bit grey PNG; raises :class:`BadPicture`."""
+def read_rows(png: bytes) -> tuple[int, int, Iterator[np.ndarray]]:
+    """(height, width, rows in blocks) of an 8-bit grey PNG; raises :class:`BadPicture`, also while the blocks are read."""
     parts = _chunks(png)
-    if len(parts[b"IHDR"]) != 13:
+    if [len(p) for p in parts[b"IHDR"]] != [13]:
         raise BadPicture("not one header of 13 bytes")
-    width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", parts[b"IHDR"][0])
     if (depth, colour, interlace) != (8, 0, 0):
         raise BadPicture("not an 8-bit grey picture without interlacing")
-    size = height * (width + 1)
-    if not width or not height or size > MOST:
+    if not width or not height or height * (width + 1) > MOST:
         raise BadPicture("no samples or too many")
-    inflater = zlib.decompressobj()
-    try:
-        raw = inflater.decompress(parts.get(b"IDAT", b""), size + 1)
-    except zlib.error as e:
-        raise BadPicture(str(e)) from e
-    if len(raw) != size or not inflater.eof:
-        raise BadPicture("wrong number of samples")
-    return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, width + 1))
-
-
-def _averaged(rows: np.ndarray, side: int) -> np.ndarray:
-    """The mean of each cell of a ``side`` x ``side`` grid; a picture smaller than the grid repeats its rows."""
-    for axis in (0, 1):
-        n = rows.shape[axis]
-        edges = np.arange(side) * n // side
-        counts = np.maximum(np.diff(np.append(edges, n)), 1)
-        if n >= side:
-            rows = np.add.reduceat(rows, edges, axis=axis, dtype=np.float64)
-            rows = rows / (counts[:, None] if axis == 0 else counts[None, :])
-        else:
-            rows = np.take(rows, edges, axis=axis).astype(np.float64)
-    return rows
+
+    def blocks() -> Iterator[np.ndarray]:
+        before, left, inflater, held = np.zeros(width, np.uint8), height, zlib.decompressobj(), bytearray()
+
+        def ready(n: int) -> np.ndarray:
+            nonlocal before, left
+            rows = _unfilter(np.frombuffer(bytes(held[: n * (width + 1)]), np.uint8).reshape(n, width + 1), before)
+            del held[: n * (width + 1)]
+            before, left = rows[-1], left - n
+            return rows
+
+        size = max(1, min(BLOCK, (1 << 23) // width))
+        for part in parts.get(b"IDAT", []):
+            while len(part) and not inflater.eof:
+                room = left * (width + 1) - len(held) + 1  # no more than the header announces, and one to notice it
+                try:
+                    held += inflater.decompress(part, min(room, 1 << 22))
+                except zlib.error as e:
+                    raise BadPicture(str(e)) from e
+                part = inflater.unconsumed_tail
+                if len(held) > left * (width + 1):
+                    raise BadPicture("wrong number of samples")
+                while len(held) >= size * (width + 1):
+                    yield ready(size)
+        while not inflater.eof:  # what the inflater still holds back
+            try:
+                more = inflater.decompress(inflater.unconsumed_tail, min(left * (width + 1) - len(held) + 1, 1 << 22))
+            except zlib.error as e:
+                raise BadPicture(str(e)) from e
+            held += more
+            if not more:
+                break
+        if len(held) != left * (width + 1) or not inflater.eof:
+            raise BadPicture("wrong number of samples")
+        while left:
+            yield ready(min(size, left))
+
+    return height, width, blocks()
+
+
+def decode_png(png: bytes) -> np.ndarray:
+    """Rows and columns of an 8-bit grey PNG; raises :class:`BadPicture`."""
+    return np.concatenate(list(read_rows(png)[2]))
 
 
-def frequency_hash(rows: np.ndarray) -> str:
-    """16 hex digits: which of the lowest frequencies are above their median (the mean itself left out)."""
-    low = (COSINES[:LOW] @ _averaged(rows, SIDE) @ COSINES[:LOW].T).round(6).ravel()
+class Averages:
+    """The mean of each cell of a SIDE x SIDE grid over a picture that comes in blocks of rows; a picture smaller than the
+    grid repeats its rows or columns."""
+
+    def __init__(self, height: int, width: int, side: int = SIDE) -> None:
+        self.height, self.at = height, 0
+        self.rows_at, self.columns_at = np.arange(side) * height // side, np.arange(side) * width // side
+        self.width, self.side = width, side
+        self.sums = np.zeros((min(height, side), side), np.int64)
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.width >= self.side:
+            columns = np.add.reduceat(rows, self.columns_at, axis=1, dtype=np.int64)
+        else:
+            columns = rows[:, self.columns_at].astype(np.int64)
+        y = np.arange(self.at, self.at + len(rows))
+        cell = y if self.height < self.side else np.searchsorted(self.rows_at, y, "right") - 1
+        np.add.at(self.sums, cell, columns)
+        self.at += len(rows)
+
+    def means(self) -> np.ndarray:
+        wide = np.maximum(np.diff(np.append(self.columns_at, self.width)), 1) if self.width >= self.side else np.ones(self.side)
+        if self.height < self.side:
+            return self.sums[self.rows_at] / wide
+        return self.sums / (np.diff(np.append(self.rows_at, self.height))[:, None] * wide)
+
+
+def frequency_hash(means: np.ndarray) -> str:
+    """16 hex digits: which of the lowest frequencies of a grid are above their median (the mean itself left out)."""
+    low = (COSINES[:LOW] @ means @ COSINES[:LOW].T).round(6).ravel()
     bits = low > np.median(low[1:])
     bits[0] = False
     return np.packbits(bits).tobytes().hex()
@@ -191,12 +258,18 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature stri
 
 def read_features(png: bytes | None) -> tuple:
     """Values of ``READ`` from stored bytes."""
+    digest, size, tail = hashlib.sha256(), 0, b""
     try:
-        rows = decode_png(png or b"")
+        height, width, blocks = read_rows(png or b"")
+        grid = Averages(height, width)
+        for rows in blocks:
+            grid.add(rows)
+            data = rows.tobytes()
+            digest.update(data)
+            size, tail = size + len(data), (tail + data[-32:])[-32:]
     except BadPicture as e:
         return None, None, None, None, str(e)
-    payload = rows.tobytes()
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), frequency_hash(rows), None
+    return size, digest.hexdigest(), zlib.crc32(tail), frequency_hash(grid.means()), None
 
 
 def with_features(df: DataFrame, media_col: str = "media", read_col: str = "read") -> DataFrame:
@@ -215,44 +288,15 @@ def with_features(df: DataFrame, media_col: str = "media", read_col: str = "read
     return _with_new(df, read_col, read(F.col(media_col)))
 
 
-DIGEST = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("n_bytes", pa.int64()),
-        ("payload_bytes", pa.int64()),
-        ("payload_sha256", pa.string()),
-        ("tail_crc32", pa.int64()),
-        ("media_bytes", pa.int64()),
-        ("media_sha256", pa.string()),
-        ("feature", pa.string()),
-    ]
-)
-
-
 def text_media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each whole text as UTF-8 in a PNG; the stored bytes are read back and described, then let go.
+    """Each whole text as UTF-8 in a binary PNG column; the stored bytes are read back and described.
 
-    One pass: encode and decode run in the same task, so no picture is shuffled or kept.
+    The pictures stay in their task: no column of them is shuffled or kept.
     """
-
-    def digest(columns: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {f.name: [] for f in DIGEST}
-        for doc, text in zip(columns["doc_id"], columns["text"], strict=True):
-            data = (text or "").encode()
-            png = encode_png(padded(data))
-            size, sha, crc, feature, error = read_features(png)
-            if error:
-                raise BadPicture(error)
-            values = (doc, len(data), size, sha, crc, len(png), hashlib.sha256(png).hexdigest(), feature)
-            for f, v in zip(DIGEST, values, strict=True):
-                out[f.name].append(v)
-        return out
-
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(
-        given,
-        digest,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string",
-        DIGEST,
-    )
+    payloads = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
+    read = with_features(with_pictures(payloads, "payload"))
+    bad = F.when(F.col("read.error").isNotNull(), F.raise_error(F.col("read.error"))).otherwise(F.col("read.payload_bytes"))
+    return read.select(
+        "doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), bad.cast("long").alias("payload_bytes"), "read.payload_sha256", "read.tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "read.feature",
+    )
