@@ -5,12 +5,14 @@ along the source's documents, from the longest to the shortest, one random offse
 is emitted once for each integer boundary that its span crosses. Because the documents are in order of
 size, the words taken differ from the target by less than the longest document of the source.
 
-The prefix sums come from three levels of counts - (source), (source, size), (source, size, bucket of the
-id) - so no window ever holds a whole source, however much of the corpus that source has.
-
-Nulls: a null text has size 0, a null source is a source of its own (the last), null ids are ordered first.
-Rows that repeat an id are documents of their own. Ties: equal sizes are in order of bucket, then id; equal rows share
-their copies in any order. Very long texts are counted whole. An empty table gives no rows. Other columns are not
+The prefix sums come from three levels of counts - (source), (source, size), (source, size, range of a hash of id
+and text) - so no window ever holds a whole source, however much of the corpus that source has. Rows that repeat id,
+source and text are counted first and are one row until the end. The ranges follow the order of the documents, so
+their number, which grows with the table, changes the plan alone.
+
+Nulls: a null text has size 0, a null source is a source of its own (the last), null ids are told apart by their texts.
+Rows that repeat an id are documents of their own. Ties: equal sizes are in order of the hash, then of the id; equal rows
+share their copies in any order. Very long texts are counted whole. An empty table gives no rows. Other columns are not
 read, whatever their names, and pass through :func:`mix_documents`.
 """
 
@@ -25,8 +27,10 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CAP = 2.0
 SEED = 7
-#: Ids of one (source, size) are split over at least so many buckets, one more for each ROWS_A_BUCKET rows.
-BUCKETS, ROWS_A_BUCKET = 256, 100_000
+#: Documents of one (source, size) are dealt by at least so many ranges of their hash, one more for each ROWS_A_RANGE rows.
+RANGES, ROWS_A_RANGE = 256, 100_000
+#: Equal rows are handed out again by so many at a time.
+EQUAL_ROWS = 10_000
 
 
 def source_targets(
@@ -83,15 +87,17 @@ def systematic_mix(
     text_col: str = "text",
 ) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken, text_hash) of every document."""
-    rows = docs.count()
-    buckets = max(BUCKETS, rows // ROWS_A_BUCKET)
-    base = staged(
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text_col), F.lit("")))
+    groups = staged(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-            F.xxhash64(text_col).alias("text_hash"),
-        ).withColumn("bucket", F.coalesce(F.pmod(hash32(F.col("id").cast("string")), F.lit(buckets)), F.lit(0)).cast("int"))
-    )
-    by_bucket = base.groupBy("source", "size", "bucket").agg(F.count("*").alias("in_bucket"))
+            F.xxhash64(text_col).alias("text_hash"), hash32(named).alias("key"),
+        ).groupBy("id", "source", "size", "text_hash", "key").agg(F.count("*").alias("equal"))
+    )
+    known = groups.agg(F.coalesce(F.sum("equal"), F.lit(0)).alias("rows"), F.coalesce(F.max("equal"), F.lit(0)).alias("most")).first()
+    ranges = max(RANGES, known["rows"] // ROWS_A_RANGE)
+    base = groups.withColumn("bucket", F.shiftright(F.col("key") * F.lit(ranges), 32).cast("int"))
+    by_bucket = base.groupBy("source", "size", "bucket").agg(F.sum("equal").alias("in_bucket"))
     by_size = by_bucket.groupBy("source", "size").agg(F.sum("in_bucket").alias("in_size"))
     targets = source_targets(
         by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("in_size")).alias("source_size")),
@@ -119,9 +125,15 @@ def systematic_mix(
             "target",
         )
     )
-    ranked = base.withColumn(
-        "place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("id"))
-    )
+    until = F.sum("equal").over(Window.partitionBy("source", "size", "bucket").orderBy("key", "id", "text_hash"))
+    ranked = base.withColumn("first", until - F.col("equal") + 1)
+    if known["most"] > EQUAL_ROWS:  # large groups of equal rows are dealt in parts before they are handed out
+        part = F.explode(F.sequence(F.lit(0), F.floor((F.col("equal") - 1) / EQUAL_ROWS))).alias("part")
+        ranked = ranked.select("*", part).repartition("key", "id", "text_hash", "part").withColumns(
+            {"first": F.col("first") + F.col("part") * EQUAL_ROWS, "equal": F.least(F.lit(EQUAL_ROWS), F.col("equal") - F.col("part") * EQUAL_ROWS)}
+        )
+    place = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("equal") - 1)).alias("place")
+    ranked = ranked.select("id", "source", "size", "text_hash", "bucket", place)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     boundary = lambda place: F.floor(F.col("rate") * place + F.col("u"))
     return (

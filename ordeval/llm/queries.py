@@ -80,7 +80,8 @@ WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 OP1_SQL = rf"""
 WITH docs AS (
-  SELECT doc_id, source, {WORDS_SQL}::BIGINT AS size, count(*) OVER () AS rows FROM documents
+  SELECT doc_id, source, {WORDS_SQL}::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 8))::UBIGINT AS key FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
 ), weighed AS (
@@ -102,7 +103,7 @@ WITH docs AS (
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
          ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.source, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u,
          row_number() OVER (PARTITION BY d.source
-                            ORDER BY d.size DESC, ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::UBIGINT % greatest({mixing.BUCKETS}, rows // {mixing.ROWS_A_BUCKET}), d.doc_id) AS place
+                            ORDER BY d.size DESC, d.key, d.doc_id) AS place
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), counted AS (
   SELECT *, least(floor(rate * place + u) - floor(rate * (place - 1) + u), ceil(rate))::BIGINT AS copies FROM placed
