@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import free_name, map_arrow, small_batches, staged
+from ordeval.llm.common import free_name, map_arrow, small_batches, staged, texts_of
 from ordeval.llm.components import connected_components
 
 SHINGLE = 5
@@ -448,9 +448,9 @@ def _components(
     sizes = members.groupBy("class").agg(F.sum("n").alias("in_class"))
     named_by = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("")).alias("id")
     given = docs.select(named_by(id_col), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    # the members grow with the corpus: the plan is the same at every size, one shuffle of the texts by id and hash
+    # only texts of members of a class are shuffled, where their keys are few enough to tell before
     wanted = members.join(sizes, "class").withColumn("id", named_by("first")).hint("merge")
-    texts = given.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"])
+    texts = texts_of(given, members.select(named_by("first"), "h"), ["id", "h"]).dropDuplicates(["id", "h"]).join(wanted, ["id", "h"])
     links = confirmed_in_small(texts.where(F.col("in_class") <= class_shingles), k, threshold)
     if not sizes.where(F.col("in_class") > class_shingles).isEmpty():
         links = links.unionByName(

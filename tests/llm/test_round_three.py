@@ -259,3 +259,92 @@ def test_one_node_for_each_suffix(monkeypatch):
     found = list(structure.audits(iter(sorted(s[::-1] for s in signatures))))
     assert len(found) == len(signatures)
     assert len(made) == len({s[i:] for s in signatures for i in range(len(s))})
+
+
+# --- changes to earlier operators ----------------------------------------------------------------------------------
+
+
+def test_mix_does_not_depend_on_the_number_of_ranges(spark, monkeypatch):
+    """More ranges, as a larger table has, change the plan and nothing else; null ids and equal rows are dealt like others."""
+    from ordeval.llm import mixing
+
+    rng = random.Random(9)
+    rows = [(None if i % 4 == 0 else i % 150, " ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 4))), rng.choice(["a", "b", None])) for i in range(600)]
+    rows += [(7, "same text", "a")] * 95 + [(None, "same text", "b")] * 50
+    docs = spark.createDataFrame([(d, t, s, 0) for d, t, s in rows], "doc_id long, text string, source string, key int")
+    wanted = None
+    for ranges, equal in ((1, 10_000), (256, 10_000), (5000, 7)):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        monkeypatch.setattr(mixing, "EQUAL_ROWS", equal)
+        got = sorted(map(tuple, mixing.systematic_mix(docs).collect()), key=str)
+        wanted = wanted or got
+        assert got == wanted and len(got) == len(rows)
+
+
+def test_pictures_in_blocks(monkeypatch):
+    """Blocks of any height give the same picture and the same values, and all filters reach over their edges."""
+    import zlib as z
+
+    from ordeval.llm import media
+
+    rng = np.random.default_rng(2)
+    whole = media.padded((b"some text of lines \n" * 3000 + rng.integers(0, 256, 40_000, dtype=np.uint8).tobytes()))
+    rows = np.frombuffer(whole, np.uint8).reshape(-1, 576)
+    png, read = media.encode_png(whole), media.read_features(media.encode_png(whole))
+    for block in (1, 2, 7, 50):
+        monkeypatch.setattr(media, "BLOCK", block)
+        assert media.encode_png(whole) == png and media.read_features(png) == read
+        assert (media.decode_png(png) == rows).all()
+    assert read[0] == len(whole) and read[1] == hashlib.sha256(whole).hexdigest() and read[2] == z.crc32(whole[-32:]) and read[4] is None
+    monkeypatch.setattr(media, "BLOCK", 3)
+    small = rng.integers(0, 256, (10, 5), dtype=np.uint8)
+    kinds = [4, 3, 2, 1, 4, 0, 3, 4, 2, 4]
+    lines = []
+    for y, kind in enumerate(kinds):
+        above = small[y - 1].astype(int) if y else np.zeros(5, int)
+        line = [kind]
+        for x in range(5):
+            left, corner = (int(small[y, x - 1]), int(above[x - 1])) if x else (0, 0)
+            p = left + int(above[x]) - corner
+            near = min((abs(p - left), 0, left), (abs(p - int(above[x])), 1, int(above[x])), (abs(p - corner), 2, corner))[2]
+            line.append((int(small[y, x]) - [0, left, int(above[x]), (left + int(above[x])) // 2, near][kind]) % 256)
+        lines.append(bytes(line))
+    head = media.struct.pack(">IIBBBBB", 5, 10, 8, 0, 0, 0, 0)
+    data = z.compress(b"".join(lines))
+    made = media.SIGNATURE + b"".join(media._chunk(k, d) for k, d in ((b"IHDR", head), *((b"IDAT", data[i : i + 9]) for i in range(0, len(data), 9)), (b"IEND", b"")))
+    assert (media.decode_png(made) == small).all()
+    with pytest.raises(media.BadPicture):
+        media.decode_png(made.replace(b"IEND", b"IENX"))
+
+
+def test_a_picture_takes_little_more_than_its_payload():
+    import tracemalloc
+
+    from ordeval.llm import media
+
+    payload = media.padded(np.random.default_rng(1).integers(97, 123, 1 << 26, dtype=np.uint8).tobytes())
+    tracemalloc.start()
+    png = media.encode_png(payload)
+    read = media.read_features(png)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read[0] == len(payload) and read[4] is None
+    assert peak < 3 * len(payload)  # besides the payload: with it below 4
+
+
+def test_grid_means_equal_plain_ones():
+    from ordeval.llm import media
+
+    rng = np.random.default_rng(6)
+    for height, width in ((1, 576), (31, 576), (32, 32), (33, 40), (500, 576), (70, 5)):
+        rows = rng.integers(0, 256, (height, width), dtype=np.uint8)
+        grid = media.Averages(height, width)
+        for y in range(0, height, 9):
+            grid.add(rows[y : y + 9])
+        plain = np.zeros((32, 32))
+        for i in range(32):
+            for j in range(32):
+                a, b = i * height // 32, max((i + 1) * height // 32, i * height // 32 + 1)
+                c, d = j * width // 32, max((j + 1) * width // 32, j * width // 32 + 1)
+                plain[i, j] = rows[a:b, c:d].mean()
+        assert np.allclose(grid.means(), plain, atol=1e-9), (height, width)
