@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ordeval.llm import mixing, neardup, packing, pii, quality
-from ordeval.llm.common import documents, staged, table
+from ordeval.llm.common import documents, scratch, shared_folder, table
+from ordeval.sources.documents import remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +67,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and reread."""
-    docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; each result is written to the shared folder and reread. What a stage has written for
+    itself is removed when its result is there, and a result when the next one is."""
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES:
+        result = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(result)
+        docs = spark.read.schema(made.schema).parquet(result)
+        if before:
+            remove(spark, before)
+        before = result
     return docs
 
 

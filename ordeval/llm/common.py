@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordeval.sources.documents import remove
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,14 +50,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are :func:`staged` inside are removed at its end: what needs them must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the cluster's shared checkpoint folder and read it back.
 
     This cuts the lineage: an executor that is lost later costs a reread, not a recomputation.
-    The tables stay until the folder is cleared, as checkpoints do.
+    The tables stay until the folder is cleared, as checkpoints do, or until the :func:`scratch` around ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
