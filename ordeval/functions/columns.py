@@ -149,3 +149,11 @@ def plain_text(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def is_safe_path(path: Column) -> Column:
+    """Whether a path is relative and stays below its root: no drive or leading slash, no backslash, no empty, ``.`` or ``..``
+    part, no control character; null and empty paths aren't."""
+    parts = F.split(path, "/")
+    bad = F.exists(parts, lambda p: p.isin("", ".", ".."))
+    return F.coalesce((path != "") & ~path.rlike(r"[\\\x00-\x1f]|^[A-Za-z]:") & ~bad, F.lit(False))

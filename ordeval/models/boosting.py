@@ -24,11 +24,12 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordeval.models.attribution import Leaf
 from ordeval.operators import metrics, ranks, windows
+from ordeval.sources.documents import read_document, write_document
 from ordeval.sources.shared import new_path
 
 CLASSES = 3
@@ -100,7 +101,18 @@ class Boosted:
 
     def digest(self) -> str:
         """The name of the model's content."""
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+        return hashlib.sha256(self.text().encode()).hexdigest()
+
+    def text(self) -> str:
+        """The model as a document; :meth:`read` gets it back."""
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def read(cls, text: str) -> Boosted:
+        given = json.loads(text)
+        given["rounds"] = [[Tree(**t) for t in trees] for trees in given["rounds"]]
+        given["losses"] = [tuple(x) for x in given["losses"]]
+        return cls(**{**given, "params": Params(**given["params"])})
 
     def margins(self, bins: np.ndarray, rounds: int | None = None) -> np.ndarray:
         """Raw scores with the first ``rounds`` rounds; by default up to the best one."""
@@ -373,6 +385,30 @@ def scored(model: Boosted, rows: DataFrame, rounds: int | None = None) -> DataFr
     return out.withColumns({"prob": F.transform(shifted, lambda x: x / sum_), "predicted_code": (F.array_position("margin", top) - 1).cast("int")})
 
 
+def seal_model(spark: SparkSession, model: Boosted, folder: str) -> str:
+    """Write a model and then its seal, the digest of what was written; a model that is sealed stays."""
+    if read_document(spark, f"{folder}/seal.json") is not None:
+        raise FileExistsError(f"there is a sealed model in {folder}")
+    write_document(spark, f"{folder}/model.json", model.text())
+    write_document(spark, f"{folder}/seal.json", json.dumps({"model_sha256": model.digest()}))
+    return model.digest()
+
+
+def sealed_model(spark: SparkSession, folder: str) -> Boosted:
+    """The sealed model; an error if there is no seal, or the model isn't the one that was sealed."""
+    seal, text = read_document(spark, f"{folder}/seal.json"), read_document(spark, f"{folder}/model.json")
+    if seal is None or text is None:
+        raise PermissionError(f"no sealed model in {folder}")
+    if hashlib.sha256(text.encode()).hexdigest() != json.loads(seal)["model_sha256"]:
+        raise ValueError(f"the model in {folder} is not the one that was sealed")
+    return Boosted.read(text)
+
+
+def scored_after_seal(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """The only way of a study to its test rows: the model is read from its seal, not handed over."""
+    return scored(sealed_model(spark, folder), rows)
+
+
 def search(
     train: DataFrame, validation: DataFrame, candidates: dict[str, Params], categorical: Sequence[str], numeric: Sequence[str], base_qwk: float, base_recall: float,
     target: str = "target", cap: int = 1200, extended: int = 2000, patience: int = 75,

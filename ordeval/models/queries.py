@@ -119,14 +119,22 @@ def m12_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.additivity(attributed, model.features).select("class", "n", (F.col("largest") <= 1e-6).alias("additive"))
 
 
+def x06_sealed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows scored by the model that its seal names; rows by role and those that the model in memory scores otherwise."""
+    model, rows = softmax_boosted(spark, sf_dir, 3)
+    folder = new_path(spark, "sealed")
+    boosting.seal_model(spark, model, folder)
+    test = rows.where("role = 'test'")
+    own = boosting.scored(model, test).select("id", F.col("margin").alias("own"))
+    both = boosting.scored_after_seal(spark, folder, test).join(own, "id")
+    return both.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("margin") != F.col("own")).alias("differing"))
+
+
 def _attributed(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame]:
     """Attributions of the validation and test rows, written once."""
     model, rows = softmax_boosted(spark, sf_dir)
     scored = boosting.scored(model, rows.where("role IN ('validation', 'test')")).withColumnRenamed("role", "cohort")
-    out = stability.margin_attributions(model, scored, carry=["cohort", "target"])
-    path = new_path(spark, "attributions")
-    out.write.parquet(path)
-    return model.features, spark.read.schema(out.schema).parquet(path)
+    return model.features, stability.attributions_in_chunks(model, scored, new_path(spark, "attributions"), 2, carry=["cohort", "target"])
 
 
 def a28_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +200,7 @@ def x_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         m03_reference, m06_dummy, m07_logistic, m08_boosted, m08_search, m08_softmax, m09_likelihood, m09_ordered, m10_rounds, m10_staged, m11_scored,
-        m12_attributions, m12_margins, a28_margins, m13_stability, s20_reloaded, x_stream_daily_counts,
+        m12_attributions, m12_margins, a28_margins, m13_stability, s20_reloaded, x06_sealed_scores, x_stream_daily_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -211,5 +219,6 @@ UNION ALL SELECT DISTINCT c || '=__UNSEEN__', 'unidentified' FROM l UNION ALL SE
         "m12_margins": """t AS (SELECT 1 FROM cohort WHERE role = 'test') SELECT k::INT AS class, (SELECT count(*) FROM t) AS n, true AS additive FROM range(3) r(k)""",
         "m06_dummy": f"""k AS (SELECT role, target AS true_code, {most} AS predicted_code FROM cohort WHERE role <> 'train'), w AS ({counts_sql('k', 'role')})
 SELECT role, ({_N})::BIGINT AS n, {metrics_sql(metrics.METRICS)} FROM w""",
+        "x06_sealed_scores": "t AS (SELECT role FROM cohort WHERE role = 'test') SELECT role, count(*) AS n, 0::BIGINT AS differing FROM t GROUP BY role",
         "s20_reloaded": "t AS (SELECT role FROM cohort) SELECT role, count(*) AS n, 0::BIGINT AS differing FROM t GROUP BY role",
     }

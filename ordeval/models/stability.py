@@ -6,6 +6,9 @@ Scopes are the classes, and ``overall``: the mean over classes of a feature's me
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from ordeval.models import boosting
 from ordeval.models.attribution import attribute
 from ordeval.operators import means, metrics, ranks, windows
+from ordeval.plans.ledger import table_digest
+from ordeval.sources.documents import read_document, write_document
 
 OVERALL = "overall"
 #: Rows that a task walks the leaves with at a time.
@@ -47,6 +52,28 @@ def margin_attributions(model: boosting.Boosted, rows: DataFrame, id_col: str =
     return rows.select(*kept, "bins", "margin").mapInArrow(run, schema)
 
 
+def attributions_in_chunks(
+    model: boosting.Boosted, rows: DataFrame, folder: str, chunks: int, id_col: str = "id", carry: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`margin_attributions` in ``chunks`` by a hash of the id, each written and sealed under the digests of the
+    model and of the rows. A run that breaks goes on with the first chunk that has no seal; another model or other rows have
+    a folder of their own."""
+    spark = rows.sparkSession
+    holds = table_digest(rows.select(id_col, *carry, "bins"))
+    place = f"{folder.rstrip('/')}/{hashlib.sha256(f'{model.digest()}|{holds}|{chunks}'.encode()).hexdigest()[:32]}"
+    tables = []
+    for i in range(chunks):
+        seal = read_document(spark, f"{place}/chunk-{i}.json")
+        if seal is None:
+            name = f"chunk-{i}-{uuid.uuid4().hex[:8]}"
+            own = rows.where(F.pmod(F.xxhash64(id_col), F.lit(chunks)) == i)
+            margin_attributions(model, own, id_col, carry).write.parquet(f"{place}/{name}")
+            seal = json.dumps({"table": name})
+            write_document(spark, f"{place}/chunk-{i}.json", seal)
+        tables.append(f"{place}/{json.loads(seal)['table']}")
+    return spark.read.schema(margin_attributions(model, rows, id_col, carry).schema).parquet(*tables)
+
+
 def additivity(attributed: DataFrame, features: Sequence[str], classes: int = boosting.CLASSES) -> DataFrame:
     """(class, n, largest): the largest difference between base + attributions and the margin, over all rows."""
     k = F.explode(F.array(*[F.lit(i) for i in range(classes)])).alias("class")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordeval.operators.ranks import mean, quantile, value_counts
+
 
 def long_fields(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(keys, field, value as text)."""
@@ -102,6 +104,50 @@ def schema_audit(audited: DataFrame) -> DataFrame:
     )
 
 
+def field_audit(df: DataFrame, period: str, fields: Sequence[str], dictionary: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """(period, field, position, present, n, non_missing, unknown, format_issue): whether a period has the field at all, codes
+    that the dictionary of a field lacks, and values that don't match the field's format; counts of values come first."""
+    found = counts(long_fields(df, [period], fields), period, "field", "value")
+    listed = dictionary.select("field", F.col("code").alias("value"), F.lit(True).alias("__listed"))
+    coded = dictionary.select("field").distinct().withColumn("__coded", F.lit(True))
+    marked = found.join(listed, ["field", "value"], "left").join(coded, "field", "left")
+    known = F.coalesce("__listed", F.lit(False)) | F.col("__coded").isNull()
+    has = F.col("value").isNotNull()
+    wrong = F.lit(False)
+    for f, pattern in formats.items():
+        wrong = wrong | ((F.col("field") == f) & ~F.col("value").rlike(pattern))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field")).cast("int")
+    out = marked.groupBy(period, "field").agg(
+        F.sum("n").alias("n"), total(has).alias("non_missing"), total(has & ~known).alias("unknown"), total(has & F.coalesce(wrong, F.lit(False))).alias("format_issue")
+    )
+    return out.select(period, "field", place.alias("position"), (F.col("non_missing") > 0).alias("present"), "n", "non_missing", "unknown", "format_issue")
+
+
+def rule_audit(audited: DataFrame, rules: DataFrame) -> DataFrame:
+    """(field, kind, n, blank, unknown, decision): totals of a :func:`field_audit` under the rule of their field; what is known
+    only after the event goes, a field without a rule or with unknown codes is reviewed."""
+    sums = audited.groupBy("field").agg(F.sum("n").alias("n"), F.sum(F.col("n") - F.col("non_missing")).alias("blank"), F.sum("unknown").alias("unknown"))
+    decision = (
+        F.when(F.col("kind").isNull(), "review_no_rule").when(F.col("kind") == "after_event", "exclude")
+        .when(F.col("unknown") > 0, "review_codes").otherwise("keep")
+    )
+    return sums.join(rules.select("field", "kind"), "field", "left").select("field", "kind", "n", "blank", "unknown", decision.alias("decision"))
+
+
+def numeric_domain(df: DataFrame, period: str, fields: Sequence[str]) -> DataFrame:
+    """(field, period, n, missing, distinct_values, low, high, mean, median, negative, zero, fractional), the median exact."""
+    long = df.select(period, *[F.col(f).cast("double").alias(f) for f in fields]).unpivot([period], list(fields), "field", "value")
+    found = value_counts(long, "value", "field", period)
+    has, x = F.col("value").isNotNull(), F.col("value")
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return found.groupBy("field", period).agg(
+        F.sum("n").alias("n"), total(~has).alias("missing"), F.count("value").alias("distinct_values"), F.min("value").alias("low"), F.max("value").alias("high"),
+        mean("value").alias("mean"), quantile("value", 0.5).alias("median"), total(has & (x < 0)).alias("negative"), total(has & (x == 0)).alias("zero"),
+        total(has & (x != F.floor(x))).alias("fractional"),
+    )
+
+
 def observed_values(df: DataFrame, fields: Sequence[str], period: str) -> DataFrame:
     """Periods and sorted distinct values of each field, joined to text."""
     long = long_fields(df, [period], fields).where("value IS NOT NULL")

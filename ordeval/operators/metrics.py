@@ -161,6 +161,14 @@ def intervals(draws: DataFrame, keys: Sequence[str], value: str = "value", level
     )
 
 
+def zero_crossings(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, intervals, crossing_zero, above_zero, below_zero) of intervals (low, high)."""
+    low, high = F.col("low"), F.col("high")
+    return found.groupBy(*keys).agg(
+        F.count("*").alias("intervals"), F.count_if((low <= 0) & (high >= 0)).alias("crossing_zero"), F.count_if(low > 0).alias("above_zero"), F.count_if(high < 0).alias("below_zero")
+    )
+
+
 def contrasts(values: DataFrame, weights: DataFrame, keys: Sequence[str], by: str = "model", value: str = "value") -> DataFrame:
     """Sums of weight * value for each named contrast; ``weights`` (contrast, by, weight) is a small table."""
     joined = values.join(weights, by)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordeval.functions.columns import hash32, interval_evidence
@@ -28,6 +28,13 @@ def stream_seed(*name: object) -> int:
     return int.from_bytes(hashlib.sha256("|".join(map(str, name)).encode()).digest()[:8], "little")
 
 
+def stream_seed_column(name: Column) -> Column:
+    """:func:`stream_seed` of a text column, as an unsigned decimal: the first 8 bytes of its SHA-256, the lowest first."""
+    digest = F.sha2(name, 256)
+    swapped = F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in reversed(range(8))])
+    return F.conv(swapped, 16, 10)
+
+
 def pattern_counts(stacked: DataFrame, keys: Sequence[str], true: str, predictions: Sequence[str]) -> DataFrame:
     """(keys, true, predictions, n): the observed joint patterns."""
     return stacked.groupBy(*keys, true, *predictions).agg(F.count("*").alias("n"))

@@ -93,16 +93,21 @@ def random_roles(
 ) -> DataFrame:
     """Stratified 70/15/15 in two stages with exact sizes in each class; ``locked`` rows stay out.
 
-    Rows aren't shuffled: each stage finds the cuts of its groups, then roles are comparisons with them. ``by`` may hold a
-    column of seeds, so many seeds are one flow.
+    Rows aren't shuffled: each stage finds the cuts of its groups, then roles are comparisons with them. The cuts are found
+    in a copy of the keys and ids that is written once, so ``df`` itself is evaluated twice. ``by`` may hold a column of
+    seeds, so many seeds are one flow.
     """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     keys = [*by, "__locked", target]
     rows = df.withColumn("__locked", locked)
     open_rows = lambda x: x.where(~F.col("__locked"))
-    first = hash_cuts(open_rows(rows), seed, id_col, keys, F.round(F.lit(train) * F.col("__size")))
+    path = new_path(df.sparkSession, "split-keys")
+    narrow = rows.select(*keys, id_col)
+    narrow.write.parquet(path)
+    narrow = df.sparkSession.read.schema(narrow.schema).parquet(path)
+    first = hash_cuts(open_rows(narrow), seed, id_col, keys, F.round(F.lit(train) * F.col("__size")))
     second_seed = seed + F.lit(SECOND_STAGE)
-    rest = open_rows(first_by_hash(rows, first, seed, id_col, keys, "__train")).where(~F.col("__train"))
+    rest = open_rows(first_by_hash(narrow, first, seed, id_col, keys, "__train")).where(~F.col("__train"))
     second = hash_cuts(rest, second_seed, id_col, keys, F.round(F.lit(validation / (1 - train)) * F.col("__size")))
     marked = first_by_hash(rows, first, seed, id_col, keys, "__train")
     marked = first_by_hash(marked, second, second_seed, id_col, keys, "__validation")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordeval.operators.ranks import with_keys
+
 
 def average_rank(df: DataFrame, value: str, *keys: str, out: str = "rank") -> DataFrame:
     """W02 for a small table, such as one row for each feature, by windows over whole groups; ``ranks.average_rank`` takes any size."""
@@ -22,8 +24,10 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 
 
 def with_group_share(df: DataFrame, value: str, *keys: str, out: str = "share") -> DataFrame:
-    """Value over its group's total."""
-    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)))
+    """Value over its group's total: totals are added up in parts and joined, so no task holds a group."""
+    totals = df.groupBy(*keys).agg(F.sum(value).alias("__whole"))
+    joined = with_keys(df, totals, keys) if keys else df.crossJoin(totals)  # one row
+    return joined.withColumn(out, F.col(value) / F.col("__whole")).drop("__whole")
 
 
 def best_row(df: DataFrame, keys: Sequence[str], value: str, tie: str, what: Sequence[str]) -> DataFrame:

@@ -900,14 +900,14 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from ordeval import file_queries, more_queries, study_queries, table_queries  # noqa: F401  register their queries
+    from ordeval import audit_queries, file_queries, more_queries, study_queries, table_queries  # noqa: F401  register their queries
     from ordeval.models import queries as model_queries
 
     return {**_QUERIES, **model_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from ordeval import file_queries, more_queries, study_queries, table_queries  # noqa: F401
+    from ordeval import audit_queries, file_queries, more_queries, study_queries, table_queries  # noqa: F401
     from ordeval.models import queries as model_queries
 
     return {**_SQL, **{name: f"WITH {COHORT_SQL}, {sql}" for name, sql in model_queries.oracle_sql().items()}}

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ordeval.functions.columns import plain_text
 from ordeval.operators.guards import ContractError
+from ordeval.operators.ranks import global_place, with_keys
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -103,11 +104,24 @@ def merged_manifests(*manifests: DataFrame) -> DataFrame:
     return every.groupBy("path").agg(F.count("*").alias("manifests"), (F.min(facts) != F.max(facts)).alias("conflict"))
 
 
-def seals(manifest: DataFrame, folder: Column, seal: str = "seal") -> DataFrame:
+def seals(manifest: DataFrame, folder: Column, seal: str = "seal", fan: int = 1024) -> DataFrame:
     """One seal for each folder of a manifest, from its sorted lines ``sha256 path``; a file that changes, comes or
-    goes changes the seal, and seals of folders can be sealed again."""
-    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "sha256", "path"))), "\n")
-    return manifest.groupBy(folder.alias("folder")).agg(F.sha2(lines, 256).alias(seal))
+    goes changes the seal, and seals of folders can be sealed again.
+
+    A seal is the digest of up to ``fan`` lines; of a folder with more, the digest of the digests of so many lines each, and
+    so on, so no row or task holds a folder.
+    """
+    lines = manifest.select(folder.alias("folder"), F.concat_ws(" ", "sha256", "path").alias("line"))
+    placed = global_place(lines, [F.col("folder"), F.col("line")], "place")
+    firsts = placed.groupBy("folder").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    nodes = with_keys(placed, firsts.select("folder", "first"), ["folder"]).select("folder", (F.col("place") - F.col("first")).alias("at"), "line")
+    most = firsts.agg(F.max("n")).first()[0] or 0
+    while True:
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")  # fan lines
+        nodes = nodes.groupBy("folder", F.floor(F.col("at") / fan).alias("up")).agg(F.sha2(text, 256).alias("line")).withColumnRenamed("up", "at")
+        if most <= fan:
+            return nodes.select("folder", F.col("line").alias(seal))
+        most = -(-most // fan)
 
 
 def require_schema(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ordeval.file_queries import customers
 from ordeval.functions import tables
+from ordeval.functions.columns import is_safe_path
 from ordeval.operators import verify
 from ordeval.plans import cohort as plan
 from ordeval.plans.ledger import Ledger, Stage
 from ordeval.queries import query
+from ordeval.sources import writers
 from ordeval.sources.rejects import read_checked
 from ordeval.sources.shared import new_path
 
@@ -117,3 +119,25 @@ def _(s, d):
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n", F.lit(first[name]).alias("first"), F.lit(ledger.did[name]).alias("second"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("k09_report", """SELECT line FROM (SELECT '# Orders by year' AS line UNION ALL SELECT '' UNION ALL SELECT '| year | n | total |' UNION ALL SELECT '| --- | --- | --- |'
+UNION ALL SELECT '| ' || year(o_orderdate)::VARCHAR || ' | ' || count(*)::VARCHAR || ' | ' || sum(o_orderkey)::VARCHAR || ' |' FROM orders GROUP BY year(o_orderdate))""", False)
+def _(s, d):
+    """A report of a small table, read again line by line."""
+    years = plan.read(s, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total")).orderBy("year")
+    path = new_path(s, "report") + ".md"
+    writers.write_report({"Orders by year": years}, path)
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("h01_safe_paths", r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN substr(path, 2) WHEN 1 THEN path WHEN 2 THEN 'a/../' || substr(path, 2) WHEN 3 THEN 'c:' || path ELSE replace(substr(path, 2), '/', '\') END AS path
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path FROM pages))
+SELECT page_id, path, path <> '' AND NOT regexp_matches(path, '[\\\x00-\x1f]|^[A-Za-z]:') AND len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS safe FROM p""", False)
+def _(s, d):
+    """Path safety: the paths of all pages, some of them made unsafe."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)
+    below = F.substring(path, 2, 1 << 30)
+    k = F.col("page_id") % 5
+    made = F.when(k == 0, below).when(k == 1, path).when(k == 2, F.concat(F.lit("a/../"), below)).when(k == 3, F.concat(F.lit("c:"), path)).otherwise(F.translate(below, "/", "\\"))
+    return plan.read(s, d, "pages").select("page_id", made.alias("path")).withColumn("safe", is_safe_path(F.col("path")))

@@ -278,6 +278,47 @@ def test_attributions_of_boosting_add_up_and_are_shapley(spark):
                 assert own[f, k] == pytest.approx(value, abs=1e-9)
 
 
+def test_test_rows_wait_for_the_seal(spark, tmp_path):
+    from ordeval.sources.documents import read_document, write_document
+
+    df, folder = boosting_rows(spark, 200), f"{tmp_path}/m"
+    model = boosting.fit(df, df, ["c"], ["x"], boosting.Params(depth=2, min_rows=5), cap=2)
+    with pytest.raises(PermissionError):
+        boosting.scored_after_seal(spark, folder, df)
+    assert boosting.seal_model(spark, model, folder) == model.digest()
+    again = boosting.sealed_model(spark, folder)
+    assert again == model and again.digest() == model.digest()
+    assert boosting.scored_after_seal(spark, folder, df).where("size(margin) = 3").count() == 200
+    with pytest.raises(FileExistsError):
+        boosting.seal_model(spark, model, folder)
+    write_document(spark, f"{folder}/model.json", read_document(spark, f"{folder}/model.json").replace('"best": 2', '"best": 1'))
+    with pytest.raises(ValueError, match="not the one"):
+        boosting.sealed_model(spark, folder)
+
+
+def test_attributions_go_on_after_a_break(spark, tmp_path, monkeypatch):
+    df = boosting_rows(spark, 200)
+    model = boosting.fit(df, None, ["c"], ["x"], boosting.Params(depth=2, min_rows=5), cap=2)
+    rows = boosting.scored(model, df)
+    real, calls = stability.margin_attributions, []
+
+    def counted(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(stability, "margin_attributions", counted)
+    with pytest.raises(RuntimeError, match="lost"):
+        stability.attributions_in_chunks(model, rows, str(tmp_path), 4)
+    got = stability.attributions_in_chunks(model, rows, str(tmp_path), 4)
+    assert len(calls) == 3 + 2 + 1  # two chunks were sealed; the last call is for the schema
+    want = {r["id"]: r["phi"] for r in real(model, rows).collect()}
+    assert {r["id"]: r["phi"] for r in got.collect()} == want and got.count() == 200
+    stability.attributions_in_chunks(model, rows.where("id <> 7"), str(tmp_path), 4)
+    assert len(calls) == 11  # other rows have chunks of their own
+
+
 # --- A28, R11, M13 from M12 ----------------------------------------------------------------------------------------
 
 

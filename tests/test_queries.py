@@ -24,7 +24,7 @@ def db():
 def shown(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
-    return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return f"{v:.6g}" if isinstance(v, float) else str(v)  # whole numbers exactly
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

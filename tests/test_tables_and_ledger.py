@@ -102,6 +102,27 @@ def test_ordered_digest_depends_on_order_alone(spark):
         verify.ordered_digest(df, ["id"], ["x"], fan=8)
 
 
+def test_seals_of_large_folders_are_trees(spark):
+    import hashlib
+
+    from ordeval.sources import readers
+
+    files = [(f"{k}/f{i}", 1, f"{i * 7 % 50:02d}") for k, n in (("a", 3), ("b", 10), ("c", 28)) for i in range(n)]
+    manifest = spark.createDataFrame(files, "path string, bytes long, sha256 string").repartition(5)
+    sha = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    want = {}
+    for k in "abc":
+        lines = sorted(f"{s} {p}" for p, _, s in files if p[0] == k)
+        for _ in range(4):  # levels that the largest folder needs
+            lines = [sha(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+        want[k] = lines[0]
+    folder = F.substring_index("path", "/", 1)
+    assert {r["folder"]: r["seal"] for r in readers.seals(manifest, folder, fan=3).collect()} == want
+    whole = {r["folder"]: r["seal"] for r in readers.seals(manifest, folder).collect()}
+    assert whole["b"] == sha(sorted(f"{s} {p}" for p, _, s in files if p[0] == "b"))
+    assert readers.seals(manifest.where("bytes > 5"), folder).count() == 0
+
+
 # --- K05, X01-X03 --------------------------------------------------------------------------------------------------
 
 
