@@ -348,3 +348,43 @@ def test_grid_means_equal_plain_ones():
                 c, d = j * width // 32, max((j + 1) * width // 32, j * width // 32 + 1)
                 plain[i, j] = rows[a:b, c:d].mean()
         assert np.allclose(grid.means(), plain, atol=1e-9), (height, width)
+
+
+def test_whole_license_texts_are_found(spark, monkeypatch):
+    from ordeval.llm import licenses
+
+    rng = random.Random(17)
+    noise = lambda n: " ".join(f"n{rng.randint(0, 999)}" for _ in range(n))
+    edited = licenses.TEMPLATES["BSD-3-Clause-text"].split()
+    for at in (20, 90, 170):
+        edited[at] = "edited"
+    half = " ".join(licenses.TEMPLATES["MIT-text"].split()[:80])
+    rows = [
+        (1, f"{noise(700)} {licenses.TEMPLATES['MIT-text']} {noise(900)}"), (2, f"{noise(5)} {' '.join(edited)}"), (3, f"{noise(3)} {half} {noise(400)}"),
+        (4, noise(3000)), (5, licenses.TEMPLATES["GNU-notice"].upper() + noise(10)), (6, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        out = {}
+        for r in licenses.scan_licenses(docs).collect():
+            out.setdefault(r["doc_id"], {})[r["license_id"]] = r["containment"]
+        return out
+
+    got = found()
+    assert got[1]["MIT-text"] == 1.0 and got[1]["MIT-grant"] == 1.0
+    assert 0.8 <= got[2]["BSD-3-Clause-text"] < 1.0 and "BSD-2-Clause-text" not in got[2]  # siblings are told apart
+    assert set(got[3]) == {"MIT-grant"} and 4 not in got and 6 not in got
+    assert got[5]["GNU-notice"] == 1.0
+    monkeypatch.setattr(licenses, "MOST", 10)  # beyond it templates are joined by a shuffle
+    assert found() == got
+
+
+def test_many_long_templates_cost_no_literals(spark):
+    from ordeval.llm import licenses
+
+    rng = random.Random(18)
+    texts = {f"T{i}": " ".join(f"v{rng.randint(0, 3000)}" for _ in range(300)) for i in range(120)}
+    docs = spark.createDataFrame([(i, f"before {texts[f'T{i}']} after") for i in range(0, 120, 7)] + [(500, "v1 v2 v3")], "doc_id long, text string")
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scan_licenses(docs, texts).collect()}
+    assert got == {(i, f"T{i}") for i in range(0, 120, 7)}
