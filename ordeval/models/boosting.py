@@ -110,6 +110,8 @@ class Boosted:
     @classmethod
     def read(cls, text: str) -> Boosted:
         given = json.loads(text)
+        for kind in ("categories", "cuts"):  # in the order of the features, which is that of the bins
+            given[kind] = {f: given[kind][f] for f in given["features"] if f in given[kind]}
         given["rounds"] = [[Tree(**t) for t in trees] for trees in given["rounds"]]
         given["losses"] = [tuple(x) for x in given["losses"]]
         return cls(**{**given, "params": Params(**given["params"])})
