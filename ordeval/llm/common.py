@@ -82,6 +82,11 @@ def staged(df: DataFrame) -> DataFrame:
 FEW_KEYS = 1_000_000
 
 
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """``df`` for a join, broadcast if a count shows at most ``most`` rows, and left to Spark otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def texts_of(texts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``texts`` whose columns ``on`` are among ``keys``, which is counted first: up to FEW_KEYS are broadcast, so the
     other texts are not shuffled by what follows; beyond that Spark joins by a shuffle. The rows are the same."""

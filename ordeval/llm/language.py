@@ -2,7 +2,7 @@
 
 Character n-grams of one to ``LENGTHS`` letters (lower case, everything but letters is a space) are hashed into
 ``BUCKETS`` buckets. The counts of a bounded, hash-chosen sample of training rows of each language give a matrix
-of log probabilities, which is broadcast: its size is fixed by BUCKETS and the number of languages (at most MAX_KEYS).
+of log probabilities, which is broadcast: its size is fixed by BUCKETS and the number of languages (at most MAX_LANGS).
 Texts are scored in batches: the letters of several texts are put together up to ``BATCH`` characters, their n-grams
 are the rows of one sparse matrix, and its product with the log probabilities scores all of them. A text longer than
 that goes through in pieces that overlap, whose scores add up, so memory doesn't grow with a text's length.
@@ -35,6 +35,8 @@ SEED = 5
 BATCH = 1 << 18
 #: Values of the key of a sample whose shares are broadcast; with more of them, Spark chooses the join.
 MAX_KEYS = 10_000
+#: Languages that a model may have: 128 MB of counts on the driver while it is fitted.
+MAX_LANGS = 512
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -137,8 +139,8 @@ class NaiveBayes:
     def fit(cls, train: DataFrame, sample: int = SAMPLE, tasks: int = 8) -> NaiveBayes:
         """From rows (doc_id, text, lang); the languages get equal prior weight."""
         marked = train.where(F.col("lang").isNotNull() & (F.col("lang") != ""))
-        if marked.select("lang").distinct().limit(MAX_KEYS + 1).count() > MAX_KEYS:
-            raise ValueError(f"more than {MAX_KEYS} languages: their matrix would not fit")
+        if marked.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+            raise ValueError(f"more than {MAX_LANGS} languages: their matrix would not fit")
         rows = learned_counts(thinned(marked, sample, "lang").repartition(tasks)).toPandas()
         langs = sorted(rows["lang"].unique())
         counts = np.zeros((BUCKETS, len(langs)))

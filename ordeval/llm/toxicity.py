@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordeval.llm.common import map_arrow, small_batches, staged
+from ordeval.llm.common import map_arrow, small_batches, small_side, staged
 from ordeval.llm.language import BATCH, hashed_ngrams, one_text, pieces, settled, thinned
 
 BUCKETS = 1 << 19
@@ -97,6 +97,9 @@ def sample_matrix(train: DataFrame, lookup: np.ndarray) -> tuple[np.ndarray, np.
 
     schema = pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32()))])
     got = map_arrow(train.select("text", "label"), rows, "label int, at array<int>", schema).toPandas()
+    # sums of floats hang on their order: rows are in one of their own, not that in which tasks end
+    order = sorted(range(len(got)), key=lambda i: (got["label"][i], tuple(got["at"][i])))
+    got = got.iloc[order]
     x = np.zeros((len(got), int(lookup.max()) + 1), np.float32)
     for i, at in enumerate(got["at"]):
         x[i, np.asarray(at, np.int64)] = 1.0
@@ -188,7 +191,7 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
         .where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
     )
-    chosen = F.broadcast(thinned(settled(marked, "label"), sample, "label"))  # about 2 * sample ids
+    chosen = small_side(staged(thinned(settled(marked, "label"), sample, "label")), 4 * sample)  # about 2 * sample ids
     train = one_text(docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id"))
     model = ToxicityModel.fit(staged(train))
     return score_documents(rows, model)

@@ -388,3 +388,13 @@ def test_many_long_templates_cost_no_literals(spark):
     docs = spark.createDataFrame([(i, f"before {texts[f'T{i}']} after") for i in range(0, 120, 7)] + [(500, "v1 v2 v3")], "doc_id long, text string")
     got = {(r["doc_id"], r["license_id"]) for r in licenses.scan_licenses(docs, texts).collect()}
     assert got == {(i, f"T{i}") for i in range(0, 120, 7)}
+
+
+def test_toxicity_scores_are_the_same_for_any_partitions(spark):
+    from tests.llm.test_operators import learned_tables
+
+    from ordeval.llm import toxicity
+
+    _, docs, labels = learned_tables(spark)
+    runs = [sorted(tuple(r) for r in toxicity.toxicity_of(docs.repartition(n), labels.repartition(n)).collect()) for n in (2, 7)]
+    assert runs[0] == runs[1]
