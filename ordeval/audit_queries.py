@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ordeval.functions import columns as C
-from ordeval.operators import audits, metrics, resample
+from ordeval.operators import audits, guards, metrics, resample, verify
 from ordeval.plans import cohort as plan
-from ordeval.queries import _CELLS, _DICT_SQL, _DICTIONARY, _N, METRIC_SQL, _VALUES, counts_sql, joint_values, model_values, query, rounded
+from ordeval.queries import _DICT_SQL, _DICTIONARY, _SLOTS, _VALUES, METRIC_SQL, counts_sql, joint_values, model_values, query, rounded, slot_counts
 from ordeval.sources import readers
 from ordeval.study_queries import _COHORTS, _DRAWS, _judged_sql, cohort_draws, observed_values, to_nine
 
@@ -136,3 +136,22 @@ def _(s, d):
     """A seed of each customer's own stream, from its name."""
     name = F.concat_ws("|", F.lit("7"), "c_mktsegment", F.col("c_custkey").cast("string"))
     return plan.read(s, d, "customer").select("c_custkey", resample.stream_seed_column(name).alias("seed"))
+
+
+@query("f10_violations", """SELECT id FROM (SELECT id, CASE WHEN id % 7 = 0 THEN 1.1 ELSE 1.0 END AS f, q0 / qs AS a, q1 / qs AS b, q2 / qs AS c FROM (SELECT *, q0 + q1 + q2 AS qs FROM predicted))
+WHERE abs(a * f + b * f + c * f - 1) > 1e-6 OR a * f > 1 OR b * f > 1 OR c * f > 1""")
+def _(s, d):
+    """rows whose probabilities don't sum to 1, some of them stretched."""
+    stretch = F.when(F.col("id") % 7 == 0, 1.1).otherwise(1.0)
+    rows = plan.predicted(plan.cohort(s, d)).select("id", *[(F.get("prob", F.lit(i)) * stretch).alias(f"p{i}") for i in range(3)])
+    return guards.simplex_violations(rows, ["p0", "p1", "p2"], 1e-6).select("id")
+
+
+@query("v05_draw_values", f"""WITH {_SLOTS}, w AS ({counts_sql('picks', 'iteration')}), v AS (SELECT iteration::INT AS iteration, {METRIC_SQL['accuracy']} AS a, {METRIC_SQL['qwk']} AS b FROM w)
+SELECT iteration, round(a, 9) + 0.0 AS expected, round(CASE WHEN b > 0 THEN a + b ELSE a END, 9) + 0.0 AS observed FROM v WHERE b > 1e-12""")
+def _(s, d):
+    """Draws of which some cells are shifted by another metric of theirs: those that differ, with both values."""
+    both = metrics.metrics(slot_counts(s, d), ["iteration"], ("accuracy", "qwk"))
+    value = F.when(F.col("qwk") > 0, F.col("accuracy") + F.col("qwk")).otherwise(F.col("accuracy"))
+    found = verify.draw_differences(both.select("iteration", F.col("accuracy").alias("value")), both.select("iteration", value.alias("value")), ["iteration"])
+    return rounded(found, "expected", "observed")
