@@ -25,8 +25,12 @@ def weighted(train: DataFrame, target: str = "target", out: str = "weight") -> D
 
 def logistic(train: DataFrame, target: str = "target", c: float = 1.0, balanced: bool = True):  # noqa: ANN201
     """Multinomial logistic with an L2 penalty; regParam = 1 / (C sum of weights), no standardisation."""
-    rows = weighted(train, target) if balanced else train.withColumn("weight", F.lit(1.0))
-    total = rows.agg(F.sum("weight")).first()[0]
+    train = train.where(F.col(target).isNotNull())
+    sizes = {r[0]: r[1] for r in train.groupBy(target).agg(F.count("*")).collect()}  # a row for each class, one scan for all
+    n = sum(sizes.values())
+    weights = {k: n / (CLASSES * size) if balanced else 1.0 for k, size in sizes.items()}
+    of_class = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
+    rows, total = train.withColumn("weight", F.element_at(of_class, F.col(target))), sum(weights[k] * size for k, size in sizes.items())
     return LogisticRegression(
         labelCol=target, weightCol="weight", family="multinomial", elasticNetParam=0.0, regParam=1.0 / (c * total),
         standardization=False, maxIter=500, tol=1e-4,
