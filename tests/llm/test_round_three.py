@@ -398,3 +398,58 @@ def test_toxicity_scores_are_the_same_for_any_partitions(spark):
     _, docs, labels = learned_tables(spark)
     runs = [sorted(tuple(r) for r in toxicity.toxicity_of(docs.repartition(n), labels.repartition(n)).collect()) for n in (2, 7)]
     assert runs[0] == runs[1]
+
+
+def plain_depth(forest, row):
+    """A row's mean path length, one comparison after the other."""
+    total = 0.0
+    for feature, cut, right, path in forest.trees:
+        at = 0
+        while feature[at] >= 0:
+            at = at + 1 if row[feature[at]] < cut[at] else right[at]
+        total += path[at]
+    return total / len(forest.trees)
+
+
+def plain_cut(depths, good, loss):
+    """The threshold by trying every depth: most bad rows below it less good ones, few enough of these; the last of equals,
+    moved half way towards the nearest good row that stays."""
+    best, found = None, 0.0
+    kept, lost = [d for d, g in zip(depths, good, strict=True) if g], [d for d, g in zip(depths, good, strict=True) if not g]
+    for cut in sorted(set(depths)):
+        away = sum(d < cut for d in kept) / len(kept)
+        if away > loss:
+            break
+        gain = sum(d < cut for d in lost) / len(lost) - away
+        if gain >= found:
+            best, found = cut, gain
+    return (best + min((d for d in kept if d >= best), default=best)) / 2
+
+
+def test_quality_verdicts_equal_plain_ones(spark):
+    from ordeval.llm import quality
+
+    rng = random.Random(23)
+    rows, marks = [], []
+    for i in range(240):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(30, 120))]
+        bad = i % 4 == 3
+        rows.append((i, " ".join(f"{w.upper()}%%" if bad and rng.random() < 0.7 else w for w in words)))
+        marks.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = quality.QualityModel.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(docs, labels).collect()}
+    measured = quality._measured([t for _, t, *_ in rows])
+    x = quality.features(measured)
+    depths = {d: plain_depth(model.forest, f) for (d, *_), f in zip(rows, x, strict=True)}
+    for (d, *_), n, repeated in zip(rows, measured["n_words"], measured["n_repeat_words"], strict=True):
+        failed = n < 50 or 100 * repeated > 50 * n
+        assert got[d]["base_failed"] == failed and got[d]["depth"] == pytest.approx(depths[d])
+        assert got[d]["kept"] == (not failed and depths[d] >= model.cut)
+    assert {r["kept"] for r in got.values()} == {True, False}
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        d = np.round(np.concatenate([rng.normal(6, 1, 200), rng.normal(4, 1, 40)]), 2)
+        good = np.arange(240) < 200
+        assert quality.calibrated(d, good, 0.05) == pytest.approx(plain_cut(d.tolist(), good.tolist(), 0.05))
