@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams (operator 6).
 
 Character n-grams of one to ``LENGTHS`` letters (lower case, everything but letters is a space) are hashed into
-``BUCKETS`` buckets. The counts of a bounded, hash-chosen sample of training rows of each language give a matrix
+``BUCKETS`` buckets. The counts of all training rows of each language, summed in the tasks that read them, give a matrix
 of log probabilities, which is broadcast: its size is fixed by BUCKETS and the number of languages (at most MAX_LANGS).
 Texts are scored in batches: the letters of several texts are put together up to ``BATCH`` characters, their n-grams
 are the rows of one sparse matrix, and its product with the log probabilities scores all of them. A text longer than
@@ -28,8 +28,6 @@ from ordeval.llm.common import map_arrow, small_batches, staged
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Training documents of each language, about: more are thinned by a hash of the id.
-SAMPLE = 5_000
 SEED = 5
 #: Characters that are scored at once.
 BATCH = 1 << 18
@@ -136,12 +134,13 @@ class NaiveBayes:
         self.langs, self.logs = langs, logs
 
     @classmethod
-    def fit(cls, train: DataFrame, sample: int = SAMPLE, tasks: int = 8) -> NaiveBayes:
-        """From rows (doc_id, text, lang); the languages get equal prior weight."""
+    def fit(cls, train: DataFrame, sample: int | None = None) -> NaiveBayes:
+        """From all rows (doc_id, text, lang), or about ``sample`` of each language if a caller asks for it; the languages
+        get equal prior weight."""
         marked = train.where(F.col("lang").isNotNull() & (F.col("lang") != ""))
         if marked.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
             raise ValueError(f"more than {MAX_LANGS} languages: their matrix would not fit")
-        rows = learned_counts(thinned(marked, sample, "lang").repartition(tasks)).toPandas()
+        rows = learned_counts(thinned(marked, sample, "lang") if sample else marked).toPandas()  # a row for each language and bucket
         langs = sorted(rows["lang"].unique())
         counts = np.zeros((BUCKETS, len(langs)))
         for k, lang in enumerate(langs):
@@ -205,9 +204,9 @@ def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text", "held_out"), score, schema, RESULT)
 
 
-def language_of(docs: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1) -> DataFrame:
+def language_of(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """Learn from documents whose crc32 of the id is not ``held`` modulo ``folds``; predict for all."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), held_out.alias("held_out"))
-    model = NaiveBayes.fit(rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()), sample)
+    model = NaiveBayes.fit(rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return identify(rows, model)

@@ -453,3 +453,37 @@ def test_quality_verdicts_equal_plain_ones(spark):
         d = np.round(np.concatenate([rng.normal(6, 1, 200), rng.normal(4, 1, 40)]), 2)
         good = np.arange(240) < 200
         assert quality.calibrated(d, good, 0.05) == pytest.approx(plain_cut(d.tolist(), good.tolist(), 0.05))
+
+
+def test_threshold_of_rows_equals_that_of_arrays(spark):
+    from ordeval.llm import quality
+
+    rng = np.random.default_rng(2)
+    for loss in (0.002, 0.05, 0.2):
+        d = np.round(np.concatenate([rng.normal(6, 1, 200), rng.normal(4, 1, 40)]), 2)
+        good = np.arange(240) < 200
+        rows = spark.createDataFrame([(float(x), int(g)) for x, g in zip(d, good, strict=True)], "depth double, good int")
+        assert quality.calibrated_rows(rows, loss) == pytest.approx(quality.calibrated(d, good, loss))
+    assert quality.calibrated_rows(rows.where("good = 1")) == -np.inf == quality.calibrated_rows(rows.where("good = 0"))
+
+
+def test_models_learn_from_every_labelled_row(spark, monkeypatch):
+    """More rows than the samples of before: the last ones count, too."""
+    from pyspark.sql import functions as F
+
+    from ordeval.llm import language, quality
+
+    seen = {}
+    monkeypatch.setattr(quality, "calibrated_rows", lambda known, loss=0: seen.setdefault("n", known.count()) * 0.0)
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7 + i).cast("string"))), " ").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 12 != 0).cast("int").alias("quality"))
+    quality.QualityModel.fit(docs, labels)
+    half = sum(r[0] for r in labels.where("quality = 1").select(F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED)), F.lit(2))).collect())
+    assert seen["n"] == half + 2_000
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("x").alias("lang"))
+    counts = language.learned_counts(rows).collect()
+    model = language.NaiveBayes.fit(rows.unionByName(rows.where("doc_id < 10").withColumn("lang", F.lit("y"))))
+    n = np.full(language.BUCKETS, language.SMOOTHING)
+    for r in counts:
+        n[r["bucket"]] += r["n"]
+    assert max(r["n"] for r in counts) >= 12_000 and np.allclose(model.logs[:, 0], np.log(n / n.sum()), atol=1e-6)
