@@ -23,7 +23,7 @@ from ordeval.plans.ledger import table_digest
 from ordeval.sources.documents import read_document, write_document
 
 OVERALL = "overall"
-#: Rows that a task walks the leaves with at a time.
+#: Different rows that a task walks the leaves with at a time.
 CHUNK = 1000
 
 
@@ -36,14 +36,20 @@ def margin_attributions(model: boosting.Boosted, rows: DataFrame, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, leaves = shared.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = batch.column(len(kept)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            different, of_row = np.unique(bins, axis=0, return_inverse=True)  # equal bins have equal attributions
+            found, base = [], np.zeros(len(own.start))
+            for at in range(0, len(different), CHUNK):
+                some = different[at : at + CHUNK]
+                phi, base = attribute(some.astype(float), leaves) if leaves else (np.zeros((*some.shape, len(own.start))), base)
+                found.append(phi.reshape(len(some), -1))
+            found, of_row = np.concatenate(found), of_row.reshape(-1)
             for at in range(0, batch.num_rows, CHUNK):
                 b = batch.slice(at, CHUNK)
-                bins = b.column(len(kept)).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                if leaves:
-                    phi, base = attribute(bins.astype(float), leaves)
-                else:
-                    phi, base = np.zeros((*bins.shape, len(own.start))), np.zeros(len(own.start))
-                flat = pa.array(phi.reshape(len(phi), -1).tolist(), pa.list_(pa.float64()))
+                phi = found[of_row[at : at + CHUNK]]
+                flat = pa.array(phi.tolist(), pa.list_(pa.float64()))
                 bases = pa.array(np.tile(base + own.start, (len(phi), 1)).tolist(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], flat, bases, b.column(len(kept) + 1)], names=[*kept, "phi", "base", "margin"])
 

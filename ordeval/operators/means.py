@@ -108,5 +108,8 @@ def bootstrap_means(
     sums = dealt.groupBy(*group).cogroup(plan.groupBy(*group)).applyInPandas(draw, schema)
     totals = sizes.groupBy(*keys).agg(F.sum("__size").alias("__total")) if keys else sizes.agg(F.sum("__size").alias("__total"))
     added = sums.groupBy(*keys, "__iteration").agg(*[F.sum(v).alias(v) for v in values])
+    path, added_schema = new_path(df.sparkSession, "draws"), added.schema  # a row for each group and draw: whoever reads it twice draws once
+    added.write.parquet(path)
+    added = df.sparkSession.read.schema(added_schema).parquet(path)
     joined = with_keys(added, totals, keys) if keys else added.crossJoin(F.broadcast(totals))  # one row
     return joined.select(*keys, F.col("__iteration").alias("iteration"), *[(F.col(v) / F.col("__total")).alias(v) for v in values])

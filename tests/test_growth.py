@@ -62,3 +62,11 @@ def test_hashes_of_a_row_are_computed_once(spark):
     plan = plan_of(entry.queries()["f10_violations"](spark, "/root/testdata/sf0.001"))
     filters = [line for line in plan.splitlines() if "Filter " in line.split("DataFilters")[0] and "FileScan" not in line]
     assert sum(line.count("md5(") for line in filters) == 3
+
+
+def test_draws_are_made_once(spark):
+    from ordeval.operators import means
+
+    rows = spark.range(60).select("id", F.lit("x").alias("g"), (F.col("id") % 2).alias("s"), F.col("id").cast("double").alias("v"))
+    drawn = means.bootstrap_means(rows, ["g"], "s", ["v"], 20, 7)
+    assert "CoGroup" not in plan_of(drawn) and drawn.count() == 20
